@@ -1 +1,8 @@
 """Spark-native curation and feature engine for binding-measurement datasets."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions sent to Python workers travel by value, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

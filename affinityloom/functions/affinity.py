@@ -94,7 +94,7 @@ def activity_type(kind: Column | str) -> Column:
 
 def strength(log10: Column | str) -> Column:
     c = as_col(log10)
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - c / 6.0)), F.lit(0.0))
+    return F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - c / 6.0))).otherwise(0.0)
 
 
 def confidence_bonus(band: Column | str, conflict: Column) -> Column:

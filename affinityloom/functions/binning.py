@@ -11,16 +11,21 @@ MISSING_DATE = "9999-12-31"
 
 
 def resolution_bin(res: Column | str) -> Column:
+    """Extraction bins; null stays null."""
     c = as_col(res)
     return (
-        F.when(c.isNull(), "unknown").when(c <= 1.5, "high_<=1.5A").when(c <= 2.5, "medium_1.5-2.5A")
-        .when(c <= 3.5, "low_2.5-3.5A").otherwise("very_low_>3.5A")
+        F.when(c <= 1.5, "high_res_<=1.5").when(c <= 2.5, "medium_res_1.5-2.5").when(c <= 3.5, "low_res_2.5-3.5")
+        .when(c.isNotNull(), "very_low_res_>3.5")
     )
 
 
 def resolution_bucket(res: Column | str) -> Column:
+    """Search buckets, a second scheme that coexists with the bins."""
     c = as_col(res)
-    return F.when(c.isNull(), "unknown").when(c <= 2.0, "<=2.0").when(c <= 3.0, "2.0-3.0").otherwise(">3.0")
+    return (
+        F.when(c.isNull(), "unknown_resolution").when(c <= 2.0, "high_resolution").when(c <= 3.0, "medium_resolution")
+        .otherwise("low_resolution")
+    )
 
 
 def sequence_length_band(seq: Column | str) -> Column:

@@ -43,11 +43,8 @@ def hash_bucket(prefix: str, token: Column, bins: int) -> Column:
 
 
 def char_ngrams(value: Column, n: int) -> Column:
-    """All character n-grams in order (with repeats); short texts give an empty array."""
-    last = F.length(value) - n + 1
-    return F.when(
-        last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substr(value, i, F.lit(n)))
-    ).otherwise(F.array().cast("array<string>"))
+    """All character n-grams in order (with repeats), by one overlapping regex pass over the text."""
+    return F.regexp_extract_all(value, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
 
 
 def hashed_tokens(prefix: str, value: Column | str, bins: int, ngrams: tuple[int, ...] = (1,)) -> Column:
@@ -75,6 +72,8 @@ def metadata_embedding(fields: list[Column], bins: int = 8) -> Column:
     keyed = F.transform(
         F.filter(F.array(*[text(f) for f in fields]), lambda x: x != ""), lambda x: first_byte_bin(F.lower(x), bins)
     )
-    counts = [F.size(F.filter(keyed, lambda x, b=b: x == b)).cast("double") for b in range(bins)]
+    counts = [
+        (F.size(keyed) - F.size(F.array_remove(keyed, F.lit(b)))).cast("double") for b in range(bins)
+    ]
     scale = F.greatest(F.size(keyed), F.lit(1))
     return F.array(*[c / scale for c in counts])

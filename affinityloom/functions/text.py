@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NULL_STRING = F.lit(None).cast("string")
-
 
 def as_col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c

@@ -67,3 +67,35 @@ HYDROPATHY = {
     "K": -3.9, "L": 3.8, "M": 1.9, "N": -3.5, "P": -1.6, "Q": -3.5, "R": -4.5, "S": -0.8,
     "T": -0.7, "V": 4.2, "W": -0.9, "Y": -1.3,
 }
+
+# Text fragments that mark a membrane protein.
+MEMBRANE_KEYWORDS = [
+    "membrane protein", "transmembrane", "gpcr", "g protein-coupled", "ion channel", "transporter",
+    "receptor tyrosine kinase", "integrin", "aquaporin", "abc transporter", "membrane receptor",
+    "lipid bilayer", "detergent", "micelle", "photosystem", "thylakoid", "photosynthesis",
+    "light harvesting", "dhhc", "palmitoyl", "palmitoyltransferase", "cytochrome bc1",
+    "cytochrome c oxidase", "nadh dehydrogenase", "atp synthase",
+]
+
+# Title fragments that mark a covalent complex.
+COVALENT_TITLES = [
+    "covalent inhibitor", "covalent complex", "acyl-enzyme", "acyl enzyme", "covalent adduct",
+    "irreversible inhibitor", "irreversibly inhibited", "irreversibly inactivated", "covalently bound",
+    "covalently modified",
+]
+
+# Text fragments that mark glycosylation, and metals named in text.
+GLYCAN_KEYWORDS = ["glycosylated", "glycoprotein", "glycan", "fucosylated", "sialylated", "oligosaccharide"]
+METAL_KEYWORDS = [
+    ("nickel", "NI"), ("zn(", "ZN"), ("zinc", "ZN"), ("cobalt", "CO"), ("manganese", "MN"),
+    ("magnesium", "MG"), ("calcium", "CA"),
+]
+
+# Reactive-group patterns in ligand strings.
+REACTIVE_GROUPS = [
+    r"C=CC\(=O\)N", r"C=CC\(=O\)O", r"C=CS\(=O\)", r"C1CO1", r"ClCC[CN]", r"BrCC[CN]", r"ClC\(=O\)",
+    r"C=C[^(].*C=O", r"\[N\+\].*\[O-\]",
+]
+
+# Alkali counter-ions that do not count as a bound metal.
+ALKALI_IONS = ["LI", "NA", "K", "RB", "CS"]

@@ -94,13 +94,13 @@ def with_running_total(df: DataFrame, order: Sequence[Column | str], amount: str
                        name: str = "running_before") -> DataFrame:
     """Exclusive running sum of ``amount`` in the total order, by prefix sums over range partitions."""
     ranged = _ranged(df, order)
-    offsets = _offsets(ranged, F.sum(amount), "_before")
+    offsets = _offsets(ranged, F.sum(amount), "_prior")
     inside = Window.partitionBy("_part").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     out = ranged.withColumn("_inside", F.coalesce(F.sum(amount).over(inside), F.lit(0)))
     return (
         out.join(F.broadcast(offsets), "_part")
-        .withColumn(name, F.col("_before") + F.col("_inside"))
-        .drop("_part", "_slot", "_before", "_inside", "_grand_total")
+        .withColumn(name, F.col("_prior") + F.col("_inside"))
+        .drop("_part", "_slot", "_prior", "_inside", "_grand_total")
     )
 
 
