@@ -76,7 +76,7 @@ def celsius(temperature: Column | str) -> Column:
 def mutation_annotation(*texts: Column | str) -> Column:
     """Sorted distinct mutation tokens; otherwise whether the text says wild type."""
     hay = F.concat_ws(" ", *[as_col(t) for t in texts])
-    found = F.array_sort(F.array_distinct(F.regexp_extract_all(hay, F.lit(MUTATION_TOKEN), F.lit(0))))
+    found = F.sort_array(F.array_distinct(F.regexp_extract_all(hay, F.lit(MUTATION_TOKEN), F.lit(0))))
     low = F.lower(hay)
     wild = low.contains("wild type") | low.contains("wild-type") | low.rlike(r"\bwt\b")
     return F.struct(

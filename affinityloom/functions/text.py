@@ -39,7 +39,7 @@ def joined(c: Column | str, separator: str = "; ") -> Column:
 
 
 def sorted_join(c: Column | str, separator: str = "; ") -> Column:
-    return F.array_join(F.array_sort(as_col(c)), separator)
+    return F.array_join(F.sort_array(as_col(c)), separator)
 
 
 def safe_double(c: Column | str) -> Column:
@@ -68,7 +68,7 @@ def sink_text(c: Column | str, kind: str) -> Column:
     if kind == "array":
         return F.array_join(F.filter(col.cast("array<string>"), lambda x: x.isNotNull() & (x != "")), "; ")
     if kind == "map":
-        ordered = F.map_from_entries(F.array_sort(F.map_entries(col)))
+        ordered = F.map_from_entries(F.sort_array(F.map_entries(col)))
         return F.coalesce(F.to_json(ordered), F.lit(""))
     return F.coalesce(col.cast("string"), F.lit(""))
 

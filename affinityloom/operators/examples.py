@@ -44,7 +44,7 @@ def split_items(assays: DataFrame, chains: DataFrame) -> DataFrame:
     named = first_rows(chains, ["entry_id", "chain_id"], ["ord"]).select("entry_id", "chain_id", "accession")
     linked = items.select(*key, "entry_id", F.explode("receptor").alias("chain_id")).join(named, ["entry_id", "chain_id"], "left")
     ids = linked.groupBy(*key).agg(
-        F.array_join(F.array_sort(F.collect_set(F.nullif("accession", F.lit("")))), "|").alias("_acc"))
+        F.array_join(F.sort_array(F.collect_set(F.nullif("accession", F.lit("")))), "|").alias("_acc"))
     own = F.concat(F.col("entry_id"), F.lit(":"), F.when(F.size("receptor") == 0, "-").otherwise(F.array_join("receptor", ",")))
     identity = F.when(text("_acc") != "", F.col("_acc")).otherwise(own)
     parsed = parse_pair_key("pair_key")

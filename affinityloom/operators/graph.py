@@ -88,7 +88,7 @@ def merge_nodes(parts: Sequence[DataFrame], payload: Sequence[str]) -> DataFrame
         every = tagged if every is None else every.unionByName(tagged)
     return every.groupBy("node_id").agg(
         *[F.min(F.struct("_part", c))[c].alias(c) for c in payload],
-        F.array_join(F.array_sort(F.collect_set("source_database")), ",").alias("source_databases"))
+        F.array_join(F.sort_array(F.collect_set("source_database")), ",").alias("source_databases"))
 
 
 def merge_edges(parts: Sequence[DataFrame]) -> DataFrame:

@@ -46,7 +46,7 @@ def all_key_matches(pairs: DataFrame, objects: DataFrame, entry: str, wanted: st
     slim = objects.select(entry, *columns, F.explode(listed).alias(wanted)).distinct()
     asked = pairs.filter(text(wanted) != "").select(entry, wanted).distinct()
     return slim.join(asked, [entry, wanted], "left_semi").groupBy(entry, wanted).agg(
-        *[F.array_join(F.array_sort(F.collect_set(blank_to_null(c))), "; ").alias(c) for c in columns])
+        *[F.array_join(F.sort_array(F.collect_set(blank_to_null(c))), "; ").alias(c) for c in columns])
 
 
 def interface_matches(pairs: DataFrame, interfaces: DataFrame, entry: str, receptor: str, ligand: str, chains: str,
@@ -58,7 +58,7 @@ def interface_matches(pairs: DataFrame, interfaces: DataFrame, entry: str, recep
     chain list matches. Both sides are reduced to distinct signatures first.
     """
     asked = pairs.select(entry, receptor, ligand).distinct()
-    faces = interfaces.select(entry, F.array_sort(chains).alias("_chains"), text(partner).alias("_partner"), kind
+    faces = interfaces.select(entry, F.sort_array(chains).alias("_chains"), text(partner).alias("_partner"), kind
                               ).groupBy(entry, "_chains", "_partner", kind).agg(F.count(F.lit(1)).alias("_n"))
     none = F.size("_chains") == 0
     overlap = F.arrays_overlap(F.col(receptor), F.col("_chains"))
@@ -66,7 +66,7 @@ def interface_matches(pairs: DataFrame, interfaces: DataFrame, entry: str, recep
     name_ok = (text(ligand) == "") | (F.col("_partner") == "") | (F.col("_partner") == F.col(ligand))
     return asked.join(faces, entry).filter(chain_ok & name_ok).groupBy(entry, receptor, ligand).agg(
         F.sum("_n").alias("matching_interface_count"),
-        F.array_join(F.array_sort(F.collect_set(kind)), "; ").alias("matching_interface_types"))
+        F.array_join(F.sort_array(F.collect_set(kind)), "; ").alias("matching_interface_types"))
 
 
 def chain_sets(pairs: DataFrame, chains: DataFrame, entry: str, receptor: str, chain: str,
@@ -75,7 +75,7 @@ def chain_sets(pairs: DataFrame, chains: DataFrame, entry: str, receptor: str, c
     asked = pairs.select(entry, receptor).distinct().withColumn(chain, F.explode(receptor))
     named = chains.select(entry, chain, *columns).distinct()
     return asked.join(named, [entry, chain]).groupBy(entry, receptor).agg(
-        *[F.array_join(F.array_sort(F.collect_set(blank_to_null(c))), "; ").alias(c) for c in columns])
+        *[F.array_join(F.sort_array(F.collect_set(blank_to_null(c))), "; ").alias(c) for c in columns])
 
 
 def pair_master(assays: DataFrame, entries: DataFrame, chains: DataFrame, objects: DataFrame, interfaces: DataFrame,
@@ -144,7 +144,7 @@ def chain_context(samples: DataFrame, chains: DataFrame, sample_id: str, entry:
     listed = chains.select(entry, "accession", "chain_id").distinct()
     found = wanted.join(listed, [entry, "accession"]).groupBy(sample_id, "chain_id").agg(F.min("_pos").alias("_pos"))
     merged = found.groupBy(sample_id).agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("_pos", "chain_id"))), lambda s: s["chain_id"]).alias("chain_ids"))
+        F.sort_array(F.collect_list(F.struct("_pos", "chain_id"))), lambda s: s["chain_id"]).alias("chain_ids"))
     return samples.join(merged, sample_id, "left")
 
 
@@ -205,7 +205,7 @@ def identity_crosswalk(pairs: DataFrame, chains: DataFrame, ligands: DataFrame)
     protein_id = F.when(text("accession") != "", F.concat(F.lit("protein:"), F.col("accession"))).otherwise(
         F.concat(F.lit("protein:"), F.col("entry_id"), F.lit(":"), F.col("chain_id")))
     proteins = linked.groupBy("pair_key").agg(
-        F.array_join(F.array_sort(F.collect_set(protein_id)), "; ").alias("protein_ids"),
+        F.array_join(F.sort_array(F.collect_set(protein_id)), "; ").alias("protein_ids"),
         F.bool_and(status == "exact_uniprot").alias("_proteins_exact"), F.bool_or(found).alias("_any_protein"))
     matched = match_any_key(
         pairs.filter(text("ligand_key") != "").select("pair_key", "entry_id", "ligand_key").distinct(), ligands,

@@ -48,7 +48,7 @@ def group_summary(df: DataFrame, keys: Sequence[str], source: str, log_value: st
         F.round(F.avg(log_value), 6).alias("mean_log10"),
         F.min(log_value).alias("_low"),
         F.max(log_value).alias("_high"),
-        F.array_sort(F.collect_set(F.nullif(F.col(source), F.lit("")))).alias("_sources"),
+        F.sort_array(F.collect_set(F.nullif(F.col(source), F.lit("")))).alias("_sources"),
     )
     best = F.array_min(
         F.transform("_sources", lambda s: F.struct(source_priority(s).alias("p"), s.alias("s")))

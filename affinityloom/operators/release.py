@@ -111,7 +111,7 @@ def constraint_violations(cols: dict[str, Column], tasks: Sequence[str]) -> Colu
 
 
 def unknown_keys(values: Column | str, known: Sequence[str]) -> Column:
-    return F.array_sort(F.array_except(F.map_keys(values), F.array(*[F.lit(k) for k in known])))
+    return F.sort_array(F.array_except(F.map_keys(values), F.array(*[F.lit(k) for k in known])))
 
 
 def mode_keeps(mode: str, task: Column, family: Column, penalty: Column) -> Column:
@@ -126,7 +126,7 @@ def mode_keeps(mode: str, task: Column, family: Column, penalty: Column) -> Colu
 
 def non_high_fields(confidence: Column | str) -> Column:
     """Sorted names of a confidence map whose level is neither blank nor high."""
-    return F.array_sort(F.map_keys(F.map_filter(
+    return F.sort_array(F.map_keys(F.map_filter(
         confidence, lambda k, v: ~F.lower(F.coalesce(v, F.lit(""))).isin("", "high"))))
 
 
@@ -178,12 +178,12 @@ def gate_pairs(pairs: DataFrame, issues: DataFrame) -> DataFrame:
     by_entry = issues.filter("scope = 'entry'").groupBy("entry_id").agg(F.collect_set("issue_type").alias("_entry"))
     none = F.array().cast("array<string>")
     joined = pairs.join(by_pair, ["entry_id", "pair_key"], "left").join(by_entry, "entry_id", "left")
-    kinds = F.array_sort(F.array_union(F.coalesce("_pair", none), F.coalesce("_entry", none)))
+    kinds = F.sort_array(F.array_union(F.coalesce("_pair", none), F.coalesce("_entry", none)))
     extra = named([(text("preferred_source") == "", "missing_preferred_source"),
                    (F.col("log_value").isNull(), "missing_standardized_affinity")])
     blockers = F.array_intersect(kinds, F.array(*[F.lit(b) for b in BLOCKERS]))
     return joined.withColumn("issue_types", F.array_join(kinds, "; ")).withColumn(
-        "exclusion_reasons", F.array_join(F.array_sort(F.array_union(blockers, extra)), "; ")).drop("_pair", "_entry")
+        "exclusion_reasons", F.array_join(F.sort_array(F.array_union(blockers, extra)), "; ")).drop("_pair", "_entry")
 
 
 def conflict_defaults(summary: Column, band: Column, count: Column, flag: Column, value: Column,

@@ -108,7 +108,7 @@ def training_quality(df: DataFrame, cols: dict[str, str]) -> DataFrame:
 def set_rollup(df: DataFrame, key: str, sets: Sequence[str], counts: Sequence[Column] = ()) -> DataFrame:
     """Sorted distinct small-vocabulary values per key, as ``; `` text, plus extra aggregates."""
     return df.groupBy(key).agg(
-        *[F.array_join(F.array_sort(F.collect_set(F.nullif(text(c), F.lit("")))), "; ").alias(c) for c in sets], *counts)
+        *[F.array_join(F.sort_array(F.collect_set(F.nullif(text(c), F.lit("")))), "; ").alias(c) for c in sets], *counts)
 
 
 def member_list(df: DataFrame, key: str, member: str, ordinal: str) -> DataFrame:
@@ -150,7 +150,7 @@ def group_concentration(df: DataFrame, modes: dict[str, Column], top: int = 5) -
                       for m, c in modes.items()])
     counts = df.select(F.inline(pairs)).groupBy("mode", "value").agg(F.count(F.lit(1)).alias("n"))
     best = top_rows(counts, ["mode"], [F.col("n").desc(), F.col("value")], top, rank="r").groupBy("mode").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "value", "n"))),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "value", "n"))),
                                  lambda s: F.concat(s["value"], F.lit("="), s["n"].cast("string"))), "; ").alias("dominant"))
     stats = counts.groupBy("mode").agg(
         F.count(F.lit(1)).alias("group_count"), F.max("n").alias("largest"), F.count_if(F.col("n") == 1).alias("singletons"),

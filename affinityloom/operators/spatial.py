@@ -116,7 +116,7 @@ def refined_sites(shells: DataFrame, structure: str, site: str) -> DataFrame:
     charge = F.sum("charge_sum")
     donors, acceptors = F.sum("donor_count"), F.sum("acceptor_count")
     metals, rings = F.sum("metal_count"), F.sum("aromatic_count")
-    env = F.array_sort(F.collect_list(F.struct("shell", "neighbor_count", "charge_sum", "donor_count", "acceptor_count")))
+    env = F.sort_array(F.collect_list(F.struct("shell", "neighbor_count", "charge_sum", "donor_count", "acceptor_count")))
     return shells.groupBy(structure, site).agg(
         F.round(charge / n, 6).alias("refined_charge"), F.round(charge, 6).alias("potential"),
         F.round(F.max("field_magnitude"), 6).alias("field"), F.round(donors / n, 6).alias("donor_strength"),

@@ -82,7 +82,7 @@ def pair_master(spark, sf_dir):
        LEFT JOIN (SELECT entry_id, count(*) AS n FROM interfaces GROUP BY 1) i USING (entry_id)""")
 def entry_master(spark, sf_dir):
     n = lambda name: F.count(F.lit(1)).alias(name)
-    names = lambda c, name: F.array_join(F.array_sort(F.collect_set(c)), ",").alias(name)
+    names = lambda c, name: F.array_join(F.sort_array(F.collect_set(c)), ",").alias(name)
     out = J.entry_master(D.entries(spark, sf_dir).select("entry_id", "method"), [
         (D.chains(spark, sf_dir), [n("chain_rows"), names("chain_id", "chain_ids")]),
         (D.assays(spark, sf_dir), [n("assay_rows"), names("source", "sources")]),
@@ -176,8 +176,8 @@ def annotation_join(spark, sf_dir):
     supp = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("accession"), "s_name")
     nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("accession"), "n_name")
     ids = p.groupBy(F.col("p_brand").alias("entry")).agg(
-        F.array_sort(F.collect_set("p_type")).alias("ids"),
-        F.array_sort(F.collect_set(F.when(F.col("p_size") % 2 == 0, F.col("p_type")))).alias("even"))
+        F.sort_array(F.collect_set("p_type")).alias("ids"),
+        F.sort_array(F.collect_set(F.when(F.col("p_size") % 2 == 0, F.col("p_type")))).alias("even"))
     folds = ids.select("entry", "ids", F.when(F.size("even") > 0, F.create_map(F.lit("0"), F.col("even"))).alias("chain_map"))
     return J.annotation_join(rows, [supp, nation], [(folds, "folds")], "accession", "entry", "chain").select(
         "p_partkey", "s_name", "n_name", F.array_join("folds", ";").alias("folds"))

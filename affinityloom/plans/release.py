@@ -90,7 +90,7 @@ def entry_issue_frame(spark, sf_dir):
         F.lit("method"), F.when(F.col("method") == "5-LOW", "low").otherwise("high"), F.lit("title"), F.lit("")))
     counts = D.assays(spark, sf_dir).groupBy("entry_id").agg(F.count(F.lit(1)).alias("assay_count"))
     bare = D.objects(spark, sf_dir).filter("component_type IN ('small_molecule', 'cofactor') AND inchikey = ''").groupBy("entry_id").agg(
-        F.array_join(F.array_sort(F.collect_set("component_id")), "; ").alias("missing_components"))
+        F.array_join(F.sort_array(F.collect_set("component_id")), "; ").alias("missing_components"))
     return R.entry_issues(e, counts, bare)
 
 
