@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from affinityloom.functions.hashing import char_ngrams, first_byte_bin, hashed_tokens, residue_fractions
 from affinityloom.functions.text import text
+from affinityloom.operators.ordering import top_rows
 
 
 def hashed_feature_rows(df: DataFrame, key: str, column: str, prefix: str, bins: int,
@@ -83,3 +84,35 @@ def conformation_rows(entries: DataFrame) -> DataFrame:
         F.lit("predicted_pending").alias("conformation"), F.lit("planned").alias("confidence"),
     )
     return entries.select(F.inline(F.array_compact(F.array(observed, F.when(known, planned)))))
+
+
+def interface_residue_summary(residues: DataFrame, structure: str, residue: str, ordinal: str, k: int = 50) -> DataFrame:
+    """Distinct interface residues per structure: how many, and the first ``k`` in order as text."""
+    distinct = residues.groupBy(structure, residue).agg(F.min(ordinal).alias("_o"))
+    head = top_rows(distinct, [structure], ["_o"], k, rank="_n").groupBy(structure).agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_n", residue))), lambda s: s[residue]), ",").alias("residues"))
+    return distinct.groupBy(structure).agg(F.count(F.lit(1)).alias("residue_count")).join(head, structure)
+
+
+def query_context_features(structure: str, sections: dict[str, DataFrame]) -> DataFrame:
+    """Per-structure summaries merged to dotted numeric features in long form."""
+    out = None
+    for name, df in sections.items():
+        numeric = [f.name for f in df.schema.fields if f.name != structure and isinstance(f.dataType, (T.NumericType, T.BooleanType))]
+        pairs = F.array(*[F.struct(F.lit(f"{name}.{c}").alias("feature"), F.col(c).cast("double").alias("value")) for c in numeric])
+        part = df.select(structure, F.inline(F.filter(pairs, lambda s: s["value"].isNotNull())))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def site_example_rows(records: DataFrame, pairs: DataFrame, record: str) -> DataFrame:
+    """Example, label and meta fields per (record, pair): Kd values go to ``kd``; a record without pairs
+    becomes one inference-only row. ``pairs``: record, position, pair_key, kind, value, mean."""
+    joined = records.join(pairs, record, "left")
+    have = F.col("pair_key").isNotNull()
+    label = F.coalesce(F.nullif("value", F.lit(0.0)), "mean")
+    return joined.select(
+        record, F.when(have, F.concat_ws(":", F.col(record).cast("string"), F.col("position").cast("string"))).alias("example_id"),
+        "pair_key", F.when(F.col("kind") == "Kd", label).alias("kd"), F.nullif("kind", F.lit("")).alias("class_label"),
+        F.when(have, F.coalesce(F.nullif(F.split("pair_key", r"\|")[0], F.lit("")), F.lit("unknown"))).otherwise("inference_ready_only").alias("task"),
+        (have & label.isNotNull()).alias("supervised"))

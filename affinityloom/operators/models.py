@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from affinityloom.functions import affinity as A
-from affinityloom.operators.ordering import top_rows, with_position
+from affinityloom.operators.ordering import top_rows, with_group_rank, with_position
 from affinityloom.session import pin
 
 
@@ -32,9 +32,8 @@ def rank_targets(matches: DataFrame, query: str, target: str, example: str, inte
         query, target, F.round("raw", 9).alias("_rank_score"), F.round(A.logistic("raw"), 4).alias("confidence"),
         F.round("_best", 4).alias("similarity"), F.round(F.pow(F.lit(10.0), mean), 3).alias("predicted_kd_nm"),
         A.free_energy_proxy(mean).alias("free_energy"), "support")
-    from pyspark.sql import Window
-    window = Window.partitionBy(query).orderBy(F.col("_rank_score").desc(), F.col(target))
-    return scored.withColumn("rank", F.row_number().over(window)).drop("_rank_score")
+    ranked = with_group_rank(scored, [query], [F.col("_rank_score").desc(), F.col(target)], "rank")
+    return ranked.withColumn("rank", F.col("rank").cast("int")).drop("_rank_score")
 
 
 def top_support(matches: DataFrame, query: str, target: str, example: str, k: int = 5) -> DataFrame:

@@ -18,13 +18,17 @@ def s(c):
     return F.col(c).cast("string")
 
 
-@query("json_directory_scan", "A1", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+@query("json_directory_scan", "A1", "SELECT p_partkey, p_brand, p_size FROM part WHERE p_partkey // 200 % 5 <> 3")
 def json_directory_scan(spark, sf_dir):
+    """Files of 200 records each (keys are dense); every fifth file is cut short and must be skipped."""
     path = SC.scratch_path(spark, "json")
-    table(spark, sf_dir, "nation").write.json(path)
-    schema = T.StructType([T.StructField("n_nationkey", T.IntegerType()), T.StructField("n_name", T.StringType()), T.StructField("n_regionkey", T.IntegerType())])
-    lines = SC.with_ordinal(spark.read.schema(schema).json(path))
-    return lines.select("n_nationkey", "n_name", "n_regionkey")
+    n = F.floor(F.col("p_partkey") / 200)
+    files = table(spark, sf_dir, "part").groupBy(n.alias("n")).agg(F.to_json(F.collect_list(F.struct("p_partkey", "p_brand", "p_size"))).alias("value"))
+    cut = F.when(F.col("n") % 5 == 3, F.substring("value", 1, 50)).otherwise(F.col("value"))
+    files.select(cut.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    schema = T.StructType([T.StructField("p_partkey", T.LongType()), T.StructField("p_brand", T.StringType()), T.StructField("p_size", T.IntegerType())])
+    rows = SC.read_json_directory(spark, path, schema, "*.txt").filter("p_size IS NOT NULL")
+    return rows.select("p_partkey", "p_brand", "p_size")
 
 
 @query("parquet_round_trip", "A2", "SELECT l_returnflag, count(*) AS n, max(l_orderkey) AS top FROM lineitem GROUP BY 1")

@@ -10,6 +10,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Small-set aggregates (collect_set of names) stay in the hash map well past the default 128 keys.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "100000",
     "spark.sql.session.timeZone": "UTC",
 }
 

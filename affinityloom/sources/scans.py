@@ -27,11 +27,11 @@ def with_ordinal(df: DataFrame, name: str = "ord") -> DataFrame:
         F.monotonically_increasing_id().alias("row")))
 
 
-def read_json_directory(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_json_directory(spark: SparkSession, path: str, schema: T.StructType, pattern: str = "*.json") -> DataFrame:
     """Every JSON file of a folder, each an object or a list of objects; unreadable files give no rows."""
     marked = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
     rows = with_ordinal(spark.read.schema(marked).option("multiLine", True).option("mode", "PERMISSIVE")
-                        .option("pathGlobFilter", "*.json").json(path))
+                        .option("pathGlobFilter", pattern).json(path))
     return rows.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
 
 
