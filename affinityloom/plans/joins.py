@@ -155,11 +155,11 @@ def split_assignment(spark, sf_dir):
 @query("chain_context", "C10",
        W + """, s AS (SELECT l_orderkey * 1000 + l_linenumber AS x, entry_id, l_suppkey, ord FROM base), w AS (SELECT entry_id, ord, 'U' || l_suppkey AS accession FROM s),
        f AS (SELECT w.entry_id, w.ord, array_to_string(list_sort(list(DISTINCT c.chain_id)), ',') AS chain_ids FROM w JOIN chains c ON c.entry_id = w.entry_id AND c.accession = w.accession GROUP BY ALL)
-       SELECT md5(w.entry_id || w.accession || (w.ord)[1] || (w.ord)[2]) AS sample_id, coalesce(f.chain_ids, '') AS chain_ids FROM w LEFT JOIN f ON f.entry_id = w.entry_id AND f.ord = w.ord""")
+       SELECT md5(concat_ws('|', w.entry_id, w.accession, (w.ord)[1], (w.ord)[2])) AS sample_id, coalesce(f.chain_ids, '') AS chain_ids FROM w LEFT JOIN f ON f.entry_id = w.entry_id AND f.ord = w.ord""")
 def chain_context(spark, sf_dir):
     accession = D.numbered("U", F.col("l_suppkey"))
     samples = D.base(spark, sf_dir).select(
-        F.md5(F.concat("entry_id", accession, F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"))).alias("sample_id"),
+        F.md5(F.concat_ws("|", "entry_id", accession, F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"))).alias("sample_id"),
         "entry_id", F.array(accession).alias("accessions"))
     out = J.chain_context(samples, D.chains(spark, sf_dir), "sample_id", "entry_id", "accessions")
     return out.select("sample_id", F.coalesce(F.array_join("chain_ids", ","), F.lit("")).alias("chain_ids"))
