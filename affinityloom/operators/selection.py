@@ -6,7 +6,6 @@ Both are sequential by definition. Spark scores or assigns every row; only a bou
 
 from __future__ import annotations
 
-import hashlib
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame
@@ -187,7 +186,3 @@ def queue_batches(representatives: DataFrame, motif: str, order: str, k: int = 2
     """First ``k`` representatives per motif in order, as one ordered list per motif (bounded by k)."""
     return top_rows(representatives, [motif], [F.col(order)], k, rank="_n").groupBy(motif).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("_n", order))), lambda s: s[order]).alias("archetype_ids"))
-
-
-def seed_tie(seed: int, value: str) -> str:
-    return hashlib.md5(f"{seed}:{value}".encode()).hexdigest()

@@ -30,10 +30,6 @@ interfaces AS (SELECT entry_id, ord, {sql_pick(['A', 'B,C', ''], 'l_linenumber')
 """
 
 
-def line(n: str) -> object:
-    return F.col(n)
-
-
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
         "*", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate").alias("ord"),

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from affinityloom.operators import graph as G
-from affinityloom.operators.ordering import first_rows
 from affinityloom.plans import domain as D
 from affinityloom.plans.registry import query, table
 from affinityloom.plans.scalars import pick, sql_pick
@@ -203,6 +202,3 @@ def split_items_query(spark, sf_dir):
     from affinityloom.operators.examples import split_items
     return split_items(D.keyed_assays(spark, sf_dir), D.chains(spark, sf_dir)).select(
         "item_id", "receptor_identity", "hard_group_key", "scaffold_key", "mutation_family")
-
-
-del first_rows

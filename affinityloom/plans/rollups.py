@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from affinityloom.operators import rollups as A
-from affinityloom.operators import splits as SP
 from affinityloom.plans import domain as D
 from affinityloom.plans.registry import query, table
 from affinityloom.plans.splits import ITEMS_SQL, split_items
@@ -195,6 +194,3 @@ def dataset_diversity(spark, sf_dir):
     return items.agg(F.count(F.lit(1)).alias("row_count"), F.count_if(F.col("split") == "train").alias("train_count"),
                      F.countDistinct("source").alias("family_diversity"), F.countDistinct("lang").alias("organism_diversity"),
                      F.countDistinct(F.nullif("hard_key", F.lit(""))).alias("group_diversity"))
-
-
-del SP
