@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from affinityloom.llm import byte_bpe, line_dedup, secret_ledger
+from affinityloom.llm import byte_bpe, classifiers, decontaminate, line_dedup, secret_ledger, token_codes
+from affinityloom.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -40,3 +41,33 @@ def _op10(spark, sf_dir):
 
     return byte_bpe.encode_texts(
         _docs(spark, sf_dir), tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN, ["doc_id"])
+
+
+@_register("op4_benchmark_decontamination")
+def _op4(spark, sf_dir):
+    return decontaminate.decontamination_digest(_docs(spark, sf_dir), _docs(spark, sf_dir, "benchmark"))
+
+
+@_register("op5_token_codes")
+def _op5(spark, sf_dir):
+    import public_tokenizers as tokenizers
+
+    return token_codes.token_codes(_docs(spark, sf_dir), tokenizers.path("byte_bpe_50k.json"))
+
+
+def toxicity_model(spark, sf_dir):
+    rows = classifiers.labelled_rows(_docs(spark, sf_dir), _docs(spark, sf_dir, "labels"), "toxic", fold("doc_id", 5) != 0)
+    return classifiers.fit_toxicity(rows)
+
+
+@_register("op3_toxicity")
+def _op3(spark, sf_dir):
+    scored = toxicity_model(spark, sf_dir).score(_docs(spark, sf_dir).select("doc_id", "text"))
+    return classifiers.digest(scored, fold("doc_id", 5) == 0)
+
+
+@_register("op8_quality_ranking")
+def _op8(spark, sf_dir):
+    rows = classifiers.labelled_rows(_docs(spark, sf_dir), _docs(spark, sf_dir, "labels"), "quality", fold("doc_id", 3) != 1)
+    scored = classifiers.fit_quality(rows).score(_docs(spark, sf_dir).select("doc_id", "text"))
+    return classifiers.digest(scored, fold("doc_id", 3) == 1)

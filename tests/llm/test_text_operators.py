@@ -72,3 +72,46 @@ def test_word_hashes(odd):
     assert len(flat) == len(hashes) and len(set(flat)) == len(set(hashes.tolist()))
     assert len({(a, int(b)) for a, b in zip(flat, hashes)}) == len(set(flat))
     assert bounds[-1] == len(flat)
+
+
+@pytest.mark.parametrize("which", ["rows", "odd"])
+def test_token_codes(frame, request, which):
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    from affinityloom.llm import token_codes
+
+    pairs = request.getfixturevalue(which)
+    path = tokenizers.path("byte_bpe_50k.json")
+    t, start, want = Tokenizer.from_file(path), 0, {}
+    for i, text in sorted(pairs):
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
+        want[i] = (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert by_id(token_codes.token_codes(frame(pairs), path)) == want
+
+
+def test_codes_random_access():
+    from affinityloom.llm.token_codes import Codes, pack
+
+    for high in (200, 256, 50257, 2**20, 2**32):
+        ids = np.random.default_rng(high).integers(0, high, 3001).astype(np.uint32)
+        codes = Codes(pack(ids))
+        assert [codes[i] for i in range(0, 3001, 7)] == ids[::7].tolist()
+        for a, b in ((0, 3001), (5, 6), (511, 513), (1000, 1000), (2990, 3001)):
+            assert codes.slice(a, b).tolist() == ids[a:b].tolist()
+
+
+@pytest.mark.parametrize("which", ["rows", "odd"])
+def test_decontamination(spark, frame, request, sf_dir, which):
+    from affinityloom.llm import decontaminate
+
+    pairs = request.getfixturevalue(which)
+    items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
+    if which == "odd":
+        long = " ".join(f"w{i % 5}" for i in range(60))
+        items = [(1, "one two"), (2, None), (3, "..."), (4, pairs[8][1]), (10, "One"), (11, long)]
+        pairs = [*pairs, (100, long), (101, "z " * 300 + long), (102, long + " " + long), (103, "one two " * 20)]
+    got = decontaminate.decontamination_digest(frame(pairs), spark.createDataFrame(items, "item_id long, text string"))
+    assert {k: v[:5] for k, v in by_id(got).items()} == brute.contamination(pairs, items)
