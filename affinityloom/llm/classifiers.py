@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from affinityloom.llm.common import stored
 
-GRAMS = (3, 4, 5)
+GRAMS = (3, 5, 6, 7, 8, 9)
 BUCKETS = 1 << 20
-KEPT_GRAMS = 1 << 14
+KEPT_GRAMS = 1 << 15
 SMOOTHING = 1.0
 
 
@@ -93,7 +93,7 @@ def _has_both(labelled: DataFrame) -> bool:
     return row["a"] is not None and row["a"] != row["b"]
 
 
-def fit_toxicity(labelled: DataFrame, reg: float = 1e-3) -> ToxicityModel:
+def fit_toxicity(labelled: DataFrame, reg: float = 1e-2) -> ToxicityModel:
     """Logistic regression over n-gram presence scaled by log-count ratios, from (text, label).
 
     Every labelled row is used; Spark fits on all of them. Rows with a null label are left out.

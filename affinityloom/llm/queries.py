@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from affinityloom.llm import byte_bpe, classifiers, decontaminate, line_dedup, secret_ledger, token_codes
+from affinityloom.llm import byte_bpe, classifiers, decontaminate, jaccard_join, line_dedup, secret_ledger, token_codes
 from affinityloom.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,8 @@ def _op8(spark, sf_dir):
     rows = classifiers.labelled_rows(_docs(spark, sf_dir), _docs(spark, sf_dir, "labels"), "quality", fold("doc_id", 3) != 1)
     scored = classifiers.fit_quality(rows).score(_docs(spark, sf_dir).select("doc_id", "text"))
     return classifiers.digest(scored, fold("doc_id", 3) == 1)
+
+
+@_register("op1_jaccard_join")
+def _op1(spark, sf_dir):
+    return jaccard_join.jaccard_digest(_docs(spark, sf_dir))

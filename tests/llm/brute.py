@@ -38,7 +38,7 @@ def secrets(docs):
     return out
 
 
-def jaccard(docs, words, n=3):
+def jaccard(docs, n=3, percent=90):
     sets = {}
     for i, t in docs:
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW))
@@ -60,7 +60,7 @@ def jaccard(docs, words, n=3):
             for b in range(a):
                 shared[group[a], group[b]] += 1
     for (a, b), n_shared in shared.items():
-        if 100 * n_shared >= 90 * (len(sets[a]) + len(sets[b]) - n_shared):
+        if 100 * n_shared >= percent * (len(sets[a]) + len(sets[b]) - n_shared):
             x, y = root(a), root(b)
             parent[max(x, y)] = min(x, y)
     return {i: (len(s), root(i)) for i, s in sets.items()}
