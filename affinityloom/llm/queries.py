@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from affinityloom.llm import byte_bpe, classifiers, decontaminate, jaccard_join, line_dedup, secret_ledger, token_codes
+from affinityloom.llm import (
+    byte_bpe, classifiers, decontaminate, jaccard_join, kneser_ney, line_dedup, media, secret_ledger, token_codes,
+)
 from affinityloom.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +78,13 @@ def _op8(spark, sf_dir):
 @_register("op1_jaccard_join")
 def _op1(spark, sf_dir):
     return jaccard_join.jaccard_digest(_docs(spark, sf_dir))
+
+
+@_register("op6_media_columns")
+def _op6(spark, sf_dir):
+    return media.media_digest(_docs(spark, sf_dir))
+
+
+@_register("op9_kneser_ney")
+def _op9(spark, sf_dir):
+    return kneser_ney.lm_digest(_docs(spark, sf_dir))
