@@ -96,7 +96,8 @@ def _has_both(labelled: DataFrame) -> bool:
 def fit_toxicity(labelled: DataFrame, reg: float = 1e-2) -> ToxicityModel:
     """Logistic regression over n-gram presence scaled by log-count ratios, from (text, label).
 
-    Every labelled row is used; Spark fits on all of them. Rows with a null label are left out.
+    Every labelled row is used; Spark fits on all of them. Rows of label 1 weigh the root of the
+    labels' ratio, so that the rarer label isn't given up at a score of 0.5. Rows with a null label are left out.
     With labels of one kind or none the model gives that rate to every text (0.5 for none).
     """
     labelled = stored(labelled.where(F.col("label").isNotNull()).select("text", F.col("label").cast("int").alias("label")), "labelled")
@@ -121,7 +122,9 @@ def fit_toxicity(labelled: DataFrame, reg: float = 1e-2) -> ToxicityModel:
     to_vector = F.udf(lambda at, value: SparseVector(size, at, value), VectorUDT())
     sparse = stored(labelled.mapInArrow(vectors, "label int, at array<int>, value array<double>"), "features")
     train = sparse.select(F.col("label").cast("double").alias("label"), to_vector("at", "value").alias("features"))
-    fitted = LogisticRegression(regParam=reg, standardization=False, maxIter=60).fit(train)
+    share = train.agg(F.avg("label")).first()[0]
+    weighted = train.withColumn("weight", F.when(F.col("label") == 1, float(np.sqrt((1 - share) / share))).otherwise(1.0))
+    fitted = LogisticRegression(regParam=reg, standardization=False, maxIter=60, weightCol="weight").fit(weighted)
     weights = np.zeros(BUCKETS)
     weights[kept] = ratios * fitted.coefficients.toArray()
     return ToxicityModel(weights, float(fitted.intercept))
