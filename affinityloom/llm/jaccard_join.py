@@ -14,6 +14,7 @@ from affinityloom.llm.common import SPACED, stored, words
 BUCKET_BITS = 22
 HOT_BUCKETS = 1 << 16
 HOT_IN_TASK = 16
+SKETCH_WORDS = 16
 
 
 def shingle_sets(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
@@ -60,8 +61,18 @@ def hot_buckets(docs: DataFrame, n: int) -> dict[int, int]:
     return {r[0]: r[1] for r in per.orderBy(F.desc("n"), "bucket").limit(HOT_BUCKETS).collect()}
 
 
+def _sketch(shingles: np.ndarray) -> list[int]:
+    """Parity of the shingles that fall on each of SKETCH_WORDS * 64 bits.
+
+    Two sets differ in at least as many shingles as their sketches differ in bits.
+    """
+    spots = (shingles.view(np.uint64) >> np.uint64(7)) % np.uint64(64 * SKETCH_WORDS)
+    odd = np.bincount(spots.astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).tolist()
+
+
 def _signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """id, set size, a 128-bit key of the set and its prefix: enough shingles that linked sets share one."""
+    """id, set size, a 128-bit key of the set, its sketch and its prefix: enough shingles that linked sets share one."""
     hot = hot_buckets(docs, n)
     sent = docs.sparkSession.sparkContext.broadcast(
         (np.array(sorted(hot), np.int64), np.array([hot[k] for k in sorted(hot)], np.int64)))
@@ -69,7 +80,7 @@ def _signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, counts = sent.value
         for ids, sets in _parts(batches, n):
-            sizes, low, high, prefixes = [], [], [], []
+            sizes, low, high, prefixes, sketches = [], [], [], [], []
             for s in sets:
                 m = len(s)
                 sizes.append(m)
@@ -84,27 +95,47 @@ def _signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
                     weight = np.where(names[at] == b, counts[at], 0)
                 keep = m - -(-m * percent // 100) + 1 if m else 0
                 prefixes.append(s[np.lexsort((s, weight))[:keep]].tolist())
+                sketches.append(_sketch(s))
             yield pa.RecordBatch.from_pydict({
                 "id": pa.array(ids, pa.int64()), "n": pa.array(sizes, pa.int64()), "low": pa.array(low, pa.int64()),
-                "high": pa.array(high, pa.int64()), "prefix": pa.array(prefixes, pa.list_(pa.int64()))})
+                "high": pa.array(high, pa.int64()), "prefix": pa.array(prefixes, pa.list_(pa.int64())),
+                "sketch": pa.array(sketches, pa.list_(pa.int64()))})
 
-    return docs.mapInArrow(run, "id bigint, n bigint, low bigint, high bigint, prefix array<bigint>")
+    return docs.mapInArrow(run, "id bigint, n bigint, low bigint, high bigint, prefix array<bigint>, sketch array<bigint>")
 
 
-def _with_similarity(pairs: DataFrame, docs: DataFrame, n: int) -> DataFrame:
-    """(a, b) pairs plus ``shared`` and ``joined`` (sizes of intersection and union)."""
+def _near_by_sketch(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """(a, b) pairs that their sizes and sketches don't rule out, plus ``gap``, the bits that differ."""
+    own = lambda c: sketches.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+    both = pairs.select("a", "b").join(own("b"), "b").join(own("a"), "a")
+    gap = sum(F.bit_count(F.col("s_a")[i].bitwiseXOR(F.col("s_b")[i])) for i in range(SKETCH_WORDS))
+    return (
+        both.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b", "n_a", "n_b", gap.alias("gap"))
+        .where((100 + percent) * F.col("gap") <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
+        .groupBy("a", "b").agg(F.min("gap").alias("gap"))
+    )
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Those (a, b) pairs whose texts' whole sets are linked. Texts travel, not sets: they are smaller."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = docs.join(ids, "id", "left_semi").groupBy("id").agg(F.collect_set("text").alias("texts"))
+    both = pairs.select("a", "b").join(texts.select(F.col("id").alias("b"), F.col("texts").alias("tb")), "b").join(
+        texts.select(F.col("id").alias("a"), F.col("texts").alias("ta")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for own, sets in _parts(batches, n):
-            yield pa.RecordBatch.from_pydict({
-                "id": pa.array(own, pa.int64()), "s": pa.array([x.tolist() for x in sets], pa.list_(pa.int64()))})
+        for batch in batches:
+            for part in (batch.slice(i, 64) for i in range(0, batch.num_rows, 64)):
+                left, right = ([list(shingle_sets(t, n)) for t in part.column(c).to_pylist()] for c in ("ta", "tb"))
+                keep = [any(_above(x, y, percent) for x in xs for y in ys) for xs, ys in zip(left, right)]
+                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    sets = stored(docs.join(ids, "id", "left_semi").mapInArrow(run, "id bigint, s array<bigint>").dropDuplicates(["id"]), "sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(
-        sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return both.withColumn("shared", shared).withColumn("joined", F.size("sa") + F.size("sb") - F.col("shared")).drop("sa", "sb")
+    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
+
+
+def _above(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return shared > 0 and 100 * shared >= percent * (len(x) + len(y) - shared)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -124,13 +155,16 @@ def components(edges: DataFrame) -> DataFrame:
 def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id") -> DataFrame:
     """(id, n_shingles, component): sets linked when 100 * intersection >= ``percent`` * union.
 
-    Equal sets fold into their smallest id. A shingle's holders (by prefix) are its region, whose
-    pivot is its smallest id; every member's distance to the pivot is verified, which links the
-    members near it. Two members can only be linked where their distances to the pivot differ by
-    at most the radius, so the second pass joins, inside those windows, members that the first
-    left in different components, with bounds on sizes, and verifies them. Empty sets link with
-    nothing. Rows with a null id are left out; an id with several texts takes the links of each,
-    and the size of its largest set.
+    Equal sets fold into their smallest id. A shingle's holders (by prefix) are its region, with
+    two pivots: its smallest id and a member by hash. First each member is verified against the
+    pivot it is nearest to, then each pair of components against its nearest (member, pivot).
+    What is left is joined exactly: in each region, members outside its largest component meet
+    members of other components inside size windows, which are the triangle inequality's for
+    distances to the empty set, and pairs that positions and sketches don't rule out are
+    verified. Members of one component never meet, so a group of copies costs no pairs.
+
+    Empty sets link with nothing. Rows with a null id are left out; an id with several texts
+    takes the links of each, and the size of its largest set.
     """
     docs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), "text")
     signed = stored(_signatures(docs, n, percent), "signatures")
@@ -139,43 +173,57 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str =
     same = held.groupBy("low", "high", "n").agg(F.min("id").alias("rep"))
     folded = stored(held.select("id", "low", "high", "n").join(same, ["low", "high", "n"]).select("id", "rep"), "folded")
     reps = held.join(folded.where(F.col("id") == F.col("rep")).select("id").distinct(), "id", "left_semi")
+    sketches = stored(reps.select("id", "n", "sketch").distinct(), "sketches")
     tokens = reps.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
-    regions = tokens.groupBy("token").agg(
-        F.min("id").alias("pivot"), F.max("id").alias("last")).where(F.col("pivot") != F.col("last")).select("token", "pivot")
+    by_hash = F.struct(F.xxhash64("id").alias("h"), "id")
+    regions = tokens.groupBy("token").agg(F.min("id").alias("pivot"), F.max("id").alias("last"), F.min(by_hash)["id"].alias("other")).where(
+        F.col("pivot") != F.col("last")).select("token", "pivot", "other")
     members = stored(tokens.join(regions, "token"), "members")
 
-    sized = members.select("id", "pivot").where(F.col("id") != F.col("pivot")).distinct()
-    limit = F.lit(percent)
-    measured = stored(_with_similarity(sized.select(F.col("pivot").alias("a"), F.col("id").alias("b")), docs, n), "measured")
-    linked = F.col("shared") * 100 >= F.col("joined") * percent
-    first = stored(measured.where(linked).select("a", "b"), "links")
-    labels = components(first)
-
-    radius = 1 - percent / 100 + 1e-9
-    distance = measured.select(F.col("a").alias("pivot"), F.col("b").alias("id"), (1 - F.col("shared") / F.col("joined")).alias("d"))
-    placed = stored(
-        members.join(distance, ["pivot", "id"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
-        .join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
-    # a region whose members all fell into one component needs no second look
-    mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("token")
-    open_ = placed.where(F.col("id") != F.col("pivot")).join(mixed, "token", "left_semi").withColumn("win", F.floor(F.col("d") / radius).cast("int"))
-    left = open_.select("token", "win", *[F.col(c).alias(f"{c}_a") for c in ("id", "n", "pos", "d", "component")])
-    right = open_.select("token", F.explode(F.array(F.col("win") - 1, F.col("win"), F.col("win") + 1)).alias("win"),
-                         *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "pos", "d", "component")])
-    most = F.least("pos_a", "pos_b") + 1 + F.least(F.col("n_a") - F.col("pos_a") - 1, F.col("n_b") - F.col("pos_b") - 1)
-    cross = left.join(right, ["token", "win"]).where(
-        (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b"))
-        & (F.abs(F.col("d_a") - F.col("d_b")) <= radius)
-        & (100 * F.least("n_a", "n_b") >= limit * F.greatest("n_a", "n_b"))
-        & ((100 + limit) * most >= limit * (F.col("n_a") + F.col("n_b"))))
-    more = stored(cross.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), "cross")
-    second = _with_similarity(more, docs, n).where(linked).select("a", "b")
-    edges = first.union(second).union(folded.where(F.col("id") != F.col("rep")).select(F.col("rep").alias("a"), F.col("id").alias("b")))
-    grouped = components(edges)
-    return sizes.join(grouped, "id", "left").select(
+    met = members.select("id", F.explode(F.array("pivot", "other")).alias("a")).where("id != a").distinct()
+    near = stored(_near_by_sketch(met.withColumnRenamed("id", "b"), sketches, percent), "near")
+    nearest = near.groupBy("b").agg(F.min(F.struct("gap", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
+    first = stored(_linked(stored(nearest, "nearest"), docs, n, percent), "links")
+    between = _across(near, components(first)).groupBy("lo", "hi").agg(F.min(F.struct("gap", "a", "b")).alias("m")).select("m.a", "m.b")
+    links = stored(first.union(_linked(stored(between, "between"), docs, n, percent)), "links")
+    left_over = stored(_near_by_sketch(_window_pairs(members, components(links), percent), sketches, percent), "left_over")
+    edges = links.union(_linked(left_over, docs, n, percent)).union(
+        folded.where(F.col("id") != F.col("rep")).select(F.col("rep").alias("a"), F.col("id").alias("b")))
+    return sizes.join(components(edges), "id", "left").select(
         "id", "n_shingles", F.coalesce("component", "id").alias("component"))
 
 
+def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs of different components, with both components as ``lo`` and ``hi``."""
+    for c in ("a", "b"):
+        pairs = pairs.join(labels.select(F.col("id").alias(c), F.col("component").alias(f"c_{c}")), c, "left").withColumn(
+            f"c_{c}", F.coalesce(f"c_{c}", c))
+    return pairs.where("c_a != c_b").withColumn("lo", F.least("c_a", "c_b")).withColumn("hi", F.greatest("c_a", "c_b"))
+
+
+def _window_pairs(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b) of one region, adjacent size windows and different components."""
+    placed = stored(members.join(labels, "id", "left").select(
+        "token", "id", "n", "pos", F.coalesce("component", "id").alias("component")), "placed")
+    shares = placed.groupBy("token", "component").agg(F.count(F.lit(1)).alias("held"))
+    largest = shares.groupBy("token").agg(F.max(F.struct("held", "component")).alias("m"), F.count(F.lit(1)).alias("parts")).where(
+        "parts > 1").select("token", F.col("m.component").alias("main"))
+    # a window is a little wider than the greatest ratio of linked sizes, so such sizes are at most one apart
+    window = F.floor(F.log("n") / F.lit(float(np.log(100 / percent) + 1e-4))).cast("int")
+    open_ = placed.join(largest, "token").withColumn("win", window)
+    columns = ("id", "n", "pos", "component")
+    left = open_.where("component != main").select(
+        "token", F.explode(F.expr("array(win - 1, win, win + 1)")).alias("win"), *[F.col(c).alias(f"{c}_a") for c in columns])
+    right = open_.select("token", "win", "main", *[F.col(c).alias(f"{c}_b") for c in columns])
+    most = F.least("pos_a", "pos_b") + 1 + F.least(F.col("n_a") - F.col("pos_a") - 1, F.col("n_b") - F.col("pos_b") - 1)
+    return left.join(right, ["token", "win"]).where(
+        (F.col("component_a") != F.col("component_b"))
+        & ((F.col("component_b") == F.col("main")) | (F.col("id_a") < F.col("id_b")))
+        & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+        & ((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b")))
+    ).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+
+
 def jaccard_digest(docs: DataFrame) -> DataFrame:
     return similar_groups(docs).select(
         F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
