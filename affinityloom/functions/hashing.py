@@ -38,8 +38,8 @@ def fallback_split(value: Column | str) -> Column:
 
 
 def hash_bucket(prefix: str, token: Column, bins: int) -> Column:
-    number = F.pmod(md5_prefix(F.concat(F.lit(f"{prefix}:"), token)), F.lit(bins)).cast("string")
-    return F.concat(F.lit(f"{prefix}.hash_"), F.lpad(number, 2, "0"))
+    number = F.pmod(md5_prefix(F.concat(F.lit(f"{prefix}:"), token)), F.lit(bins))
+    return F.concat(F.lit(f"{prefix}.hash_"), F.format_string("%02d", number))
 
 
 def char_ngrams(value: Column, n: int) -> Column:

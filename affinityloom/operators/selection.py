@@ -137,7 +137,8 @@ def archetype_clusters(rows: DataFrame, motif: str, order: str, vector: str, lim
     """Leader clusters per motif: in row order, the first cluster whose fixed first member lies within
     ``limit`` of normalised distance takes the row.
 
-    Equal vectors collapse first. Each round fetches the first ``batch`` undecided vectors per motif,
+    Equal vectors collapse first. A leader always settles itself, so vectors with NaN and empty
+    ones are clusters of their own. Orders are distinct within a motif. Each round fetches the first ``batch`` undecided vectors per motif,
     finds the leaders among them, and lets Spark assign every undecided vector to its first leader.
     """
     keyed = rows.select(motif, order, F.col(vector).cast("array<double>").alias("_v"))
@@ -161,8 +162,8 @@ def archetype_clusters(rows: DataFrame, motif: str, order: str, vector: str, lim
         heads = rows.sparkSession.createDataFrame(flat, schema).groupBy(motif).agg(
             F.sort_array(F.collect_list(F.struct("_i", "_lo", "_lv"))).alias("_leaders"))
         tried = open_.join(F.broadcast(heads), motif).withColumn(
-            "_hit", F.try_element_at(F.filter("_leaders", lambda x: (x["_lo"] <= F.col("_o")) & (
-                descriptor_distance(F.col("_v"), x["_lv"]) <= limit)), F.lit(1)))
+            "_hit", F.try_element_at(F.filter("_leaders", lambda x: (x["_lo"] == F.col("_o")) | ((x["_lo"] < F.col("_o")) & (
+                descriptor_distance(F.col("_v"), x["_lv"]) <= limit))), F.lit(1)))
         settled = pin(tried.filter(F.col("_hit").isNotNull()).select(
             motif, "_v", "_o", F.col("_hit._i").alias("cluster_index"), F.col("_hit._lo").alias("leader")))
         done = settled if done is None else done.unionByName(settled)
@@ -171,6 +172,8 @@ def archetype_clusters(rows: DataFrame, motif: str, order: str, vector: str, lim
 
 
 def _distance(a, b) -> float:
+    if not a or len(a) != len(b):
+        return 1.0
     return sum(abs(x - y) / max(abs(x), abs(y), 1.0) for x, y in zip(a, b)) / len(a)
 
 

@@ -157,14 +157,14 @@ def enriched_edges(edges: DataFrame, refined: DataFrame, site: str) -> DataFrame
 
 def nearest_charges(residues: DataFrame, metals: DataFrame, structure: str, residue: str, sign: str,
                     charge_radius: float = 6.0, metal_radius: float = 5.0) -> DataFrame:
-    """Nearest same-sign and opposite-sign residue and nearest metal per residue (null when none)."""
+    """Nearest same-sign and opposite-sign residue and nearest metal per structure and residue (null when none)."""
     ends = both_ends(near_pairs(residues.filter(F.col(sign) != 0), structure, residue, charge_radius, [sign]), residue, [sign])
     alike = F.col(sign) * F.col(f"other_{sign}") > 0
-    near = ends.groupBy(residue).agg(F.min(F.when(alike, F.col("distance"))).alias("same"),
+    near = ends.groupBy(structure, residue).agg(F.min(F.when(alike, F.col("distance"))).alias("same"),
                                      F.min(F.when(~alike, F.col("distance"))).alias("opposite"))
-    metal = near_join(residues, metals, structure, metal_radius, [residue], []).groupBy(residue).agg(
+    metal = near_join(residues, metals, structure, metal_radius, [residue], []).groupBy(structure, residue).agg(
         F.min("distance").alias("metal"))
-    return residues.join(near, residue, "left").join(metal, residue, "left")
+    return residues.join(near, [structure, residue], "left").join(metal, [structure, residue], "left")
 
 
 def within_radius(points: DataFrame, focus: DataFrame, structure: str, point: str, radius: float) -> DataFrame:

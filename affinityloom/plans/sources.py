@@ -221,9 +221,9 @@ def protein_flat_records(spark, sf_dir):
 def pathway_rollup(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("accession"), F.format_string("w%02d", F.col("l_partkey") % 30).alias("pathway"), F.lit("n").alias("name"), F.col("l_linestatus").alias("species"))
-    species = rows.groupBy("accession").agg(F.sort_array(F.collect_set("species")).alias("sp"))
-    r = AN.pathway_rollup(rows).select("accession", F.array_join(F.transform("pathways", lambda p: p["id"]), ";").alias("pathways"))
-    return r.join(species, "accession").select(F.col("accession").alias("l_suppkey"), "pathways", F.array_join("sp", ";").alias("species"))
+    return AN.pathway_rollup(rows).select(
+        F.col("accession").alias("l_suppkey"), F.array_join(F.transform("pathways", lambda p: p["id"]), ";").alias("pathways"),
+        F.array_join("species", ";").alias("species"))
 
 
 @query("cath_domain_rollup", "A16",

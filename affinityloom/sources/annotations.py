@@ -52,10 +52,10 @@ def pathway_rollup(rows: DataFrame, names: DataFrame | None = None) -> DataFrame
     """
     named = rows if names is None else rows.join(names.select("pathway", F.col("name").alias("_n")), "pathway", "left").withColumn(
         "name", F.coalesce("_n", "name")).drop("_n")
-    distinct = named.groupBy("accession", "pathway").agg(F.min("name").alias("name"), F.min("species").alias("species"))
+    distinct = named.groupBy("accession", "pathway").agg(F.min("name").alias("name"), F.collect_set("species").alias("species"))
     return distinct.groupBy("accession").agg(
         F.sort_array(F.collect_list(F.struct(F.col("pathway").alias("id"), "name"))).alias("pathways"),
-        F.sort_array(F.collect_set("species")).alias("species"))
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list("species")))).alias("species"))
 
 
 def cath_classes(lines: DataFrame, value: str = "value") -> DataFrame:
@@ -70,7 +70,7 @@ def cath_boundaries(lines: DataFrame, value: str = "value") -> DataFrame:
     p = F.filter(F.split(F.trim(F.col(value)), r"\s+"), lambda x: x != "")
     number = F.greatest(F.substr(p[1], F.lit(2)).try_cast("int") - 1, F.lit(0))
     return lines.filter(~F.ltrim(F.col(value)).startswith("#") & (F.size(p) >= 5)).select(
-        F.concat(p[0], F.lpad(number.cast("string"), 2, "0")).alias("instance"), F.upper(F.substring(p[0], 1, 4)).alias("entry_id"),
+        F.concat(p[0], F.format_string("%02d", number)).alias("instance"), F.upper(F.substring(p[0], 1, 4)).alias("entry_id"),
         p[4].alias("chain_id"))
 
 

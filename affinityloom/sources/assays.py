@@ -15,12 +15,20 @@ SITE_COLUMNS = ["pdb_id", "receptor_chain", "binding_site_residues", "ligand_cha
                 "binding_affinity", "catalytic_site_residues", "pubmed_id"]
 
 
+GIVEN_DDG = "ddG (kcal/mol)"
+
+
 def mutation_rows(rows: DataFrame) -> DataFrame:
-    """ddG rows of the mutation table; rows without entry id or mutation drop out."""
+    """ddG rows of the mutation table; rows without entry id or mutation drop out.
+
+    A number in the table's own ddG column, where it has one, goes before the computed value.
+    """
     entry = F.split(F.col("#Pdb"), "_")[0]
+    computed = A.ddg("affinity_mut (M)", "affinity_wt (M)", "Temperature")
+    ddg = F.coalesce(F.trim(F.col(GIVEN_DDG)).try_cast("double"), computed) if GIVEN_DDG in rows.columns else computed
     return rows.filter((text("#Pdb") != "") & (text("Mutation(s)_cleaned") != "")).select(
         F.upper(entry).alias("entry_id"), F.trim("Mutation(s)_cleaned").alias("mutation"),
-        A.ddg("affinity_mut (M)", "affinity_wt (M)", "Temperature").alias("ddg"),
+        ddg.alias("ddg"),
         A.celsius("Temperature").alias("temperature_c"), F.lit("ddG").alias("kind"))
 
 
@@ -50,7 +58,7 @@ def site_lines(lines: DataFrame, header: bool, value: str = "value") -> DataFram
     cols = [F.trim(F.coalesce(F.try_element_at(parts, F.lit(i + 1)), F.lit(""))).alias(c) for i, c in enumerate(SITE_COLUMNS)]
     rows = lines.filter((F.trim(F.col(value)) != "") & ~F.ltrim(F.col(value)).startswith("#")).select(*cols)
     if header:
-        rows = rows.filter(~F.lower("pdb_id").contains("pdb"))
+        rows = rows.filter(~F.lower("pdb_id").isin("pdb_id", "pdb id", "pdbid", "pdb"))
     parsed = A.parse_affinity_token("binding_affinity")
     return rows.select(
         F.upper("pdb_id").alias("entry_id"), F.col("receptor_chain").alias("chain_id"), "ligand_id",
@@ -64,15 +72,17 @@ def has_site_header(lines: DataFrame, value: str = "value") -> bool:
 
 
 AFFINITY_RESPONSE = (
-    "array<struct<smiles string, Smiles string, monomerID string, cid string, "
+    "array<struct<smiles string, monomerID string, cid string, "
     "affinities array<struct<affinity string, affinityUnit string, affinityType string, target string, uniprotID string>>>>")
 
 
 def nested_affinities(df: DataFrame, entry: str, payload: str) -> DataFrame:
     """One row per monomer and affinity of a nested response; alternate key spellings coalesced."""
-    schema = AFFINITY_RESPONSE.replace("smiles string, Smiles string, ", "smiles string, ")
-    mono = df.select(entry, F.explode(F.from_json(payload, schema)).alias("m"))
-    flat = mono.select(entry, F.coalesce("m.cid", "m.monomerID").alias("ligand_id"), F.col("m.smiles").alias("smiles"),
+    # one parse per spelling: both names in one struct can't be told apart in Spark SQL
+    capital = F.from_json(payload, "array<struct<Smiles string>>")
+    mono = df.select(entry, F.explode(F.arrays_zip(F.from_json(payload, AFFINITY_RESPONSE).alias("m"), capital.alias("c"))).alias("z")).select(
+        entry, "z.m", F.col("z.c.Smiles").alias("_smiles"))
+    flat = mono.select(entry, F.coalesce("m.cid", "m.monomerID").alias("ligand_id"), F.coalesce("m.smiles", "_smiles").alias("smiles"),
                        F.explode("m.affinities").alias("a"))
     parsed = A.parse_affinity("a.affinity", "a.affinityUnit")
     return flat.select(

@@ -11,6 +11,8 @@ from affinityloom.functions import quality as Q
 from affinityloom.functions import text as T
 from affinityloom.operators import graph as G
 from affinityloom.operators import measurements as M
+from affinityloom.operators import selection as SEL
+from affinityloom.operators import spatial as P
 from affinityloom.operators import splits as S
 from affinityloom.sources import annotations as AN
 from affinityloom.sources import assays as AS
@@ -151,3 +153,46 @@ def test_dump_tuples(spark):
     df = spark.createDataFrame([(line,), ("INSERT INTO `u` VALUES (9);",)], "value string")
     rows = [tuple(r) for r in AS.dump_rows(df, "t", {"a": 0, "b": 1, "c": 2}).collect()]
     assert rows == [("1", "it's (x), ok", None), ("2", "a\\b", "")]
+
+
+def test_hash_buckets_beyond_two_digits_stay_apart(spark):
+    names = spark.range(3000).select(H.hash_bucket("p", F.col("id").cast("string"), 256).alias("b")).distinct().count()
+    assert names == 256
+
+
+def test_every_species_of_a_pathway_is_kept(spark):
+    rows = spark.createDataFrame([("P1", "w1", "n", "Human"), ("P1", "w1", "n", "Mouse"), ("P1", "w2", "n", "Human")],
+                                 "accession string, pathway string, name string, species string")
+    assert AN.pathway_rollup(rows).first()["species"] == ["Human", "Mouse"]
+
+
+def test_explicit_ddg_goes_first(spark):
+    names = ["#Pdb", "Mutation(s)_cleaned", "affinity_mut (M)", "affinity_wt (M)", "Temperature", "ddG (kcal/mol)"]
+    rows = spark.createDataFrame([("1abc_A_B", "AB1C", "1e-8", "1e-9", "298", "1.75"), ("1abc_A_B", "AB2C", "1e-8", "1e-9", "298", "")], names)
+    got = {r["mutation"]: r["ddg"] for r in AS.mutation_rows(rows).collect()}
+    assert got["AB1C"] == 1.75 and got["AB2C"] > 1
+
+
+def test_only_the_header_line_is_left_out(spark):
+    lines = spark.createDataFrame([("pdb_id\tchain",), ("1PDB\tA",)], "value string")
+    assert [r["entry_id"] for r in AS.site_lines(lines, header=True).collect()] == ["1PDB"]
+
+
+def test_both_spellings_of_smiles(spark):
+    one_affinity = '"affinities": [{"affinity": "5", "affinityUnit": "nM"}]'
+    payload = f'[{{"Smiles": "CC", {one_affinity}}}, {{"smiles": "CO", {one_affinity}}}]'
+    df = spark.createDataFrame([("e", payload)], "entry string, payload string")
+    assert sorted(r["smiles"] for r in AS.nested_affinities(df, "entry", "payload").collect()) == ["CC", "CO"]
+
+
+def test_charges_do_not_leak_between_structures(spark):
+    rows = [("s1", "r1", 1, 0.0), ("s1", "r2", -1, 5.0), ("s2", "r1", 1, 0.0), ("s2", "r2", -1, 1.0)]
+    residues = spark.createDataFrame(rows, "structure string, residue string, sgn int, x double").selectExpr("*", "0D as y", "0D as z")
+    got = P.nearest_charges(residues, residues.where("false"), "structure", "residue", "sgn").collect()
+    assert {(r["structure"], r["opposite"]) for r in got} == {("s1", 5.0), ("s2", 1.0)}
+
+
+def test_vectors_equal_to_nothing_end_the_clustering(spark):
+    rows = spark.createDataFrame([("m", 1, [float("nan")]), ("m", 2, []), ("m", 3, [1.0]), ("m", 4, [1.01])], "motif string, ord int, v array<double>")
+    got = {r["ord"]: r["leader"] for r in SEL.archetype_clusters(rows, "motif", "ord", "v").collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 3}
