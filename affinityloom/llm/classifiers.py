@@ -12,75 +12,140 @@ from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinityloom.llm.common import stored
+from affinityloom.llm.common import _mix, stored
 
 GRAMS = (3, 5, 6, 7, 8, 9)
-BUCKETS = 1 << 20
 KEPT_GRAMS = 1 << 15
 SMOOTHING = 1.0
+#: N-grams of texts that a task holds before it counts and hands them on (8 bytes each).
+CHUNK = 1 << 24
+#: Places of the table that rules out most n-grams before the search among the kept ones.
+SIEVE = 1 << 20
 
 
-def gram_buckets(text: bytes) -> np.ndarray:
-    """Distinct hash buckets of the lower-cased text's character n-grams; a blank stands at both ends."""
+def gram_hashes(text: bytes) -> np.ndarray:
+    """64-bit hashes of the lower-cased text's character n-grams, with repeats; a blank stands at both ends."""
     data = np.frombuffer(b" " + text.lower() + b" ", np.uint8).astype(np.uint64)
-    found = []
+    found = [np.empty(0, np.uint64)]
     for n in GRAMS:
         if len(data) < n:
             continue
         h = np.full(len(data) - n + 1, n, np.uint64)
         for k in range(n):
             h = (h ^ data[k:len(data) - n + 1 + k]) * np.uint64(0x100000001B3)
-        found.append((h ^ (h >> np.uint64(31))) % np.uint64(BUCKETS))
-    seen = np.zeros(BUCKETS, bool)
-    for h in found:
-        seen[h] = True
-    return np.flatnonzero(seen)
+        found.append(_mix(h))
+    return np.concatenate(found)
+
+
+def _packed(hashes: np.ndarray) -> bytes:
+    """Sorted hashes as differences, byte by byte: the upper bytes are mostly zero and compress well."""
+    return np.diff(hashes, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(packed, np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel(), dtype=np.uint64)
 
 
 def log_count_ratios(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The kept buckets and their naive Bayes log-count ratios over all rows of (text, label).
+    """The kept n-grams' hashes, sorted, and their naive Bayes log-count ratios over all rows of (text, label).
 
-    Counts are of documents that hold the n-gram, summed per task, then over tasks: 2^20 buckets
-    at most, so the size is bounded whatever the corpus. Buckets with the largest evidence,
-    |ratio| times the square root of the count, are kept.
+    Counts are of documents that hold the n-gram, exact for each 64-bit hash: merged per task in
+    chunks, then over tasks by slices of the range of hashes. The ``KEPT_GRAMS`` with the largest
+    evidence, |ratio| times the square root of the count, are kept; each slice gives its own best.
     """
+    spark = labelled.sparkSession
+    bits = max(6, 2 + int(spark.conf.get("spark.sql.shuffle.partitions")).bit_length())
+    totals = labelled.agg(F.sum(1 - F.col("label")).alias("n"), F.sum("label").alias("p")).first()
+    n, p = float(totals["n"] or 0), float(totals["p"] or 0)
+
+    def counted(hashes: np.ndarray, label: int) -> pa.RecordBatch:
+        hashes.sort()
+        first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+        held, counts = hashes[first], np.diff(first, append=len(hashes)).astype(np.uint32)
+        cuts = np.append(np.searchsorted(held, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(held))
+        parts = [(k, cuts[k], cuts[k + 1]) for k in range(1 << bits) if cuts[k] < cuts[k + 1]]
+        return pa.RecordBatch.from_pydict({
+            "slice": pa.array([k for k, _, _ in parts], pa.int32()), "label": pa.array([label] * len(parts), pa.int32()),
+            "hashes": pa.array([_packed(held[a:b]) for _, a, b in parts], pa.binary()),
+            "counts": pa.array([counts[a:b].tobytes() for _, a, b in parts], pa.binary())})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, BUCKETS), np.int64)
+        # N-grams of label 0 fill the buffer from its start, those of label 1 from its end.
+        buffer = np.empty(CHUNK, np.uint64)
+        low, high = 0, len(buffer)
         for batch in batches:
             for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
-                counts[int(label), gram_buckets((text or "").encode())] += 1
-        held = np.flatnonzero(counts.any(0))
-        yield pa.RecordBatch.from_pydict({"bucket": held, "neg": counts[0, held], "pos": counts[1, held]})
-
-    per = labelled.select("text", "label").mapInArrow(count, "bucket bigint, neg bigint, pos bigint")
-    summed = per.groupBy("bucket").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
-    totals = labelled.agg(F.sum(1 - F.col("label")).alias("n"), F.sum("label").alias("p")).first()
-    n, p = float(totals["n"] or 0), float(totals["p"] or 0)
-    ratio = F.log((F.col("pos") + SMOOTHING) / (p + 2 * SMOOTHING)) - F.log((F.col("neg") + SMOOTHING) / (n + 2 * SMOOTHING))
-    best = (
-        summed.where(F.col("pos") + F.col("neg") >= 2).withColumn("ratio", ratio)
-        .orderBy(F.desc(F.abs("ratio") * F.sqrt(F.col("pos") + F.col("neg"))), "bucket").limit(KEPT_GRAMS).toPandas()
+                found = np.unique(gram_hashes((text or "").encode()))
+                if len(found) > high - low:
+                    yield from (counted(h, k) for k, h in enumerate((buffer[:low], buffer[high:])) if len(h))
+                    if len(found) > len(buffer):
+                        buffer = np.empty(len(found), np.uint64)
+                    low, high = 0, len(buffer)
+                if label:
+                    high -= len(found)
+                    buffer[high:high + len(found)] = found
+                else:
+                    buffer[low:low + len(found)] = found
+                    low += len(found)
+        yield from (counted(h, k) for k, h in enumerate((buffer[:low], buffer[high:])) if len(h))
+
+    def best(rows: pa.Table) -> pa.Table:
+        hashes = [_unpacked(h) for h in rows.column("hashes").to_pylist()]
+        counts = np.concatenate([np.frombuffer(c, np.uint32) for c in rows.column("counts").to_pylist()])
+        labels = np.repeat(rows.column("label").to_numpy(), [len(h) for h in hashes])
+        held, at = np.unique(np.concatenate(hashes), return_inverse=True)
+        neg, pos = (np.bincount(at, counts * (labels == k), len(held)) for k in (0, 1))
+        often = neg + pos >= 2
+        held, neg, pos = held[often], neg[often], pos[often]
+        ratio = np.log((pos + SMOOTHING) / (p + 2 * SMOOTHING)) - np.log((neg + SMOOTHING) / (n + 2 * SMOOTHING))
+        evidence = np.abs(ratio) * np.sqrt(pos + neg)
+        most = np.lexsort((held, -evidence))[:KEPT_GRAMS]
+        return pa.table({"hash": held[most].view(np.int64), "ratio": ratio[most], "evidence": evidence[most]})
+
+    per = labelled.select("text", "label").mapInArrow(count, "slice int, label int, hashes binary, counts binary")
+    rows = (
+        per.groupBy("slice").applyInArrow(best, "hash bigint, ratio double, evidence double")
+        .orderBy(F.desc("evidence"), "hash").limit(KEPT_GRAMS).select("hash", "ratio").collect()
     )
-    order = np.argsort(best["bucket"].to_numpy())
-    return best["bucket"].to_numpy()[order].astype(np.int64), best["ratio"].to_numpy()[order].astype(np.float64)
+    held = np.array([r["hash"] for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(held)
+    return held[order], np.array([r["ratio"] for r in rows], np.float64)[order]
+
+
+class Grams:
+    """Sorted hashes, and a table of their lower bits that most other n-grams fail."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes
+        self.sieve = np.zeros(SIEVE, bool)
+        self.sieve[hashes & np.uint64(SIEVE - 1)] = True
+
+    def places(self, text: bytes) -> np.ndarray:
+        """Distinct places, in order, of the hashes that the text holds."""
+        found = gram_hashes(text)
+        found = np.unique(found[self.sieve[found & np.uint64(SIEVE - 1)]])
+        at = np.searchsorted(self.hashes, found)
+        inside = at < len(self.hashes)
+        at, found = at[inside], found[inside]
+        return at[self.hashes[at] == found]
 
 
 class ToxicityModel:
-    """Weight per n-gram bucket (ratio times coefficient) and an intercept."""
+    """Sorted hashes of the kept n-grams, weight per n-gram (ratio times coefficient) and an intercept."""
 
-    def __init__(self, weights: np.ndarray, intercept: float):
-        self.weights, self.intercept = weights, intercept
+    def __init__(self, hashes: np.ndarray, weights: np.ndarray, intercept: float):
+        self.hashes, self.weights, self.intercept = hashes, weights, intercept
 
     def score(self, docs: DataFrame) -> DataFrame:
         """``docs`` plus ``score``; null and empty texts get the score of a text without n-grams."""
-        sent = docs.sparkSession.sparkContext.broadcast((self.weights, self.intercept))
+        sent = docs.sparkSession.sparkContext.broadcast((self.hashes, self.weights, self.intercept))
         columns = docs.columns
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            weights, intercept = sent.value
+            hashes, weights, intercept = sent.value
+            grams = Grams(hashes)
             for batch in batches:
-                raw = [weights[gram_buckets((t or "").encode())].sum() + intercept for t in batch.column("text").to_pylist()]
+                raw = [weights[grams.places((t or "").encode())].sum() + intercept for t in batch.column("text").to_pylist()]
                 score = 1 / (1 + np.exp(-np.clip(np.array(raw, np.float64), -500, 500)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(score)], [*columns, "score"])
 
@@ -103,16 +168,17 @@ def fit_toxicity(labelled: DataFrame, reg: float = 1e-2) -> ToxicityModel:
     labelled = stored(labelled.where(F.col("label").isNotNull()).select("text", F.col("label").cast("int").alias("label")), "labelled")
     if not _has_both(labelled):
         rate = labelled.agg(F.avg("label")).first()[0]
-        return ToxicityModel(np.zeros(BUCKETS), 0.0 if rate is None else (8.0 if rate else -8.0))
+        return ToxicityModel(np.empty(0, np.uint64), np.empty(0), 0.0 if rate is None else (8.0 if rate else -8.0))
     kept, ratios = log_count_ratios(labelled)
     sent = labelled.sparkSession.sparkContext.broadcast((kept, ratios))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, ratios = sent.value
+        grams = Grams(kept)
         for batch in batches:
             rows = []
             for t in batch.column("text").to_pylist():
-                at = np.flatnonzero(np.isin(kept, gram_buckets((t or "").encode()), assume_unique=True))
+                at = grams.places((t or "").encode())
                 rows.append((at.tolist(), ratios[at].tolist()))
             yield pa.RecordBatch.from_pydict({
                 "label": batch.column("label"), "at": pa.array([r[0] for r in rows], pa.list_(pa.int32())),
@@ -125,9 +191,7 @@ def fit_toxicity(labelled: DataFrame, reg: float = 1e-2) -> ToxicityModel:
     share = train.agg(F.avg("label")).first()[0]
     weighted = train.withColumn("weight", F.when(F.col("label") == 1, float(np.sqrt((1 - share) / share))).otherwise(1.0))
     fitted = LogisticRegression(regParam=reg, standardization=False, maxIter=60, weightCol="weight").fit(weighted)
-    weights = np.zeros(BUCKETS)
-    weights[kept] = ratios * fitted.coefficients.toArray()
-    return ToxicityModel(weights, float(fitted.intercept))
+    return ToxicityModel(kept, ratios * fitted.coefficients.toArray(), float(fitted.intercept))
 
 
 # Quality -----------------------------------------------------------------------------------------
