@@ -8,6 +8,10 @@ Equal sets are collapsed to one representative first: a group of copies costs on
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,6 +127,49 @@ def similarity_join(queries: DataFrame, targets: DataFrame, query: str, target:
         "similarity", jaccard(F.col("_ta"), F.col("_tb"))).filter(F.col("similarity") >= threshold).drop("_ta", "_tb")
 
 
+def all_matches(queries: DataFrame, targets: DataFrame, query: str, target: str, block: int = 4096) -> DataFrame:
+    """(query, target, similarity) of every pair of sets with a common token, without a threshold.
+
+    Queries are sent to the tasks in blocks of ``block`` sets, so neither side is shuffled; each target
+    counts its common tokens with all queries of a block at once. Query ids are taken as they are; equal
+    ids are different sets.
+    """
+    found: DataFrame | None = None
+    rows = queries.select(query, "tokens").filter(F.size("tokens") > 0).toLocalIterator()
+    kind = queries.schema[query].dataType
+    fields = f"`{query}` {kind.simpleString()}, `{target}` {targets.schema[target].dataType.simpleString()}, similarity double"
+    while held := [r for _, r in zip(range(block), rows)]:
+        part = targets.select(target, "tokens").mapInArrow(_common_counts(targets, [tuple(r) for r in held], query, target), fields)
+        found = part if found is None else found.unionByName(part)
+    return targets.sparkSession.createDataFrame([], fields) if found is None else found
+
+
+def _common_counts(targets: DataFrame, held: list[tuple], query: str, target: str):
+    places: dict[str, list[int]] = {}
+    for i, (_, tokens) in enumerate(held):
+        for t in tokens:
+            places.setdefault(t, []).append(i)
+    sizes = np.array([len(tokens) for _, tokens in held], np.int64)
+    sent = targets.sparkSession.sparkContext.broadcast(
+        ([q for q, _ in held], sizes, {t: np.array(at, np.int64) for t, at in places.items()}))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, sizes, places = sent.value
+        ids = pa.array(ids)
+        for batch in batches:
+            for k, tokens in enumerate(batch.column("tokens").to_pylist()):
+                lists = [places[t] for t in tokens or () if t in places]
+                if not lists:
+                    continue
+                common = np.bincount(np.concatenate(lists), minlength=len(sizes))
+                at = np.flatnonzero(common)
+                owner = batch.column(target).take(pa.array(np.full(len(at), k)))
+                similarity = common[at] / (sizes[at] + len(tokens) - common[at])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), owner, pa.array(similarity)], [query, target, "similarity"])
+
+    return run
+
+
 def leader_clusters(sets: DataFrame, record: str, threshold: float = 0.30, peel_rounds: int = 6) -> DataFrame:
     """Leader of every record: in record order, an unassigned record leads and takes every later
     unassigned record with Jaccard >= threshold. Records without tokens lead themselves.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from affinityloom.operators import similarity as J
-from affinityloom.plans.registry import query, table
+from affinityloom.plans.registry import SQL, query, table
 
 WORDS = r"[A-Za-zÀ-ÿ]+"
 
@@ -89,26 +89,67 @@ ag AS (SELECT item_id, target, sum(s * w * greatest(greatest(0.0, least(1.0, 1 -
 @query("target_ranking", "E13 H7 G24",
        f"WITH {CROSS_SQL}{TARGETS_SQL} SELECT item_id, target, CAST(row_number() OVER (PARTITION BY item_id ORDER BY round(raw, 9) DESC, target) AS INT) AS rank, round(1 / (1 + exp(-raw)), 4) AS confidence, round(best, 4) AS similarity, round(-1.364 * mean_log, 3) AS free_energy, n AS support FROM ag")
 def target_ranking(spark, sf_dir):
+    return ranking_of(query_matches(spark, sf_dir), spark, sf_dir)
+
+
+def ranking_of(matches, spark, sf_dir):
     from affinityloom.operators.models import rank_targets
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", F.col("source").alias("target"), (1 + (F.col("doc_id") % 5) * 0.05).alias("weight"),
         F.when(F.col("n_chars") > 0, F.log10("n_chars")).alias("log_value"))
-    return rank_targets(query_matches(spark, sf_dir).join(docs, "doc_id"), "item_id", "target", "doc_id").select(
+    return rank_targets(matches.join(docs, "doc_id"), "item_id", "target", "doc_id").select(
         "item_id", "target", "rank", "confidence", "similarity", "free_energy", "support")
 
 
 @query("supporting_examples", "E13",
        f"WITH {CROSS_SQL}{TARGETS_SQL} SELECT item_id, target, doc_id, CAST(row_number() OVER (PARTITION BY item_id, target ORDER BY s DESC, doc_id) AS INT) AS position FROM sc QUALIFY row_number() OVER (PARTITION BY item_id, target ORDER BY s DESC, doc_id) <= 5")
 def supporting_examples(spark, sf_dir):
+    return support_of(query_matches(spark, sf_dir), spark, sf_dir)
+
+
+def support_of(matches, spark, sf_dir):
     from affinityloom.operators.models import top_support
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("target"))
-    return top_support(query_matches(spark, sf_dir).join(docs, "doc_id"), "item_id", "target", "doc_id").select(
+    return top_support(matches.join(docs, "doc_id"), "item_id", "target", "doc_id").select(
         "item_id", "target", "doc_id", "position")
 
 
 @query("hit_rates", "D31",
        f"WITH {CROSS_SQL}{TARGETS_SQL}, rk AS (SELECT item_id, target, row_number() OVER (PARTITION BY item_id ORDER BY round(raw, 9) DESC, target) AS r FROM ag) SELECT count(*) AS queries, round(avg(CASE WHEN coalesce(r, 99) <= 1 THEN 1.0 ELSE 0 END), 6) AS top1, round(avg(CASE WHEN coalesce(r, 99) <= 3 THEN 1.0 ELSE 0 END), 6) AS top3 FROM benchmark b LEFT JOIN rk ON rk.item_id = b.item_id AND rk.target = 'src' || (b.item_id % 20)")
 def hit_rates(spark, sf_dir):
+    return rates_of(target_ranking(spark, sf_dir), spark, sf_dir)
+
+
+def rates_of(ranking, spark, sf_dir):
     from affinityloom.operators.models import hit_rates as rates
     truth = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("target"))
-    return rates(target_ranking(spark, sf_dir), truth, "item_id", "target")
+    return rates(ranking, truth, "item_id", "target")
+
+
+# The queries above keep their SQL's cut at 0.2; these take every match > 0, as the reference does.
+ALL_SQL = CROSS_SQL.replace(">= 0.2", "> 0")
+
+
+def every_match(spark, sf_dir):
+    q = table(spark, sf_dir, "benchmark").select("item_id", J.pattern_tokens("text", WORDS).alias("tokens"))
+    return J.all_matches(q, document_sets(spark, sf_dir), "item_id", "doc_id")
+
+
+@query("query_similarity_join_all", "C12", SQL["query_similarity_join"].replace(CROSS_SQL, ALL_SQL))
+def query_similarity_join_all(spark, sf_dir):
+    return every_match(spark, sf_dir).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("target_ranking_all", "E13 G24", SQL["target_ranking"].replace(CROSS_SQL, ALL_SQL))
+def target_ranking_all(spark, sf_dir):
+    return ranking_of(every_match(spark, sf_dir), spark, sf_dir)
+
+
+@query("supporting_examples_all", "E13", SQL["supporting_examples"].replace(CROSS_SQL, ALL_SQL))
+def supporting_examples_all(spark, sf_dir):
+    return support_of(every_match(spark, sf_dir), spark, sf_dir)
+
+
+@query("hit_rates_all", "D31", SQL["hit_rates"].replace(CROSS_SQL, ALL_SQL))
+def hit_rates_all(spark, sf_dir):
+    return rates_of(target_ranking_all(spark, sf_dir), spark, sf_dir)
