@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from affinityloom.operators import joins as J
 from affinityloom.plans import domain as D
-from affinityloom.plans.registry import query, table
+from affinityloom.plans.registry import SQL, query, table
 from affinityloom.plans.splits import HASH_SPLIT_SQL
 
 W = f"WITH {D.DOMAIN_SQL}"
@@ -17,7 +17,16 @@ W = f"WITH {D.DOMAIN_SQL}"
        FROM orders JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey
        LEFT JOIN supplier ON s_suppkey = l_suppkey LEFT JOIN part ON p_partkey = l_partkey WHERE o_orderstatus = 'F'""")
 def bulk_measurement_join(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(
+    return order_lines(table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'"), spark, sf_dir)
+
+
+@query("bulk_measurement_join_all", "C1", SQL["bulk_measurement_join"].replace(" WHERE o_orderstatus = 'F'", ""))
+def bulk_measurement_join_all(spark, sf_dir):
+    return order_lines(table(spark, sf_dir, "orders"), spark, sf_dir)
+
+
+def order_lines(orders, spark, sf_dir):
+    orders = orders.select(
         F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"))
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice")
     cust = table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.col("c_nationkey").alias("n_nationkey"))
@@ -234,7 +243,16 @@ def identity_crosswalk(spark, sf_dir):
          CASE WHEN kinds IS NULL THEN 'unmapped' WHEN most > 1 THEN 'ambiguous' WHEN kinds < 3 THEN 'partial' ELSE 'mapped' END AS status
        FROM part LEFT JOIN wide ON source_id = CAST(p_partkey AS VARCHAR)""")
 def identifier_map(spark, sf_dir):
-    m = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(
+    return mapped_parts(table(spark, sf_dir, "lineitem").filter("l_linenumber = 1"), spark, sf_dir)
+
+
+@query("identifier_map_all", "C27", SQL["identifier_map"].replace(" WHERE l_linenumber = 1", ""))
+def identifier_map_all(spark, sf_dir):
+    return mapped_parts(table(spark, sf_dir, "lineitem"), spark, sf_dir)
+
+
+def mapped_parts(lines, spark, sf_dir):
+    m = lines.select(
         (F.col("l_partkey") % 900).cast("string").alias("source_id"),
         D.pick(["uniprot", "entrez", "ensembl"], F.col("l_suppkey")).alias("target_type"),
         D.numbered("T", F.floor(F.col("l_suppkey") / 50)).alias("target_id"))

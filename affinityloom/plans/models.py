@@ -108,11 +108,21 @@ def kmeans_clusters(spark, sf_dir):
     return M.kmeans(rows, "vec_id", "v", 4, decimals=9)
 
 
+@query("kmeans_clusters_all", "H3")
+def kmeans_clusters_all(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    return M.kmeans(rows, "vec_id", "v", 4, decimals=9)
+
+
 ARCH_SQL = f"""SELECT vec_id, label AS motif, list_transform(embedding[1:3], lambda x: round(CAST(x AS DOUBLE) * 4)) AS v FROM embeddings"""
 
 
 def archetype_rows(spark, sf_dir):
-    v = F.transform(F.slice("embedding", 1, 3), lambda x: F.round(x.cast("double") * 4))
+    return rounded_vectors(spark, sf_dir, F.slice("embedding", 1, 3))
+
+
+def rounded_vectors(spark, sf_dir, embedding):
+    v = F.transform(embedding, lambda x: F.round(x.cast("double") * 4))
     return table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("motif"), v.alias("v"))
 
 
@@ -129,6 +139,11 @@ def archetype_clusters(spark, sf_dir):
     return SEL.archetype_clusters(archetype_rows(spark, sf_dir), "motif", "vec_id", "v", batch=16)
 
 
+@query("archetype_clusters_all", "E12 G29")
+def archetype_clusters_all(spark, sf_dir):
+    return SEL.archetype_clusters(rounded_vectors(spark, sf_dir, F.col("embedding")), "motif", "vec_id", "v", batch=16)
+
+
 @query("archetype_representatives", "D26", ARCH_WALK + " SELECT motif, cluster_index, count(*) AS cluster_size, arg_min(md5(CAST(vec_id AS VARCHAR)), md5(CAST(vec_id AS VARCHAR))) AS representative_archetype FROM cl GROUP BY 1, 2")
 def archetype_representatives(spark, sf_dir):
     m = archetype_clusters(spark, sf_dir).withColumn("archetype", F.md5(F.col("vec_id").cast("string")))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from affinityloom.operators import rollups as A
 from affinityloom.plans import domain as D
-from affinityloom.plans.registry import query, table
+from affinityloom.plans.registry import SQL, query, table
 from affinityloom.plans.splits import ITEMS_SQL, split_items
 
 
@@ -19,6 +19,12 @@ def distributions(spark, sf_dir):
                                  "word": F.split(F.split("text", "\n")[0], " ")})
 
 
+@query("distributions_all", "D6 D7 D29", SQL["distributions"].replace("string_split(split_part(text, chr(10), 1), ' ')", "string_split(replace(text, chr(10), ' '), ' ')"))
+def distributions_all(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return A.distribution(docs, {"lang": F.col("lang"), "source": F.col("source"), "word": F.split("text", "[\n ]")})
+
+
 @query("missing_counts", "D6", "SELECT 'lang' AS field, count(*) FILTER (lang = 'xx') AS missing FROM documents UNION ALL SELECT 'blank_source', count(*) FILTER (source = 'src1') FROM documents")
 def missing_counts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("lang", F.when(F.col("source") != "src1", F.col("source")).alias("blank_source"))

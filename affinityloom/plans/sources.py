@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from affinityloom.plans import domain as D
-from affinityloom.plans.registry import query, table
+from affinityloom.plans.registry import SQL, query, table
 from affinityloom.plans.scalars import pick, sql_pick
 from affinityloom.sources import annotations as AN
 from affinityloom.sources import assays as AS
@@ -115,8 +115,18 @@ def sql_dump_rows(spark, sf_dir):
        """SELECT 'BDB_BULK_E' || l_orderkey || '_' || l_suppkey || '_' || l_partkey || '_' || l_returnflag AS sample_id, l_quantity AS value, '<' AS relation, round(log10(l_quantity), 6) AS log10,
          CASE WHEN l_linenumber % 2 = 0 THEN 'A' || l_suppkey || 'V' END AS mutation, CASE WHEN l_linenumber % 2 = 0 THEN 'mutant' ELSE 'wildtype' END AS state, 'U1;U' || l_suppkey AS accessions FROM lineitem WHERE l_suppkey <> 1""")
 def bulk_row_samples(spark, sf_dir):
+    return line_samples(table(spark, sf_dir, "lineitem").filter("l_suppkey <> 1"))
+
+
+# Supplier 1 names the accession U1 twice; it is kept once.
+@query("bulk_row_samples_all", "A10", SQL["bulk_row_samples"].replace("'U1;U' || l_suppkey AS", "CASE WHEN l_suppkey = 1 THEN 'U1' ELSE 'U1;U' || l_suppkey END AS").replace(" WHERE l_suppkey <> 1", ""))
+def bulk_row_samples_all(spark, sf_dir):
+    return line_samples(table(spark, sf_dir, "lineitem"))
+
+
+def line_samples(lines):
     target = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("kinase [A"), s("l_suppkey"), F.lit("V]"))).otherwise("kinase")
-    rows = table(spark, sf_dir, "lineitem").filter("l_suppkey <> 1").select(
+    rows = lines.select(
         F.concat(F.lit("E"), s("l_orderkey")).alias("entry_id"), F.col("l_suppkey").alias("set_id"), F.col("l_partkey").alias("monomer_id"),
         F.col("l_returnflag").alias("kind"), F.concat(F.lit("<"), s("l_quantity")).alias("affinity_display"), F.col("l_quantity").alias("affinity_nm"),
         target.alias("target_name"), F.lit("U1; null").alias("accession_1"), F.concat(F.lit("U"), s("l_suppkey"), F.lit(",U1")).alias("accession_2"))
@@ -128,8 +138,18 @@ def bulk_row_samples(spark, sf_dir):
          CASE WHEN event_id % 3 = 0 THEN 'A12V,K3R' END AS mutation, CASE event_id % 3 WHEN 0 THEN 'mutant' WHEN 1 THEN 'wildtype' END AS state,
          CASE WHEN event_id % 3 = 2 THEN 'protein_ligand|-|-|IK' || user_id || '|mutation_unknown:A' || event_id END AS grouping_override FROM events WHERE event_type <> 'error' AND value > 0""")
 def activity_samples(spark, sf_dir):
+    return event_samples(table(spark, sf_dir, "events").filter("value > 0"))
+
+
+# A value that is missing or not above 0 leaves the given 9 - 7.5, as in the reference.
+@query("activity_samples_all", "A11", SQL["activity_samples"].replace("event_type = 'view' OR value <= 0 THEN", "event_type = 'view' THEN").replace("WHEN event_id % 2 = 0 THEN round(log10", "WHEN event_id % 2 = 0 AND round(value * 1000, 6) > 0 THEN round(log10").replace(" AND value > 0", ""))
+def activity_samples_all(spark, sf_dir):
+    return event_samples(table(spark, sf_dir, "events"))
+
+
+def event_samples(events):
     n = F.col("event_id")
-    rows = table(spark, sf_dir, "events").filter("value > 0").select(
+    rows = events.select(
         F.concat(F.lit("A"), s("event_id")).alias("activity_id"), F.lit("U1").alias("accession"), F.concat(F.lit("IK"), s("user_id")).alias("inchikey"),
         F.when(F.col("event_type") == "view", "ΔG").when(F.col("event_type") == "error", "Potency").otherwise("Kd").alias("standard_type"),
         s("value").alias("standard_value"), F.when(n % 2 == 0, "uM").otherwise("%").alias("standard_units"), F.lit("7.5").alias("pchembl_value"),

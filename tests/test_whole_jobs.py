@@ -27,3 +27,40 @@ def test_pairs_below_the_cut_are_kept(spark, sf_dir):
     every = PS.every_match(spark, sf_dir)
     assert every.where("similarity < 0.2").count() > 0
     assert every.where("similarity >= 0.2").count() == PS.query_matches(spark, sf_dir).count()
+
+
+def test_whole_tables_keep_every_row(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    import __spark_entry__ as entry
+
+    def rows(name):
+        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+    plans = entry.queries()
+    lines = rows("lineitem").count()
+    assert plans["bulk_measurement_join_all"](spark, sf_dir).count() == lines
+    samples = plans["bulk_row_samples_all"](spark, sf_dir)
+    assert samples.count() == lines and samples.where("accessions = 'U1'").count() == rows("lineitem").where("l_suppkey = 1").count() > 0
+    assert plans["activity_samples_all"](spark, sf_dir).count() == rows("events").where("event_type <> 'error'").count()
+    words = plans["distributions_all"](spark, sf_dir).where("dimension = 'word'").agg(F.sum("n")).first()[0]
+    assert words == sum(len([w for w in r[0].replace("\n", " ").split(" ") if w.strip(" ")]) for r in rows("documents").select("text").collect())
+
+
+def test_clusters_of_whole_vectors(spark, sf_dir):
+    import hashlib
+
+    import __spark_entry__ as entry
+
+    vectors = sorted((r["vec_id"], [float(x) for x in r["embedding"]], r["label"]) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect())
+    n = len(vectors)
+    start = int(hashlib.md5(f"kmeans:42:{n}".encode()).hexdigest()[:8], 16) % n
+    cents = [vectors[(start + i) % n][1] for i in range(4)]
+    for step in range(12):
+        own = [min(range(4), key=lambda k: (sum((a - b) ** 2 for a, b in zip(v, cents[k])), k)) for _, v, _ in vectors]
+        if step < 11:
+            for k in range(4):
+                mine = [v for (_, v, _), o in zip(vectors, own) if o == k]
+                cents[k] = [round(sum(c) / len(mine), 9) for c in zip(*mine)] if mine else cents[k]
+    got = {r["vec_id"]: r["cluster"] for r in entry.queries()["kmeans_clusters_all"](spark, sf_dir).collect()}
+    assert got == {i: o for (i, _, _), o in zip(vectors, own)}
