@@ -135,7 +135,9 @@ def codec(path: str, pattern: str) -> Codec:
 
 
 def encode_texts(docs: DataFrame, path: str, pattern: str, keep: list[str], digest: bool = True) -> DataFrame:
-    """``keep`` columns plus n_tokens and either digests or ``ids`` (binary, little-endian u32).
+    """``keep`` columns plus n_tokens and either digests or ``ids`` (binary, little-endian u32) with the digest of the decoded text.
+
+    Ids are decoded in both forms; without digests, ids that do not give the text back are an error.
 
     Null texts count as empty, which has no tokens. One row in, one row out, no shuffle.
     """
@@ -146,16 +148,20 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, keep: list[str], dige
         c = codec(path, pattern)
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                ids = [c.encode(t or "") for t in part.column("text").to_pylist()]
+                texts = [t or "" for t in part.column("text").to_pylist()]
+                ids = [c.encode(t) for t in texts]
+                decoded = [c.decode(x) for x in ids]
                 columns = {k: part.column(k) for k in keep}
                 columns["n_tokens"] = pa.array([len(x) // 4 for x in ids], pa.int64())
                 if digest:
                     columns["ids_sha256"] = pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string())
-                    columns["decoded_sha256"] = pa.array([hashlib.sha256(c.decode(x)).hexdigest() for x in ids], pa.string())
                 else:
+                    if any(d != t.encode() for d, t in zip(decoded, texts)):
+                        raise ValueError("decoded ids differ from the text")
                     columns["ids"] = pa.array(ids, pa.binary())
+                columns["decoded_sha256"] = pa.array([hashlib.sha256(d).hexdigest() for d in decoded], pa.string())
                 yield pa.RecordBatch.from_pydict(columns)
 
-    kinds = ", ids_sha256 string, decoded_sha256 string" if digest else ", ids binary"
+    kinds = ", ids_sha256 string, decoded_sha256 string" if digest else ", ids binary, decoded_sha256 string"
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", n_tokens bigint" + kinds
     return source.mapInArrow(run, schema)

@@ -29,7 +29,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and ids (little-endian unsigned 32-bit) of every document left."""
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and decoded_sha256 of every document left."""
     return byte_bpe.encode_texts(
         docs, tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN, ["doc_id"], digest=False)
 
