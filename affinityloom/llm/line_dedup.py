@@ -25,9 +25,9 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A key of at least ``min_chars`` code points held by at least ``min_docs`` ids loses its lines
     in all documents but the largest id. Occurrences are merged by (key, id) first, so one hot key
-    is spread over tasks before its partial counts meet. The keys then go to range partitions of
-    their hashes, sorted by document and first position within; each hash's first row names its
-    keeper. Documents that lose nothing have no row. Words without dropped lines are absent from
+    is spread over tasks before its partial counts meet. The keeper of a hash is an aggregate, the
+    greatest (id, first position), joined back to the lines; the range partitioning and sort act on
+    one row per hash and decide nothing. Documents that lose nothing have no row. Words without dropped lines are absent from
     the map. Rows with a null id neither count nor lose lines; rows with equal id and text are one
     document; rows with one id and several texts count once for a key.
     """
