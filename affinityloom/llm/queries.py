@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from affinityloom.llm import (
-    byte_bpe, classifiers, decontaminate, jaccard_join, kneser_ney, line_dedup, media, secret_ledger, token_codes,
+    byte_bpe, classifiers, decontaminate, jaccard_join, kneser_ney, line_dedup, media, packing, secret_ledger, token_codes,
 )
 from affinityloom.llm.common import fold
 
@@ -88,3 +88,10 @@ def _op6(spark, sf_dir):
 @_register("op9_kneser_ney")
 def _op9(spark, sf_dir):
     return kneser_ney.lm_digest(_docs(spark, sf_dir))
+
+
+@_register("op11_sequence_packing")
+def _op11(spark, sf_dir):
+    import public_tokenizers as tokenizers
+
+    return packing.packing_digest(_docs(spark, sf_dir), tokenizers.path("word_bpe_49k.json"))
