@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from affinityloom.llm import (
-    byte_bpe, classifiers, decontaminate, jaccard_join, kneser_ney, line_dedup, media, packing, secret_ledger, token_codes,
+    byte_bpe, classifiers, decontaminate, jaccard_join, kneser_ney, line_dedup, media, packing, secret_ledger, spelling,
+    token_codes,
 )
 from affinityloom.llm.common import fold
 
@@ -95,3 +96,8 @@ def _op11(spark, sf_dir):
     import public_tokenizers as tokenizers
 
     return packing.packing_digest(_docs(spark, sf_dir), tokenizers.path("word_bpe_49k.json"))
+
+
+@_register("op13_spelling_variants")
+def _op13(spark, sf_dir):
+    return spelling.spelling_variants(_docs(spark, sf_dir))
