@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from affinityloom.llm import (
-    byte_bpe, classifiers, decontaminate, jaccard_join, kneser_ney, line_dedup, media, packing, secret_ledger, spelling,
+    byte_bpe, classifiers, collocations, decontaminate, jaccard_join, kneser_ney, line_dedup, media, packing, secret_ledger, spelling,
     token_codes,
 )
 from affinityloom.llm.common import fold
@@ -101,3 +101,11 @@ def _op11(spark, sf_dir):
 @_register("op13_spelling_variants")
 def _op13(spark, sf_dir):
     return spelling.spelling_variants(_docs(spark, sf_dir))
+
+
+@_register("op12_phrase_collocations")
+def _op12(spark, sf_dir):
+    return collocations.collocations(_docs(spark, sf_dir))
+
+
+SQL["op12_phrase_collocations"] = collocations.SQL
