@@ -1,15 +1,16 @@
 """Phrase collocations: frequent phrases counted by multikey quicksort of suffix pointers.
 
-Three passes over the texts. The first counts words, the second counts pairs of frequent words. The third makes a
-suffix pointer of every place from which at least two frequent pairs follow each other: its words, up to five, ending
-where a pair is infrequent, as no longer phrase can be frequent there. Equal pointers are merged into a weight before
-and after the shuffle, then range-partitioned by their words, so a hot leading word or pair spans as many tasks as it
-needs. Each task sorts its pointers by three-way partitions, word by word: the weight of an equal partition is the
-count of its phrase, and partitions below the least count are abandoned. Only phrases at the two ends of a task's range
-may go on in the next task; they are handed on with whatever weight they have, and the weights are added.
-
-Inside the passes a word is its 64-bit hash; two words that share one are taken for the same (some 10^-6 for 10^8 distinct
-words and 10^5 frequent ones).
+Three passes over the texts. The first counts words and numbers the frequent ones. The second counts pairs of frequent
+words. The third makes a suffix pointer of every place from which at least two frequent pairs follow each other: the
+numbers of its words, up to five, ending where a pair is infrequent, as no longer phrase can be frequent there. A task
+merges equal pointers into one with a weight; then they are range-partitioned by their words, so a hot leading word or
+pair spans as many tasks as it needs. Each task sorts its pointers by three-way partitions, word by word: the weight of
+an equal partition is the count of its phrase, and partitions below the least count are abandoned. Only phrases at the
+two ends of a task's range may go on in the next task; they are handed on with whatever weight they have, and the
+weights are added.
+
+Frequent words are found by the 64-bit hash of lang and word; a word that shares the hash of a frequent one is taken for
+it (some 10^-6 for 10^8 distinct words and 10^5 frequent ones).
 """
 
 from __future__ import annotations
@@ -26,46 +27,60 @@ from pyspark.sql import functions as F
 
 from affinityloom.llm import files
 from affinityloom.llm.common import _class_table, _mix, ascii_lower, scratch_path, words
+from affinityloom.llm.kneser_ney import _mapped, write_arrays
 from affinityloom.operators.ordering import top_rows
 
 LONGEST, LEAST_COUNT, PER_LANG, COVERED_PERCENT = 5, 100, 2000, 100
-CHUNK_TOKENS = 1 << 21
-#: Pointers that a task sorts.
-TASK_POINTERS = 1 << 19
+#: Words that a task merges at a time.
+CHUNK_TOKENS = 1 << 22
+#: Words of text behind each task that sorts pointers; it gets at most one pointer per word, on average.
+TASK_WORDS = 1 << 22
 
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _WORD = _class_table(b" \t" + _ENDS)
 _END = np.zeros(256, bool)
 _END[list(_ENDS)] = True
-_WORDS = [f"w{k}" for k in range(1, LONGEST + 1)]
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _hash(parts: list[np.ndarray]) -> np.ndarray:
-    h = np.zeros(len(parts[0]), np.uint64)
-    for p in parts:
-        h = _mix(h * _STEP ^ p.view(np.uint64))
-    return h
-
-
 def _lang_code(lang: str) -> np.uint64:
     return np.frombuffer(blake2b(lang.encode(), digest_size=8).digest(), np.uint64)[0]
 
 
+class Numbers:
+    """Word numbers, from 1, by the sorted keys of the frequent words; the arrays stay mapped in the shared folder."""
+
+    def __init__(self, parts: list[tuple[str, int, int, int]]):
+        self.parts = parts
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """Number of each key, 0 where it isn't frequent."""
+        unique, back = np.unique(keys.view(np.int64), return_inverse=True)
+        out, before = np.zeros(len(unique), np.int32), 1
+        for uri, low, high, n in self.parts:
+            a, b = np.searchsorted(unique, low), np.searchsorted(unique, high, "right")
+            if a < b:
+                held = _mapped(uri, 1, n)[0]
+                at = np.minimum(np.searchsorted(held, unique[a:b]), n - 1)
+                out[a:b] = np.where(held[at] == unique[a:b], at + before, 0)
+            before += n
+        return out[back]
+
+
 class Sieve:
-    """A bit per hash that may be in a stored set: all of the set pass, and few others. Its size follows the set's."""
+    """A bit per pair that may be in a stored set: all of the set pass, and few others. Its size follows the set's."""
 
     def __init__(self, folder: str, entries: int):
         self.mask = np.uint64((1 << max(20, min(33, (16 * entries).bit_length()))) - 1)
         self.bits = np.zeros(int(self.mask) + 1 >> 3, np.uint8)
         for uri, _ in files.listed(folder, ".parquet"):
             with files.opened(uri) as f:
-                for batch in pq.ParquetFile(f).iter_batches(columns=["hash"]):
-                    at = batch.column(0).to_numpy().view(np.uint64) & self.mask
+                for batch in pq.ParquetFile(f).iter_batches(columns=["pair"]):
+                    at = _mix(batch.column(0).to_numpy().view(np.uint64)) & self.mask
                     np.bitwise_or.at(self.bits, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
 
-    def passes(self, hashes: np.ndarray) -> np.ndarray:
-        at = hashes & self.mask
+    def passes(self, pairs: np.ndarray) -> np.ndarray:
+        at = _mix(pairs.view(np.uint64)) & self.mask
         return (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
@@ -74,6 +89,10 @@ def _sieve(folder: str, entries: int) -> Sieve:
     return Sieve(folder, entries)
 
 
+def _pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return first.astype(np.int64) << 32 | second
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """lang, word and n of all words; texts are lower-cased and a null lang is ``und``."""
     found = F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(r"[^\x20\x09.,;:!?\x0A-\x0D]+"), F.lit(0))
@@ -81,79 +100,69 @@ def word_counts(docs: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"))
 
 
-def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, np.ndarray]]:
-    """Per some two million words: the langs, each word's lang (index), hash, and whether the next word goes on its piece."""
-    langs: dict[str, int] = {}
-    held, size = [], 0
+def _word_keys(langs: list[str], texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all words of the texts, one lang a text, and each text's first word."""
+    hashes, bounds = words(texts, _WORD)
+    codes = {k: _lang_code(k) for k in set(langs)}
+    return _mix(hashes * _STEP ^ np.repeat(np.array([codes[k] for k in langs], np.uint64), np.diff(bounds))), bounds
 
-    def whole():
-        return list(langs), *(np.concatenate(c) for c in zip(*held))
 
+def _streams(batches: Iterator[pa.RecordBatch], numbers: Numbers) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per some four million words: each word's number, and whether the next word goes on its piece and both are frequent."""
+    held, size = [], 0
     for batch in batches:
         for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
             texts = [(t or "").encode() for t in part.column("text").to_pylist()]
-            kinds = [langs.setdefault(k, len(langs)) for k in part.column("lang").to_pylist()]
-            hashes, bounds = words(texts, _WORD)
-            if not len(hashes):
+            keys, _ = _word_keys(part.column("lang").to_pylist(), texts)
+            if not len(keys):
                 continue
             data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
             starts = np.flatnonzero(np.diff(_WORD[data].astype(np.int8), prepend=np.int8(0)) == 1)
-            piece = np.cumsum(_END[data])[starts]
-            held.append((np.repeat(np.array(kinds, np.int32), np.diff(bounds)), hashes, np.append(piece[1:] == piece[:-1], False)))
-            size += len(hashes)
+            piece, number = np.cumsum(_END[data])[starts], numbers.of(keys)
+            held.append((number, np.append((piece[1:] == piece[:-1]) & (number[1:] > 0) & (number[:-1] > 0), False)))
+            size += len(keys)
             if size >= CHUNK_TOKENS:
-                yield whole()
-                langs, held, size = {}, [], 0
+                yield tuple(np.concatenate(c) for c in zip(*held))
+                held, size = [], 0
     if held:
-        yield whole()
-
-
-def _merged(langs: list[str], lang: np.ndarray, columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
-    """Equal rows once, with their number."""
-    _, at, n = np.unique(_hash([lang.astype(np.uint64), *columns]), return_index=True, return_counts=True)
-    out = {"lang": pa.array(langs, pa.string()).take(pa.array(lang[at]))}
-    out.update({k: c[at].view(np.int64) for k, c in zip(names, columns)})
-    return pa.RecordBatch.from_pydict({**out, "n": n.astype(np.int64)})
-
+        yield tuple(np.concatenate(c) for c in zip(*held))
 
-def _codes(langs: list[str], lang: np.ndarray) -> np.ndarray:
-    return np.array([_lang_code(k) for k in langs], np.uint64)[lang]
 
-
-def count_pairs(texts: DataFrame, frequent: tuple[str, int]) -> DataFrame:
-    """lang, w1, w2 and n of neighbouring words that both pass the sieve of frequent words."""
+def count_pairs(texts: DataFrame, parts: list) -> DataFrame:
+    """pair (two word numbers) and n of neighbouring frequent words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sieve = _sieve(*frequent)
-        for langs, lang, hashes, goes_on in _streams(batches):
-            often = sieve.passes(_hash([_codes(langs, lang), hashes]))
-            at = np.flatnonzero(often[:-1] & often[1:] & goes_on[:-1])
-            if len(at):
-                yield _merged(langs, lang[at], [hashes[at], hashes[at + 1]], _WORDS[:2])
+        for number, goes_on in _streams(batches, Numbers(parts)):
+            at = np.flatnonzero(goes_on)
+            pairs, n = np.unique(_pair(number[at], number[np.minimum(at + 1, len(number) - 1)]), return_counts=True)
+            yield pa.RecordBatch.from_pydict({"pair": pairs, "n": n.astype(np.int64)})
 
-    return texts.mapInArrow(run, "lang string, w1 bigint, w2 bigint, n bigint").groupBy("lang", "w1", "w2").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
-def suffix_pointers(texts: DataFrame, pairs: tuple[str, int]) -> DataFrame:
-    """lang, w1 to w5 (0 where a pointer ends before) and n of the places where at least three words go on by frequent pairs."""
+def suffix_pointers(texts: DataFrame, parts: list, pairs: tuple[str, int]) -> DataFrame:
+    """Weighted pointers: w12, w34 and w5 hold the numbers of the first two words, the next two and the last (0 past the end)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sieve = _sieve(*pairs)
-        for langs, lang, hashes, goes_on in _streams(batches):
-            size, codes = len(hashes), _codes(langs, lang)
-            goes_on[:-1] &= sieve.passes(_hash([codes[:-1], hashes[:-1], hashes[1:]]))
+        for number, goes_on in _streams(batches, Numbers(parts)):
+            size = len(number)
+            number = np.append(number, np.zeros(LONGEST, np.int32))
+            goes_on[goes_on] = sieve.passes(_pair(number[:size], number[1:size + 1])[goes_on])
             goes_on = np.append(goes_on, np.zeros(LONGEST, bool))
             at = np.flatnonzero(goes_on[:size] & goes_on[1:size + 1])
-            if not len(at):
-                continue
-            padded, inside, columns = np.append(hashes, np.zeros(LONGEST, np.uint64)), np.ones(len(at), bool), []
+            inside, letters = np.ones(len(at), bool), []
             for k in range(LONGEST):
-                columns.append(np.where(inside, padded[at + k], np.uint64(0)))
+                letters.append(np.where(inside, number[at + k], 0))
                 inside = inside & goes_on[at + k]
-            yield _merged(langs, lang[at], columns, _WORDS)
+            columns = [_pair(letters[0], letters[1]), _pair(letters[2], letters[3]), letters[4].astype(np.int64)]
+            order = np.lexsort(columns[::-1])
+            columns = [c[order] for c in columns]
+            first = np.flatnonzero(np.append(True, np.any([c[1:] != c[:-1] for c in columns], axis=0))) if len(at) else order
+            out = {name: c[first] for name, c in zip(("w12", "w34", "w5"), columns)}
+            yield pa.RecordBatch.from_pydict({**out, "n": np.diff(first, append=len(at)).astype(np.int64)})
 
-    kinds = ", ".join(f"{w} bigint" for w in _WORDS)
-    return texts.mapInArrow(run, f"lang string, {kinds}, n bigint").groupBy("lang", *_WORDS).agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "w12 bigint, w34 bigint, w5 bigint, n bigint")
 
 
 def sorted_counts(keys: np.ndarray, weights: np.ndarray, at_end: np.ndarray, least: int, shortest: int = 3) -> Iterator[tuple[int, int, int]]:
@@ -180,37 +189,26 @@ def sorted_counts(keys: np.ndarray, weights: np.ndarray, at_end: np.ndarray, lea
             stack.append((equal, depth + 1))
 
 
-def _ends_of_range(lang: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Marks the least and the greatest row."""
-    order = np.lexsort((*keys.T[::-1], lang))
-    marks = np.zeros(len(keys), bool)
-    marks[order[[0, -1]]] = True
-    return marks
-
-
-def count_longer(pointers: DataFrame, least: int) -> DataFrame:
-    """lang, words (array of hashes) and n of the phrases of three to five words with at least ``least`` occurrences."""
+def count_longer(pointers: DataFrame, least: int, tasks: int) -> DataFrame:
+    """words (array of numbers) and a of the phrases of three to five words with at least ``least`` occurrences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
         table = pa.Table.from_batches(held)
-        langs, lang = np.unique(np.array(table.column("lang").to_pylist(), object), return_inverse=True)
-        keys = np.stack([table.column(w).to_numpy() for w in _WORDS], axis=1)
-        weights, ends = table.column("n").to_numpy(), _ends_of_range(lang, keys)
-        for k, name in enumerate(langs.tolist()):
-            rows = np.flatnonzero(lang == k)
-            found = [(keys[rows[r], :size].tolist(), n) for r, size, n in sorted_counts(keys[rows], weights[rows], ends[rows], least)]
-            if found:
-                yield pa.RecordBatch.from_pydict({
-                    "lang": pa.array([name] * len(found), pa.string()), "words": pa.array([f[0] for f in found], pa.list_(pa.int64())),
-                    "n": pa.array([f[1] for f in found], pa.int64())})
-
-    tasks = max(1, -(-pointers.count() // TASK_POINTERS))
-    ranged = pointers.repartitionByRange(tasks, "lang", *_WORDS)
-    counted = ranged.mapInArrow(run, "lang string, words array<bigint>, n bigint")
-    return counted.groupBy("lang", "words").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+        two, four, five, weights = (table.column(c).to_numpy() for c in ("w12", "w34", "w5", "n"))
+        ends = np.zeros(len(five), bool)
+        ends[np.lexsort((five, four, two))[[0, -1]]] = True
+        low = (1 << 32) - 1
+        keys = np.stack([two >> 32, two & low, four >> 32, four & low, five], axis=1).astype(np.int32)
+        found = [(keys[r, :size].tolist(), n) for r, size, n in sorted_counts(keys, weights, ends, least)]
+        if found:
+            yield pa.RecordBatch.from_pydict({"words": pa.array([f[0] for f in found], pa.list_(pa.int64())), "a": pa.array([f[1] for f in found], pa.int64())})
+
+    ranged = pointers.repartitionByRange(tasks, "w12", "w34", "w5")
+    counted = ranged.mapInArrow(run, "words array<bigint>, a bigint")
+    return counted.groupBy("words").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
 
 
 def _kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -219,48 +217,42 @@ def _kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def _hashed(rows: DataFrame, key) -> DataFrame:
-    """``rows`` plus ``hash``: what ``key`` makes of a batch of them."""
+def _numbered(counts: DataFrame) -> tuple[DataFrame, list]:
+    """The frequent words with their ``number``, and the files that give it to a word's key."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(k.view(np.int64)) for k in key(b))], names)
-
-    kinds = "".join(f", {k} bigint" for k in ("hash", "w1") if k not in rows.columns)
-    names = [*rows.columns, *(k for k in ("hash", "w1") if k not in rows.columns)]
-    return rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + kinds)
-
-
-def _batch_codes(b: pa.RecordBatch) -> np.ndarray:
-    coded = b.column("lang").dictionary_encode()
-    return _codes(coded.dictionary.to_pylist(), coded.indices.to_numpy()) if b.num_rows else np.empty(0, np.uint64)
-
-
-def _word_key(b: pa.RecordBatch) -> list[np.ndarray]:
-    hashes, _ = words([w.encode() for w in b.column("word").to_pylist()], _WORD)
-    return [_hash([_batch_codes(b), hashes]), hashes]
+            keys, _ = _word_keys(b.column("lang").to_pylist(), [w.encode() for w in b.column("word").to_pylist()])
+            yield pa.RecordBatch.from_pydict({"lang": b.column("lang"), "word": b.column("word"), "n": b.column("n"), "key": keys.view(np.int64)})
 
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            number = Numbers(parts).of(b.column("key").to_numpy())
+            yield pa.RecordBatch.from_pydict({k: b.column(k) for k in ("lang", "word", "n")} | {"number": number.astype(np.int64)})
 
-def _pair_key(b: pa.RecordBatch) -> list[np.ndarray]:
-    return [_hash([_batch_codes(b), b.column("w1").to_numpy(), b.column("w2").to_numpy()])]
+    rows = counts.where(F.col("word").isNotNull()).select("lang", "word", "n").mapInArrow(keyed, "lang string, word string, n bigint, key bigint")
+    keys, _ = _kept(rows, "keys")
+    parts = write_arrays(keys.select("key").distinct(), ["key"], scratch_path(counts.sparkSession, "numbers"))
+    return _kept(keys.mapInArrow(numbered, "lang string, word string, n bigint, number bigint"), "vocabulary")[0], parts
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST_COUNT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(lang, words, a) of phrases of one to five words, (lang, hash, word) of the frequent words, (lang, n) of all words."""
+    """(lang, words, a) of phrases of one to five words, (number, word) of the frequent words, (lang, n) of all words."""
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     # Infrequent words become one row a lang: what is stored is the frequent words and the sums.
     frequent = F.when(F.col("n") >= least, F.col("word"))
     counts, _ = _kept(word_counts(docs).groupBy("lang", frequent.alias("word")).agg(F.sum("n").alias("n")), "words")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("n"))
-    vocabulary, words_at = _kept(_hashed(counts.where(F.col("word").isNotNull()), _word_key), "vocabulary")
-    two = count_pairs(texts, (words_at, vocabulary.count())).where(F.col("n") >= least)
-    pairs, pairs_at = _kept(_hashed(two, _pair_key), "pairs")
-    pointers, _ = _kept(suffix_pointers(texts, (pairs_at, pairs.count())), "pointers")
-    longer = count_longer(pointers, least)
-    phrases, _ = _kept(
-        vocabulary.select("lang", F.array("w1").alias("words"), F.col("n").alias("a"))
-        .unionAll(pairs.select("lang", F.array("w1", "w2").alias("words"), "n")).unionAll(longer), "phrases")
-    return phrases, vocabulary.select("lang", F.col("w1").alias("hash"), "word"), totals
+    vocabulary, parts = _numbered(counts)
+    pairs, pairs_at = _kept(count_pairs(texts, parts).where(F.col("n") >= least), "pairs")
+    pointers = suffix_pointers(texts, parts, (pairs_at, pairs.count()))
+    longer = count_longer(pointers, least, max(1, -(-(totals.agg(F.sum("n")).first()[0] or 0) // TASK_WORDS)))
+    halves = F.array(F.shiftright("pair", 32), F.col("pair").bitwiseAND((1 << 32) - 1))
+    counted = (
+        vocabulary.select(F.array("number").alias("words"), F.col("n").alias("a"))
+        .unionAll(pairs.select(halves, "n")).unionAll(longer).withColumn("number", F.col("words")[0]))
+    phrases, _ = _kept(counted.join(vocabulary.select("number", "lang"), "number").select("lang", "words", "a"), "phrases")
+    return phrases, vocabulary.select("number", "word"), totals
 
 
 def scored(phrases: DataFrame, totals: DataFrame) -> DataFrame:
@@ -296,7 +288,7 @@ def collocations(docs: DataFrame, least: int = LEAST_COUNT, per_lang: int = PER_
     """
     phrases, vocabulary, totals = frequent_phrases(docs, least)
     left = without_covered(scored(phrases, totals), percent)
-    spelled = left.select("lang", "words", F.posexplode("words").alias("place", "hash")).join(vocabulary, ["lang", "hash"])
+    spelled = left.select("lang", "words", F.posexplode("words").alias("place", "number")).join(vocabulary, "number")
     texts = spelled.groupBy("lang", "words").agg(
         F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("place", "word"))), lambda s: s["word"])).alias("phrase"))
     ranked = top_rows(left.join(texts, ["lang", "words"]), ["lang"], [F.desc("score"), F.desc("a"), F.col("phrase")], per_lang, "rank")

@@ -61,7 +61,7 @@ def table(spark):
 
 @pytest.mark.parametrize("least,per_lang,pointers", [(20, 2000, 1 << 19), (60, 5, 7), (3, 60, 400)])
 def test_equals_plain_counts(table, phrases, monkeypatch, least, per_lang, pointers):
-    monkeypatch.setattr(collocations, "TASK_POINTERS", pointers)
+    monkeypatch.setattr(collocations, "TASK_WORDS", pointers)
     docs = phrases if least > 3 else phrases[::9]
     want = best_phrases(docs, least, per_lang)
     assert len(want) > 10
