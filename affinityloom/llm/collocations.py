@@ -1,13 +1,14 @@
 """Phrase collocations: frequent phrases counted by multikey quicksort of suffix pointers.
 
-Three passes over the texts. The first counts words and numbers the frequent ones. The second counts pairs of frequent
-words. The third makes a suffix pointer of every place from which at least two frequent pairs follow each other: the
-numbers of its words, up to five, ending where a pair is infrequent, as no longer phrase can be frequent there. A task
-merges equal pointers into one with a weight; then they are range-partitioned by their words, so a hot leading word or
-pair spans as many tasks as it needs. Each task sorts its pointers by three-way partitions, word by word: the weight of
-an equal partition is the count of its phrase, and partitions below the least count are abandoned. Only phrases at the
-two ends of a task's range may go on in the next task; they are handed on with whatever weight they have, and the
-weights are added.
+Three passes over the texts. The first counts words and numbers the frequent ones. The second counts the leading two and
+three words of all suffixes of frequent words, globally, as one 64-bit key each. The third makes a suffix pointer of every
+place whose leading three words are frequent: the numbers of its words, up to five, ending where three words in a row are
+infrequent, as no longer phrase can be frequent there. So what is moved grows with the texts, by narrow keys, and pointers
+only of what may be frequent. A task merges equal pointers into one with a weight; then they are range-partitioned by
+their words, so a hot leading word or pair spans as many tasks as it needs. Each task sorts its pointers by three-way
+partitions, word by word: the weight of an equal partition is the count of its phrase, and partitions below the least
+count are abandoned. Only phrases at the two ends of a task's range may go on in the next task; they are handed on with
+whatever weight they have, and the weights are added.
 
 Frequent words are found by the 64-bit hash of lang and word; a word that shares the hash of a frequent one is taken for
 it (some 10^-6 for 10^8 distinct words and 10^5 frequent ones).
@@ -68,19 +69,19 @@ class Numbers:
 
 
 class Sieve:
-    """A bit per pair that may be in a stored set: all of the set pass, and few others. Its size follows the set's."""
+    """A bit per key that may be in a stored set: all of the set pass, and few others. Its size follows the set's."""
 
     def __init__(self, folder: str, entries: int):
         self.mask = np.uint64((1 << max(20, min(33, (16 * entries).bit_length()))) - 1)
         self.bits = np.zeros(int(self.mask) + 1 >> 3, np.uint8)
         for uri, _ in files.listed(folder, ".parquet"):
             with files.opened(uri) as f:
-                for batch in pq.ParquetFile(f).iter_batches(columns=["pair"]):
+                for batch in pq.ParquetFile(f).iter_batches(columns=["key"]):
                     at = _mix(batch.column(0).to_numpy().view(np.uint64)) & self.mask
                     np.bitwise_or.at(self.bits, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
 
-    def passes(self, pairs: np.ndarray) -> np.ndarray:
-        at = _mix(pairs.view(np.uint64)) & self.mask
+    def passes(self, keys: np.ndarray) -> np.ndarray:
+        at = _mix(keys.view(np.uint64)) & self.mask
         return (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
@@ -93,6 +94,12 @@ def _pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return first.astype(np.int64) << 32 | second
 
 
+def _triples(number: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hashed keys, all negative, of the three words from each place; pairs are positive."""
+    third = number[at + 2].astype(np.uint64) * _STEP
+    return (_mix(_mix(_pair(number[at], number[at + 1]).view(np.uint64)) ^ third) | np.uint64(1 << 63)).view(np.int64)
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """lang, word and n of all words; texts are lower-cased and a null lang is ``und``."""
     found = F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(r"[^\x20\x09.,;:!?\x0A-\x0D]+"), F.lit(0))
@@ -128,33 +135,36 @@ def _streams(batches: Iterator[pa.RecordBatch], numbers: Numbers) -> Iterator[tu
         yield tuple(np.concatenate(c) for c in zip(*held))
 
 
-def count_pairs(texts: DataFrame, parts: list) -> DataFrame:
-    """pair (two word numbers) and n of neighbouring frequent words."""
+def count_leads(texts: DataFrame, parts: list) -> DataFrame:
+    """key and n of all leading pairs (two word numbers) and triples (hashed, negative) of frequent words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, goes_on in _streams(batches, Numbers(parts)):
-            at = np.flatnonzero(goes_on)
-            pairs, n = np.unique(_pair(number[at], number[np.minimum(at + 1, len(number) - 1)]), return_counts=True)
-            yield pa.RecordBatch.from_pydict({"pair": pairs, "n": n.astype(np.int64)})
+            two = np.flatnonzero(goes_on)
+            three = two[goes_on[np.minimum(two + 1, len(number) - 1)]]
+            for keys in (_pair(number[two], number[two + 1]), _triples(number, three)):
+                keys, n = np.unique(keys, return_counts=True)
+                yield pa.RecordBatch.from_pydict({"key": keys, "n": n.astype(np.int64)})
 
-    return texts.mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def suffix_pointers(texts: DataFrame, parts: list, pairs: tuple[str, int]) -> DataFrame:
+def suffix_pointers(texts: DataFrame, parts: list, leads: tuple[str, int]) -> DataFrame:
     """Weighted pointers: w12, w34 and w5 hold the numbers of the first two words, the next two and the last (0 past the end)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sieve = _sieve(*pairs)
+        sieve = _sieve(*leads)
         for number, goes_on in _streams(batches, Numbers(parts)):
             size = len(number)
-            number = np.append(number, np.zeros(LONGEST, np.int32))
-            goes_on[goes_on] = sieve.passes(_pair(number[:size], number[1:size + 1])[goes_on])
-            goes_on = np.append(goes_on, np.zeros(LONGEST, bool))
+            number, goes_on = np.append(number, np.zeros(LONGEST, np.int32)), np.append(goes_on, np.zeros(LONGEST, bool))
             at = np.flatnonzero(goes_on[:size] & goes_on[1:size + 1])
-            inside, letters = np.ones(len(at), bool), []
-            for k in range(LONGEST):
-                letters.append(np.where(inside, number[at + k], 0))
-                inside = inside & goes_on[at + k]
+            at = at[sieve.passes(_triples(number, at))]
+            leading = np.zeros(size + LONGEST, bool)
+            leading[at] = True
+            more = [np.ones(len(at), bool)] * 3
+            for k in range(1, LONGEST - 2):
+                more.append(more[-1] & leading[at + k])
+            letters = [np.where(inside, number[at + k], 0) for k, inside in enumerate(more)]
             columns = [_pair(letters[0], letters[1]), _pair(letters[2], letters[3]), letters[4].astype(np.int64)]
             order = np.lexsort(columns[::-1])
             columns = [c[order] for c in columns]
@@ -244,13 +254,13 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST_COUNT) -> tuple[DataFra
     counts, _ = _kept(word_counts(docs).groupBy("lang", frequent.alias("word")).agg(F.sum("n").alias("n")), "words")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("n"))
     vocabulary, parts = _numbered(counts)
-    pairs, pairs_at = _kept(count_pairs(texts, parts).where(F.col("n") >= least), "pairs")
-    pointers = suffix_pointers(texts, parts, (pairs_at, pairs.count()))
+    leads, leads_at = _kept(count_leads(texts, parts).where(F.col("n") >= least), "leads")
+    pointers = suffix_pointers(texts, parts, (leads_at, leads.count()))
     longer = count_longer(pointers, least, max(1, -(-(totals.agg(F.sum("n")).first()[0] or 0) // TASK_WORDS)))
-    halves = F.array(F.shiftright("pair", 32), F.col("pair").bitwiseAND((1 << 32) - 1))
+    halves = F.array(F.shiftright("key", 32), F.col("key").bitwiseAND((1 << 32) - 1))
     counted = (
         vocabulary.select(F.array("number").alias("words"), F.col("n").alias("a"))
-        .unionAll(pairs.select(halves, "n")).unionAll(longer).withColumn("number", F.col("words")[0]))
+        .unionAll(leads.where(F.col("key") > 0).select(halves, "n")).unionAll(longer).withColumn("number", F.col("words")[0]))
     phrases, _ = _kept(counted.join(vocabulary.select("number", "lang"), "number").select("lang", "words", "a"), "phrases")
     return phrases, vocabulary.select("number", "word"), totals
 
