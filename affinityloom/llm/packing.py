@@ -25,7 +25,7 @@ CAPACITY = 4096
 #: UTF-8 bytes of text behind a group; a group holds at most that many ids, on average.
 GROUP_BYTES = 1 << 22
 #: Chunks of text whose ids a worker remembers.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 600_000
 
 _SPACED = re.compile(r"[^\x09-\x0D\x20]+")
 #: Characters with which ``str.split`` or lower-casing before the library normalises could change the ids.
