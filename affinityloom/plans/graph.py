@@ -153,7 +153,7 @@ def projected_graph_edges(spark, sf_dir):
     return G.projected_edges(chain_nodes(spark, sf_dir), ligand_nodes(spark, sf_dir), faces, D.keyed_assays(spark, sf_dir)).select("edge_id", "edge_type")
 
 
-@query("pair_graph_features", "C7 D14",
+@query("pair_graph_features", "D14",
        f"""WITH {D.DOMAIN_SQL}, cn AS (SELECT DISTINCT entry_id, chain_id, CASE WHEN accession <> '' THEN 'protein:' || accession ELSE 'protein:' || entry_id || ':' || chain_id END AS node_id FROM chains),
        f AS (SELECT 'protein:U' || s_suppkey AS node_id, s_suppkey % 7 AS network_degree FROM supplier), w AS (SELECT DISTINCT pair_key, a.entry_id, unnest(string_split(receptor_key, ',')) AS c FROM assays a WHERE receptor_key <> '-'),
        n AS (SELECT DISTINCT pair_key, node_id FROM w JOIN cn ON cn.entry_id = w.entry_id AND cn.chain_id = w.c) SELECT pair_key, CAST(sum(network_degree) AS BIGINT) AS network_degree FROM n JOIN f USING (node_id) GROUP BY 1""")

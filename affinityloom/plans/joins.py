@@ -121,7 +121,7 @@ def interface_match(spark, sf_dir):
                     "ligand_key", "matching_interface_count", "matching_interface_types")
 
 
-@query("interface_match_strict", "C5 C7",
+@query("interface_match_strict", "C5",
        W + """SELECT a.entry_id, a.receptor_key, a.ligand_key, count(*) AS matching_interface_count
        FROM (SELECT DISTINCT entry_id, receptor_key, ligand_key FROM assays) a JOIN interfaces i USING (entry_id)
        WHERE (a.receptor_key = '-' OR (i.chain_key <> '' AND list_has_any(string_split(a.receptor_key, ','), string_split(i.chain_key, ','))))
@@ -133,7 +133,7 @@ def interface_match_strict(spark, sf_dir):
                     "ligand_key", "matching_interface_count")
 
 
-@query("fallback_lookup", "C8 B10",
+@query("fallback_lookup", "C8",
        """WITH d AS (SELECT 'P' || (p_partkey % 700) AS pair, 'B' || p_brand AS entry, p_type, p_size, p_partkey FROM part),
        one AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY pair ORDER BY p_partkey DESC) = 1),
        two AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY entry ORDER BY p_partkey DESC) = 1),

@@ -86,7 +86,7 @@ TARGETS_SQL = """, sc AS (SELECT s.item_id, d.source AS target, s.doc_id, s.s, 1
 ag AS (SELECT item_id, target, sum(s * w * greatest(greatest(0.0, least(1.0, 1 - l / 6)), 0.01)) AS raw, sum(s * w * l) / sum(s * w) AS mean_log, max(s) AS best, count(*) AS n FROM sc GROUP BY 1, 2)"""
 
 
-@query("target_ranking", "E13 H7 G24",
+@query("target_ranking", "E13 G24",
        f"WITH {CROSS_SQL}{TARGETS_SQL} SELECT item_id, target, CAST(row_number() OVER (PARTITION BY item_id ORDER BY round(raw, 9) DESC, target) AS INT) AS rank, round(1 / (1 + exp(-raw)), 4) AS confidence, round(best, 4) AS similarity, round(-1.364 * mean_log, 3) AS free_energy, n AS support FROM ag")
 def target_ranking(spark, sf_dir):
     return ranking_of(query_matches(spark, sf_dir), spark, sf_dir)
