@@ -58,6 +58,22 @@ def parse_affinity_token(token: Column | str) -> Column:
     )
 
 
+# Affinity text of the binding-site table.
+SITE_TOKEN = r"(?i)(Kd|Ki|IC50|EC50|dG|ΔG)\s*[:=]?\s*([<>~]?\d+(?:\.\d+)?)\s*(fM|pM|nM|uM|mM|M|kcal/mol)?"
+
+
+def parse_site_affinity(token: Column | str) -> Column:
+    """First affinity of a free text such as ``EC50: <3 uM`` or ``ΔG=-7``; a free energy with a unit is its own standard."""
+    t = F.trim(as_col(token))
+    grab = lambda i: F.nullif(F.regexp_extract(t, SITE_TOKEN, i), F.lit(""))
+    kind = F.when(grab(1) == "ΔG", "dG").otherwise(grab(1))
+    number = F.regexp_replace(grab(2), "^[<>~]", "").try_cast("double")
+    molar = F.round(number * unit_factor(grab(3)), 6)
+    return F.struct(
+        kind.alias("kind"), number.alias("value"), grab(3).alias("unit"),
+        F.coalesce(molar, F.when((kind == "dG") & grab(3).isNotNull(), number)).alias("standardized"))
+
+
 def ddg(affinity_mut: Column | str, affinity_wt: Column | str, temperature: Column | str,
         explicit: Column | str | None = None) -> Column:
     """Explicit value, else R*T*ln(Kd_mut/Kd_wt) with both positive."""

@@ -135,13 +135,13 @@ def site_edges(sites: DataFrame, structure: str, site: str, radius: float = 8.0)
     return pairs.withColumn("distance", F.round("distance", 6))
 
 
-def enriched_edges(edges: DataFrame, refined: DataFrame, site: str) -> DataFrame:
+def enriched_edges(edges: DataFrame, refined: DataFrame, structure: str, site: str) -> DataFrame:
     """Edge scores from both ends' refined charge and motif (missing ends count as neutral)."""
     def end(tag: str) -> DataFrame:
-        return refined.select(F.col(site).alias(f"{site}_{tag}"), F.col("refined_charge").alias(f"q_{tag}"),
+        return refined.select(structure, F.col(site).alias(f"{site}_{tag}"), F.col("refined_charge").alias(f"q_{tag}"),
                               F.col("motif").alias(f"m_{tag}"))
 
-    e = edges.join(end("a"), f"{site}_a", "left").join(end("b"), f"{site}_b", "left")
+    e = edges.join(end("a"), [structure, f"{site}_a"], "left").join(end("b"), [structure, f"{site}_b"], "left")
     d = F.col("distance")
     qq = F.coalesce("q_a", F.lit(0.0)) * F.coalesce("q_b", F.lit(0.0))
     ring = F.coalesce("m_a", F.lit("")).contains("aromatic_centroid") & F.coalesce("m_b", F.lit("")).contains("aromatic_centroid")
@@ -240,17 +240,17 @@ def physics_summary(microstates: DataFrame, key: str) -> DataFrame:
         F.round(near("opposite", 4.5) - near("same", 4.5) - penalty, 4).alias("balance"))
 
 
-def site_feature_pivot(shells: DataFrame, edges: DataFrame, site: str, measures: Sequence[str],
+def site_feature_pivot(shells: DataFrame, edges: DataFrame, structure: str, site: str, measures: Sequence[str],
                        shell_names: Sequence[str]) -> DataFrame:
     """Shell measures as wide columns plus neighbour count and min/mean/max edge distance per site."""
-    wide = shells.groupBy(site).agg(*[
+    wide = shells.groupBy(structure, site).agg(*[
         F.coalesce(F.max(F.when(F.col("shell") == s, F.col(m))), F.lit(0)).cast("double").alias(f"{s}_{m}")
         for s in shell_names for m in measures])
-    ends = edges.select(F.explode(F.array(f"{site}_a", f"{site}_b")).alias(site), "distance")
-    stats = ends.groupBy(site).agg(
+    ends = edges.select(structure, F.explode(F.array(f"{site}_a", f"{site}_b")).alias(site), "distance")
+    stats = ends.groupBy(structure, site).agg(
         F.count(F.lit(1)).cast("double").alias("neighbor_sites"), F.min("distance").alias("min_distance"),
         F.round(F.avg("distance"), 6).alias("mean_distance"), F.max("distance").alias("max_distance"))
-    return wide.join(stats, site, "left").na.fill(0.0)
+    return wide.join(stats, [structure, site], "left").na.fill(0.0)
 
 
 def residue_edges(nodes: DataFrame, structure: str, node: str, number: str, radius: float = 8.0) -> DataFrame:

@@ -76,14 +76,23 @@ def affinity_index_lines(spark, sf_dir):
         "entry_id", "resolution", "release_year", "kind", "relation", "value", "unit", "standardized", "reference")
 
 
-@query("binding_site_rows", "A7 G5",
-       """SELECT 'S' || l_orderkey AS entry_id, l_returnflag AS chain_id, 'L' || l_partkey AS ligand_id, 2::INT AS n_residues, l_quantity AS value, l_quantity AS standardized FROM lineitem""")
+@query("binding_site_rows", "A7 G4 G5",
+       f"""WITH t AS (SELECT *, {sql_pick(['Kd=', 'EC50: ', 'dG ', 'none '], 'l_linenumber')} AS k, {sql_pick([' nM', ' kcal/mol', ''], 'l_suppkey')} AS u FROM lineitem)
+       SELECT 'S' || l_orderkey AS entry_id, l_returnflag AS chain_id, round(l_tax * 10, 2) AS resolution, 'L' || l_partkey AS ligand_id, 'B' AS ligand_chain, 2::INT AS n_residues, 1::INT AS n_catalytic, '3.4.21.' || l_linenumber AS ec_number,
+         'p' || l_suppkey AS pubmed_id, CASE WHEN k <> 'none ' THEN regexp_extract(k, '[A-Za-z0-9]+') END AS kind, CASE WHEN k <> 'none ' THEN l_quantity END AS value, CASE WHEN k <> 'none ' AND u <> '' THEN trim(u) END AS unit,
+         CASE WHEN k <> 'none ' AND (u = ' nM' OR (u = ' kcal/mol' AND k = 'dG ')) THEN l_quantity END AS standardized FROM t""")
 def binding_site_rows(spark, sf_dir):
-    line = F.concat_ws("\t", F.concat(F.lit("s"), s("l_orderkey")), "l_returnflag", F.concat(F.lit("TYR"), s("l_linenumber"), F.lit(" ASP34")), F.lit("B"),
-                       F.concat(F.lit("L"), s("l_partkey")), F.lit("1"), F.concat(F.lit("Kd="), s("l_quantity"), F.lit(" nM")), F.lit("HIS57"), s("l_suppkey"))
+    affinity = F.concat(pick(["Kd=", "EC50: ", "dG ", "none "], F.col("l_linenumber")), s("l_quantity"), pick([" nM", " kcal/mol", ""], F.col("l_suppkey")))
+    given = F.col("l_partkey") % 2 == 0
+    line = F.concat_ws(
+        "\t", F.concat(F.lit("s"), s("l_orderkey")), "l_returnflag", F.format_string("%.2f", F.col("l_tax") * 10),
+        F.concat(F.lit("TYR"), s("l_linenumber"), F.lit(" ASP34")), F.lit("B"), F.concat(F.lit("L"), s("l_partkey")), F.lit("1"),
+        F.when(given, affinity).otherwise(""), F.when(given, "Kd=1 M").otherwise(affinity), F.lit("HIS57"), F.concat(F.lit("3.4.21."), s("l_linenumber")), F.lit(""),
+        F.concat(F.lit("p"), s("l_suppkey")))
     lines = table(spark, sf_dir, "lineitem").select(line.alias("value"))
     return AS.site_lines(lines, header=AS.has_site_header(lines)).select(
-        "entry_id", "chain_id", "ligand_id", F.size("residues").alias("n_residues"), "value", "standardized")
+        "entry_id", "chain_id", "resolution", "ligand_id", "ligand_chain", F.size("residues").alias("n_residues"),
+        F.size("catalytic_residues").alias("n_catalytic"), "ec_number", "pubmed_id", "kind", "value", "unit", "standardized")
 
 
 @query("nested_affinity_rows", "A8",

@@ -80,7 +80,7 @@ def refined_sites(spark, sf_dir):
 def enriched_site_edges(spark, sf_dir):
     sites, shells = sites_and_shells(spark, sf_dir)
     refined = P.refined_sites(shells, "structure", "vec_id").join(sites.select("vec_id", F.lower("element").alias("motif")), "vec_id")
-    return P.enriched_edges(P.site_edges(sites, "structure", "vec_id"), refined, "vec_id").select(
+    return P.enriched_edges(P.site_edges(sites, "structure", "vec_id"), refined, "structure", "vec_id").select(
         "vec_id_a", "vec_id_b", "coulombic", "hbond_geometry", "salt_bridge", "clash")
 
 
@@ -91,7 +91,7 @@ def enriched_site_edges(spark, sf_dir):
          round(coalesce(max(lo), 0), 6) AS min_distance, coalesce(max(mid), 0) AS mean_distance, round(coalesce(max(hi), 0), 6) AS max_distance FROM sh LEFT JOIN st ON v = vec_id GROUP BY 1""")
 def site_feature_pivot(spark, sf_dir):
     sites, shells = sites_and_shells(spark, sf_dir)
-    wide = P.site_feature_pivot(shells, P.near_pairs(sites, "structure", "vec_id", 8.0), "vec_id", ["neighbor_count", "charge_sum"],
+    wide = P.site_feature_pivot(shells, P.near_pairs(sites, "structure", "vec_id", 8.0), "structure", "vec_id", ["neighbor_count", "charge_sum"],
                                 ["shell_1", "shell_2", "shell_3"])
     return wide.select("vec_id", "shell_1_neighbor_count", "shell_3_charge_sum", "neighbor_sites",
                        *[F.round(c, 6).alias(c) for c in ("min_distance", "mean_distance", "max_distance")])

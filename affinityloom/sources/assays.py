@@ -11,8 +11,15 @@ from affinityloom.functions import affinity as A
 from affinityloom.functions.text import blank_to_null, first_text, site_residue_tokens, text
 
 # Columns of the binding-site table when it has no header.
-SITE_COLUMNS = ["pdb_id", "receptor_chain", "binding_site_residues", "ligand_chain", "ligand_id", "ligand_serial",
-                "binding_affinity", "catalytic_site_residues", "pubmed_id"]
+SITE_COLUMNS = [
+    "pdb_id", "receptor_chain", "resolution", "binding_site_residues", "ligand_chain", "ligand_id", "ligand_serial",
+    "binding_affinity", "binding_affinity_manual", "catalytic_site_residues", "ec_number", "go_terms", "pubmed_id"]
+# Names under which a header may give them.
+SITE_NAMES = {
+    "pdb_id": ["pdb_id", "pdb"], "receptor_chain": ["receptor_chain", "protein_chain", "chain"], "resolution": ["resolution"],
+    "binding_site_residues": ["binding_site_residues"], "ligand_chain": ["ligand_chain"], "ligand_id": ["ligand_id", "ligand_id_ligand"],
+    "ligand_serial": ["ligand_serial", "ligand_serial_number"], "affinity": ["binding_affinity", "binding_affinity_manual", "affinity"],
+    "catalytic_site_residues": ["catalytic_site_residues"], "ec_number": ["ec_number"], "go_terms": ["go_terms"], "pubmed_id": ["pubmed_id", "pmid"]}
 
 
 GIVEN_DDG = "ddG (kcal/mol)"
@@ -49,44 +56,78 @@ def index_lines(lines: DataFrame, value: str = "value") -> DataFrame:
         F.when(stripped.contains("//"), F.trim(F.split(stripped, "//", 2)[1])).alias("reference"))
 
 
+def _site_name(name: str) -> str:
+    """A header's name with blanks, hyphens and slashes as underscores, without brackets, in lower case."""
+    return name.strip().lower().translate(str.maketrans({" ": "_", "-": "_", "/": "_", "(": None, ")": None}))
+
+
+def _usable(lines: DataFrame, value: str) -> DataFrame:
+    return lines.filter((F.trim(F.col(value)) != "") & ~F.ltrim(F.col(value)).startswith("#"))
+
+
+def site_header(lines: DataFrame, value: str = "value") -> list[str] | None:
+    """The names of the header line, None where the first line isn't one."""
+    first = _usable(lines, value).limit(1).collect()
+    names = [_site_name(p) for p in first[0][value].split("\t")] if first else []
+    return names if any("pdb" in n for n in names) else None
+
+
+def has_site_header(lines: DataFrame, value: str = "value") -> bool:
+    return site_header(lines, value) is not None
+
+
 def site_lines(lines: DataFrame, header: bool, value: str = "value") -> DataFrame:
-    """Binding-site rows: affinity and residue list per (entry, receptor chain, ligand).
+    """Binding-site rows: affinity and residue lists per (entry, receptor chain, ligand).
 
-    Whether the first line is a header is decided once by the caller (``has_site_header``).
+    Whether the first line is a header is decided once by the caller (``has_site_header``). With a header, values are
+    found by its names, whatever their order; without one, by their places. The first affinity given counts.
     """
+    names = (site_header(lines, value) if header else None) or SITE_COLUMNS
     parts = F.split(F.col(value), "\t")
-    cols = [F.trim(F.coalesce(F.try_element_at(parts, F.lit(i + 1)), F.lit(""))).alias(c) for i, c in enumerate(SITE_COLUMNS)]
-    rows = lines.filter((F.trim(F.col(value)) != "") & ~F.ltrim(F.col(value)).startswith("#")).select(*cols)
+    at = {name: F.trim(F.coalesce(F.try_element_at(parts, F.lit(i + 1)), F.lit(""))) for i, name in enumerate(names)}
+    known = {c: first_text(*[at[n] for n in named if n in at], F.lit("")) for c, named in SITE_NAMES.items()}
+    rows = _usable(lines, value).select(*[F.coalesce(v, F.lit("")).alias(c) for c, v in known.items()])
     if header:
         rows = rows.filter(~F.lower("pdb_id").isin("pdb_id", "pdb id", "pdbid", "pdb"))
-    parsed = A.parse_affinity_token("binding_affinity")
+    parsed = A.parse_site_affinity("affinity")
+    blank = lambda c: blank_to_null(c).alias(c)
     return rows.select(
-        F.upper("pdb_id").alias("entry_id"), F.col("receptor_chain").alias("chain_id"), "ligand_id",
-        site_residue_tokens("binding_site_residues").alias("residues"), parsed["kind"].alias("kind"),
-        parsed["value"].alias("value"), parsed["standardized"].alias("standardized"))
+        F.upper("pdb_id").alias("entry_id"),
+        F.col("receptor_chain").alias("chain_id"), F.col("resolution").try_cast("double").alias("resolution"), "ligand_id",
+        blank("ligand_chain"), blank("ligand_serial"), site_residue_tokens("binding_site_residues").alias("residues"),
+        site_residue_tokens("catalytic_site_residues").alias("catalytic_residues"), blank("ec_number"), blank("go_terms"), blank("pubmed_id"),
+        parsed["kind"].alias("kind"), parsed["value"].alias("value"), parsed["unit"].alias("unit"), parsed["standardized"].alias("standardized"),
+        F.when((parsed["standardized"] > 0) & (parsed["kind"] != "dG"), F.round(F.log10(parsed["standardized"]), 6)).alias("log10"))
 
 
-def has_site_header(lines: DataFrame, value: str = "value") -> bool:
-    first = lines.filter(F.trim(F.col(value)) != "").limit(1).collect()
-    return bool(first) and any("pdb" in p.strip().lower() for p in first[0][value].split("\t"))
-
-
-AFFINITY_RESPONSE = (
-    "array<struct<smiles string, monomerID string, cid string, "
-    "affinities array<struct<affinity string, affinityUnit string, affinityType string, target string, uniprotID string>>>>")
+# Spellings of the nested response's keys; the first that is given counts.
+SPELLINGS = {
+    "smiles": ["smiles", "Smiles"], "ligand_id": ["cid", "monomerID"], "ligand_name": ["name", "monomerName"],
+    "affinity": ["affinity", "Affinity", "value", "Value"], "unit": ["affinityUnit", "AffinityUnit", "unit", "Unit"],
+    "kind": ["affinityType", "AffinityType"], "target": ["target", "Target", "targetName"], "accession": ["uniprotID", "uniprot_primary_id"],
+    "pubmed_id": ["pubmedId", "PubMedID", "pmid", "PMID"], "doi": ["doi", "DOI"], "mutation": ["mutation", "Mutation", "mutationString", "MutationString"],
+    "temperature": ["temperature", "Temperature"], "ph": ["pH", "ph", "PH"], "chains": ["chainIDs", "chainIds", "chainId", "ChainIDs", "ChainId"]}
+ENTRIES = "array<map<string, string>>"
 
 
 def nested_affinities(df: DataFrame, entry: str, payload: str) -> DataFrame:
-    """One row per monomer and affinity of a nested response; alternate key spellings coalesced."""
-    # one parse per spelling: both names in one struct can't be told apart in Spark SQL
-    capital = F.from_json(payload, "array<struct<Smiles string>>")
-    mono = df.select(entry, F.explode(F.arrays_zip(F.from_json(payload, AFFINITY_RESPONSE).alias("m"), capital.alias("c"))).alias("z")).select(
-        entry, "z.m", F.col("z.c.Smiles").alias("_smiles"))
-    flat = mono.select(entry, F.coalesce("m.cid", "m.monomerID").alias("ligand_id"), F.coalesce("m.smiles", "_smiles").alias("smiles"),
-                       F.explode("m.affinities").alias("a"))
-    parsed = A.parse_affinity("a.affinity", "a.affinityUnit")
-    return flat.select(
-        entry, "ligand_id", "smiles", F.col("a.affinityType").alias("kind"), F.col("a.uniprotID").alias("accession"),
+    """One row per monomer and affinity of a nested response, whatever spelling its keys have.
+
+    Entries are read as maps, so spellings that differ by case alone stay apart; one parse per level.
+    """
+    pick = lambda c, name: F.coalesce(*[F.try_element_at(c, F.lit(k)) for k in SPELLINGS[name]])
+    mono = df.select(entry, F.explode(F.from_json(payload, ENTRIES)).alias("m"))
+    flat = mono.select(
+        entry, *[pick(F.col("m"), n).alias(n) for n in ("ligand_id", "smiles", "ligand_name")],
+        F.explode(F.from_json(F.try_element_at("m", F.lit("affinities")), ENTRIES)).alias("a"))
+    named = flat.select(entry, "ligand_id", "smiles", "ligand_name", *[
+        pick(F.col("a"), n).alias(n) for n in SPELLINGS if n not in ("ligand_id", "smiles", "ligand_name")])
+    parsed = A.parse_affinity("affinity", "unit")
+    chains = F.filter(F.transform(F.split(F.replace(F.col("chains"), F.lit(";"), F.lit(",")), ","), F.trim), lambda x: x != "")
+    return named.select(
+        entry, "ligand_id", "smiles", "ligand_name", "kind", "accession", "target", "pubmed_id", "doi", "mutation",
+        F.col("temperature").try_cast("double").alias("temperature_c"), F.col("ph").try_cast("double").alias("ph"),
+        F.when(F.size(chains) > 0, chains).alias("receptor_chains"),
         parsed["value"].alias("value"), parsed["relation"].alias("relation"), parsed["standardized"].alias("standardized"),
         parsed["log10"].alias("log10"))
 

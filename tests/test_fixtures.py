@@ -196,3 +196,44 @@ def test_vectors_equal_to_nothing_end_the_clustering(spark):
     rows = spark.createDataFrame([("m", 1, [float("nan")]), ("m", 2, []), ("m", 3, [1.0]), ("m", 4, [1.01])], "motif string, ord int, v array<double>")
     got = {r["ord"]: r["leader"] for r in SEL.archetype_clusters(rows, "motif", "ord", "v").collect()}
     assert got == {1: 1, 2: 2, 3: 3, 4: 3}
+
+
+def test_site_table_without_header_has_thirteen_columns(spark):
+    lines = spark.createDataFrame([("1abc\tA\t2.1\tTYR15,ASP34\tB\tATP\t401\t\tKd=5nM\tHIS57\t2.7.1.1\tGO:1\t77",)], "value string")
+    assert not AS.has_site_header(lines)
+    r = AS.site_lines(lines, header=False).first()
+    assert (r["entry_id"], r["resolution"], r["ligand_id"], r["residues"], r["catalytic_residues"]) == ("1ABC", 2.1, "ATP", ["TYR15", "ASP34"], ["HIS57"])
+    assert (r["kind"], r["value"], r["unit"], r["standardized"], r["ec_number"], r["pubmed_id"]) == ("Kd", 5.0, "nM", 5.0, "2.7.1.1", "77")
+
+
+def test_site_values_are_found_by_the_header_names(spark):
+    lines = spark.createDataFrame([("PMID\tPDB\tAffinity\tProtein Chain\tLigand-ID",), ("9\t2xyz\tEC50: <3 uM\tC\tGTP",)], "value string").coalesce(1)
+    r = [x for x in AS.site_lines(lines, header=True).collect() if x["entry_id"] != "PDB"][0]
+    assert (r["entry_id"], r["chain_id"], r["ligand_id"], r["kind"], r["value"], r["standardized"], r["pubmed_id"]) == ("2XYZ", "C", "GTP", "EC50", 3.0, 3000.0, "9")
+    assert AS.site_lines(lines, header=True).count() == 1
+
+
+def test_free_energy_text(spark):
+    got = one(spark, A.parse_site_affinity(F.lit("ΔG = 7.5 kcal/mol")))
+    assert (got["kind"], got["value"], got["standardized"]) == ("dG", 7.5, 7.5)
+    assert one(spark, A.parse_site_affinity(F.lit("no affinity")))["kind"] is None
+
+
+def test_every_spelling_of_nested_affinities(spark):
+    payload = '[{"monomerID": 7, "affinities": [{"Affinity": "> 5", "AffinityUnit": "nM", "AffinityType": "Kd", "uniprot_primary_id": "P1", "ChainIDs": "A;B", "PMID": "3"},' \
+              ' {"value": 2, "Unit": "uM", "affinityType": "Ki", "targetName": "t"}]}, {"cid": "c", "affinities": []}]'
+    rows = AS.nested_affinities(spark.createDataFrame([("e", payload), ("f", None)], "entry string, payload string"), "entry", "payload").collect()
+    got = {r["kind"]: r for r in rows}
+    assert len(rows) == 2 and (got["Kd"]["value"], got["Kd"]["relation"], got["Kd"]["accession"], got["Kd"]["receptor_chains"], got["Kd"]["ligand_id"]) == (5.0, ">", "P1", ["A", "B"], "7")
+    assert (got["Ki"]["standardized"], got["Ki"]["target"], got["Ki"]["receptor_chains"]) == (2000.0, "t", None)
+
+
+def test_site_edges_and_features_stay_in_their_structure(spark):
+    refined = spark.createDataFrame([("s1", "x", 1.0, "a"), ("s1", "y", -1.0, "a"), ("s2", "x", 2.0, "a"), ("s2", "y", 2.0, "a")],
+                                    "structure string, site string, refined_charge double, motif string")
+    edges = spark.createDataFrame([("s1", "x", "y", 2.0), ("s2", "x", "y", 4.0)], "structure string, site_a string, site_b string, distance double")
+    got = P.enriched_edges(edges, refined, "structure", "site").collect()
+    assert {(r["structure"], r["coulombic"]) for r in got} == {("s1", -0.5), ("s2", 1.0)} and len(got) == 2
+    shells = spark.createDataFrame([("s1", "x", "shell_1", 3.0), ("s2", "x", "shell_1", 9.0)], "structure string, site string, shell string, n double")
+    wide = P.site_feature_pivot(shells, edges, "structure", "site", ["n"], ["shell_1"]).collect()
+    assert {(r["structure"], r["shell_1_n"], r["mean_distance"]) for r in wide} == {("s1", 3.0, 2.0), ("s2", 9.0, 4.0)}
