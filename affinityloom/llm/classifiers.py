@@ -19,6 +19,8 @@ KEPT_GRAMS = 1 << 15
 SMOOTHING = 1.0
 #: N-grams of texts that a task holds before it counts and hands them on (8 bytes each).
 CHUNK = 1 << 24
+#: Labelled documents of each label that the toxicity model is fitted on, at most; scores cover all rows.
+FIT_ROWS = 4000
 #: Places of the table that rules out most n-grams before the search among the kept ones.
 SIEVE = 1 << 20
 
@@ -137,8 +139,9 @@ class ToxicityModel:
         self.hashes, self.weights, self.intercept = hashes, weights, intercept
 
     def score(self, docs: DataFrame) -> DataFrame:
-        """``docs`` plus ``score``; null and empty texts get the score of a text without n-grams."""
+        """``docs`` plus ``score``; null and empty texts get the score of a text without n-grams. An input ``score`` is replaced."""
         sent = docs.sparkSession.sparkContext.broadcast((self.hashes, self.weights, self.intercept))
+        docs = docs.drop("score")
         columns = docs.columns
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,12 +161,13 @@ def _has_both(labelled: DataFrame) -> bool:
     return row["a"] is not None and row["a"] != row["b"]
 
 
-def fit_toxicity(labelled: DataFrame, reg: float = 1e-2) -> ToxicityModel:
+def fit_toxicity(labelled: DataFrame, reg: float = 1e-2, totals: tuple[int, int] | None = None) -> ToxicityModel:
     """Logistic regression over n-gram presence scaled by log-count ratios, from (text, label).
 
-    Every labelled row is used; Spark fits on all of them. Rows of label 1 weigh the root of the
-    labels' ratio, so that the rarer label isn't given up at a score of 0.5. Rows with a null label are left out.
-    With labels of one kind or none the model gives that rate to every text (0.5 for none).
+    Every row given is used; Spark fits on all of them. ``totals`` are the rows of label 0 and 1 that a sample stands
+    for: a label's rows weigh as many as they stand for. Rows of label 1 further weigh the root of the labels' ratio, so
+    that the rarer label isn't given up at a score of 0.5. Rows with a null label are left out. With labels of one kind
+    or none the model gives that rate to every text (0.5 for none).
     """
     labelled = stored(labelled.where(F.col("label").isNotNull()).select("text", F.col("label").cast("int").alias("label")), "labelled")
     if not _has_both(labelled):
@@ -188,8 +192,11 @@ def fit_toxicity(labelled: DataFrame, reg: float = 1e-2) -> ToxicityModel:
     to_vector = F.udf(lambda at, value: SparseVector(size, at, value), VectorUDT())
     sparse = stored(labelled.mapInArrow(vectors, "label int, at array<int>, value array<double>"), "features")
     train = sparse.select(F.col("label").cast("double").alias("label"), to_vector("at", "value").alias("features"))
-    share = train.agg(F.avg("label")).first()[0]
-    weighted = train.withColumn("weight", F.when(F.col("label") == 1, float(np.sqrt((1 - share) / share))).otherwise(1.0))
+    ones, zeros = (train.where(F.col("label") == k).count() for k in (1, 0))
+    all_zeros, all_ones = totals or (zeros, ones)
+    # The weights' mean is kept at that of unsampled rows, which the penalty is measured against.
+    weight = {1: all_ones / ones * np.sqrt(all_zeros / all_ones), 0: all_zeros / zeros}
+    weighted = train.withColumn("weight", F.when(F.col("label") == 1, float(weight[1])).otherwise(float(weight[0])))
     fitted = LogisticRegression(regParam=reg, standardization=False, maxIter=60, weightCol="weight").fit(weighted)
     return ToxicityModel(kept, ratios * fitted.coefficients.toArray(), float(fitted.intercept))
 
@@ -231,8 +238,9 @@ class QualityModel:
         self.weights, self.threshold = weights, threshold
 
     def score(self, docs: DataFrame) -> DataFrame:
-        """``docs`` plus ``raw`` (the Bradley-Terry score) and ``score``: logistic of raw less the threshold."""
+        """``docs`` plus ``raw`` (the Bradley-Terry score) and ``score``: logistic of raw less the threshold; inputs so named are replaced."""
         sent = docs.sparkSession.sparkContext.broadcast((self.weights, self.threshold))
+        docs = docs.drop("raw", "score")
         columns = docs.columns
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,11 +255,10 @@ class QualityModel:
         return docs.mapInArrow(run, f"{fields}, raw double, score double")
 
 
-def preference_pairs(labelled: DataFrame, per_side: int = PAIR_SIDE, per_doc: int = PAIRS_PER_DOC) -> DataFrame:
-    """(better, worse): feature arrays of up to ``per_side`` documents of each label, in pairs.
+def preference_pairs(labelled: DataFrame, per_doc: int = PAIRS_PER_DOC) -> DataFrame:
+    """(better, worse): feature arrays of a bounded sample's documents of each label, in pairs.
 
-    The sample is the rows with the least hash of id and text; each document of label 1 meets
-    ``per_doc`` documents of label 0, at shifted places of the sample.
+    Each document of label 1 meets ``per_doc`` documents of label 0, at shifted places in the order of the texts' hashes.
     """
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,28 +266,33 @@ def preference_pairs(labelled: DataFrame, per_side: int = PAIR_SIDE, per_doc: in
             rows = [quality_features((t or "").encode()).tolist() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"label": batch.column("label"), "h": batch.column("h"), "x": pa.array(rows, pa.list_(pa.float64()))})
 
-    keyed = labelled.select("text", "label", F.xxhash64("doc_id", "text").alias("h"))
-    sides = []
-    for label in (1, 0):
-        rows = keyed.where(F.col("label") == label).orderBy("h", "text").limit(per_side)
-        made = rows.mapInArrow(features, "label int, h bigint, x array<double>")
-        numbered = stored(made, "side").selectExpr("x", "row_number() over (order by h, x) - 1 as k")
-        sides.append(numbered)
+    made = labelled.select("text", "label", F.xxhash64("doc_id", "text").alias("h")).mapInArrow(features, "label int, h bigint, x array<double>")
+    made = stored(made, "side").selectExpr("label", "x", "row_number() over (partition by label order by h, x) - 1 as k")
+    sides = [made.where(F.col("label") == label).drop("label") for label in (1, 0)]
     n = min(s.count() for s in sides)
     good = sides[0].select(F.col("x").alias("better"), F.explode(F.sequence(F.lit(0), F.lit(per_doc - 1))).alias("s"), "k")
     good = good.withColumn("at", F.pmod(F.col("k") + F.col("s") * 7919, F.lit(max(n, 1))))
     return good.join(sides[1].select(F.col("x").alias("worse"), F.col("k").alias("at")), "at").select("better", "worse")
 
 
+def score_quantile(model: QualityModel, docs: DataFrame, known: DataFrame) -> float:
+    """The quantile of all labelled documents' scores at the share of label 0; equal scores at it get 0.5, so label 1."""
+    raw = model.score(docs.select("doc_id", "text")).select("doc_id", "raw").join(known, "doc_id")
+    share = known.agg(F.avg(1 - F.col("label"))).first()[0]
+    at = raw.agg(F.percentile_approx("raw", F.lit(float(share)), F.lit(10000))).first()[0]
+    return 0.0 if at is None else float(at)
+
+
 def fit_quality(labelled: DataFrame, reg: float = 1e-4) -> QualityModel:
-    """Bradley-Terry weights from pairs of (doc_id, text, label) rows, and the score quantile as threshold.
+    """Bradley-Terry weights from pairs of (doc_id, text, label) rows, with the rows' own score quantile as threshold.
 
-    The threshold is the quantile of all labelled rows' scores at the share of label 0. Rows with a
-    null label are left out; with labels of one kind or none every text gets 0.5.
+    ``score_quantile`` gives a threshold over more rows than were fitted on. Rows with a null label are left out. With
+    labels of one kind every text gets that label's side (score near 0 or 1), without labels 0.5.
     """
     labelled = stored(labelled.where(F.col("label").isNotNull()).select("doc_id", "text", F.col("label").cast("int").alias("label")), "labelled")
     if not _has_both(labelled):
-        return QualityModel(np.zeros(SHAPES + HASHED), 0.0)
+        only = labelled.agg(F.max("label")).first()[0]
+        return QualityModel(np.zeros(SHAPES + HASHED), 0.0 if only is None else (-8.0 if only else 8.0))
     pairs = preference_pairs(labelled)
     sign = F.when(F.xxhash64("better", "worse") % 2 == 0, 1.0).otherwise(-1.0)
     signed = stored(pairs.withColumn("sign", sign).select(
@@ -288,17 +300,30 @@ def fit_quality(labelled: DataFrame, reg: float = 1e-4) -> QualityModel:
         F.expr("transform(zip_with(better, worse, (a, b) -> a - b), d -> d * sign)").alias("d")), "pairs")
     train = signed.select("label", array_to_vector("d").alias("features"))
     fitted = LogisticRegression(regParam=reg, fitIntercept=False, standardization=True, maxIter=100).fit(train)
-    weights = fitted.coefficients.toArray()
-    share = labelled.agg(F.avg(1 - F.col("label"))).first()[0]
-    scored = QualityModel(weights, 0.0).score(labelled)
-    threshold = scored.agg(F.percentile_approx("raw", F.lit(float(share)), F.lit(10000))).first()[0]
-    return QualityModel(weights, float(threshold))
+    model = QualityModel(fitted.coefficients.toArray(), 0.0)
+    return QualityModel(model.weights, score_quantile(model, labelled, labelled.select("doc_id", "label")))
+
 
+def known_labels(labels: DataFrame, label: str, training) -> DataFrame:
+    """(doc_id, label) of the training rows; repeated or clashing labels of an id give its greatest."""
+    return labels.where(F.col(label).isNotNull() & training).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, training) -> DataFrame:
-    """(doc_id, text, label) of the training rows; repeated or clashing labels of an id give its greatest."""
-    known = labels.where(F.col(label).isNotNull() & training).groupBy("doc_id").agg(F.max(label).alias("label"))
-    return docs.select("doc_id", "text").join(known, "doc_id")
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, training, per_label: int) -> tuple[DataFrame, tuple[int, int]]:
+    """(doc_id, text, label) of at most ``per_label`` different texts of each label, and how many rows each label has.
+
+    The texts of least hash are taken. Only ids and hashes meet the labels; the texts of the chosen ids, a bounded number,
+    are fetched by a broadcast of those.
+    """
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("h")).join(known_labels(labels, label, training), "doc_id")
+    rows = stored(hashed.groupBy("label", "h").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")), "labelled_ids")
+    held = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.sum("n").alias("n")).collect()}
+    chosen = [rows.where(F.col("label") == k).orderBy("h").limit(per_label).select("doc_id", "h", "label") for k in (0, 1)]
+    picked = stored(chosen[0].unionByName(chosen[1]), "chosen")
+    found = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).join(F.broadcast(picked), ["doc_id", "h"])
+    # An id that occurs twice with one text is taken once.
+    texts = found.groupBy("doc_id", "label", "h").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
+    return stored(texts, "sample"), (held.get(0, 0), held.get(1, 0))
 
 
 def digest(scored: DataFrame, held_out) -> DataFrame:

@@ -59,8 +59,9 @@ def _op5(spark, sf_dir):
 
 
 def toxicity_model(spark, sf_dir):
-    rows = classifiers.labelled_rows(_docs(spark, sf_dir), _docs(spark, sf_dir, "labels"), "toxic", fold("doc_id", 5) != 0)
-    return classifiers.fit_toxicity(rows)
+    rows, totals = classifiers.labelled_sample(
+        _docs(spark, sf_dir), _docs(spark, sf_dir, "labels"), "toxic", fold("doc_id", 5) != 0, classifiers.FIT_ROWS)
+    return classifiers.fit_toxicity(rows, totals=totals)
 
 
 @_register("op3_toxicity")
@@ -71,8 +72,12 @@ def _op3(spark, sf_dir):
 
 @_register("op8_quality_ranking")
 def _op8(spark, sf_dir):
-    rows = classifiers.labelled_rows(_docs(spark, sf_dir), _docs(spark, sf_dir, "labels"), "quality", fold("doc_id", 3) != 1)
-    scored = classifiers.fit_quality(rows).score(_docs(spark, sf_dir).select("doc_id", "text"))
+    docs, labels, training = _docs(spark, sf_dir), _docs(spark, sf_dir, "labels"), fold("doc_id", 3) != 1
+    rows, _ = classifiers.labelled_sample(docs, labels, "quality", training, classifiers.PAIR_SIDE)
+    model = classifiers.fit_quality(rows)
+    if model.weights.any():
+        model.threshold = classifiers.score_quantile(model, docs, classifiers.known_labels(labels, "quality", training))
+    scored = model.score(docs.select("doc_id", "text"))
     return classifiers.digest(scored, fold("doc_id", 3) == 1)
 
 
