@@ -19,6 +19,8 @@ KEPT_GRAMS = 1 << 15
 SMOOTHING = 1.0
 #: N-grams of texts that a task holds before it counts and hands them on (8 bytes each).
 CHUNK = 1 << 24
+#: Partitions of the bounded samples: the fit makes some hundred passes over them.
+SAMPLE_PARTS = 8
 #: Labelled documents of each label that the toxicity model is fitted on, at most; scores cover all rows.
 FIT_ROWS = 4000
 #: Places of the table that rules out most n-grams before the search among the kept ones.
@@ -297,7 +299,7 @@ def fit_quality(labelled: DataFrame, reg: float = 1e-4) -> QualityModel:
     sign = F.when(F.xxhash64("better", "worse") % 2 == 0, 1.0).otherwise(-1.0)
     signed = stored(pairs.withColumn("sign", sign).select(
         ((F.col("sign") + 1) / 2).alias("label"),
-        F.expr("transform(zip_with(better, worse, (a, b) -> a - b), d -> d * sign)").alias("d")), "pairs")
+        F.expr("transform(zip_with(better, worse, (a, b) -> a - b), d -> d * sign)").alias("d")).coalesce(SAMPLE_PARTS), "pairs")
     train = signed.select("label", array_to_vector("d").alias("features"))
     fitted = LogisticRegression(regParam=reg, fitIntercept=False, standardization=True, maxIter=100).fit(train)
     model = QualityModel(fitted.coefficients.toArray(), 0.0)
@@ -323,7 +325,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, training, pe
     found = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).join(F.broadcast(picked), ["doc_id", "h"])
     # An id that occurs twice with one text is taken once.
     texts = found.groupBy("doc_id", "label", "h").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
-    return stored(texts, "sample"), (held.get(0, 0), held.get(1, 0))
+    return stored(texts.coalesce(SAMPLE_PARTS), "sample"), (held.get(0, 0), held.get(1, 0))
 
 
 def digest(scored: DataFrame, held_out) -> DataFrame:
