@@ -59,7 +59,7 @@ def subgraph(spark, sf_dir):
     return G.induced_subgraph(nodes, edges, chosen, "owner")
 
 
-@query("induced_subgraph_edges", "B15 B14", SUB_SQL + " SELECT source, target, edge_type FROM kept")
+@query("induced_subgraph_edges", "B15", SUB_SQL + " SELECT source, target, edge_type FROM kept")
 def induced_subgraph_edges(spark, sf_dir):
     return subgraph(spark, sf_dir)[1].select("source", "target", "edge_type")
 

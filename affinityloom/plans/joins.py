@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from affinityloom.operators import joins as J
 from affinityloom.plans import domain as D
-from affinityloom.plans.registry import SQL, query, table
+from affinityloom.plans.registry import query, table
 from affinityloom.plans.splits import HASH_SPLIT_SQL
 
 W = f"WITH {D.DOMAIN_SQL}"
@@ -15,13 +15,8 @@ W = f"WITH {D.DOMAIN_SQL}"
 @query("bulk_measurement_join", "C1",
        """SELECT l_orderkey, l_partkey, l_suppkey, l_extendedprice, c_name, n_name, s_name, p_brand
        FROM orders JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey
-       LEFT JOIN supplier ON s_suppkey = l_suppkey LEFT JOIN part ON p_partkey = l_partkey WHERE o_orderstatus = 'F'""")
+       LEFT JOIN supplier ON s_suppkey = l_suppkey LEFT JOIN part ON p_partkey = l_partkey""")
 def bulk_measurement_join(spark, sf_dir):
-    return order_lines(table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'"), spark, sf_dir)
-
-
-@query("bulk_measurement_join_all", "C1", SQL["bulk_measurement_join"].replace(" WHERE o_orderstatus = 'F'", ""))
-def bulk_measurement_join_all(spark, sf_dir):
     return order_lines(table(spark, sf_dir, "orders"), spark, sf_dir)
 
 
@@ -236,18 +231,13 @@ def identity_crosswalk(spark, sf_dir):
 
 
 @query("identifier_map", "C27",
-       """WITH m AS (SELECT CAST(l_partkey % 900 AS VARCHAR) AS source_id, (['uniprot', 'entrez', 'ensembl'])[CAST(l_suppkey % 3 AS INT) + 1] AS target_type, 'T' || (l_suppkey // 50) AS target_id FROM lineitem WHERE l_linenumber = 1),
+       """WITH m AS (SELECT CAST(l_partkey % 900 AS VARCHAR) AS source_id, (['uniprot', 'entrez', 'ensembl'])[CAST(l_suppkey % 3 AS INT) + 1] AS target_type, 'T' || (l_suppkey // 50) AS target_id FROM lineitem),
        per AS (SELECT source_id, target_type, count(DISTINCT target_id) AS n, min(target_id) AS best FROM m GROUP BY 1, 2),
        wide AS (SELECT source_id, max(best) FILTER (target_type = 'uniprot') AS uniprot, max(best) FILTER (target_type = 'entrez') AS entrez, max(best) FILTER (target_type = 'ensembl') AS ensembl, max(n) AS most, count(*) AS kinds FROM per GROUP BY 1)
        SELECT CAST(p_partkey AS VARCHAR) AS identifier, 'entrez' AS identifier_type, uniprot, entrez, ensembl,
          CASE WHEN kinds IS NULL THEN 'unmapped' WHEN most > 1 THEN 'ambiguous' WHEN kinds < 3 THEN 'partial' ELSE 'mapped' END AS status
        FROM part LEFT JOIN wide ON source_id = CAST(p_partkey AS VARCHAR)""")
 def identifier_map(spark, sf_dir):
-    return mapped_parts(table(spark, sf_dir, "lineitem").filter("l_linenumber = 1"), spark, sf_dir)
-
-
-@query("identifier_map_all", "C27", SQL["identifier_map"].replace(" WHERE l_linenumber = 1", ""))
-def identifier_map_all(spark, sf_dir):
     return mapped_parts(table(spark, sf_dir, "lineitem"), spark, sf_dir)
 
 

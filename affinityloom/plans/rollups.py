@@ -6,23 +6,17 @@ from pyspark.sql import functions as F
 
 from affinityloom.operators import rollups as A
 from affinityloom.plans import domain as D
-from affinityloom.plans.registry import SQL, query, table
+from affinityloom.plans.registry import query, table
 from affinityloom.plans.splits import ITEMS_SQL, split_items
 
 
 @query("distributions", "D6 D7 D29",
        """SELECT 'lang' AS dimension, lang AS value, count(*) AS n FROM documents GROUP BY 2 UNION ALL SELECT 'source', source, count(*) FROM documents GROUP BY 2
-       UNION ALL SELECT 'word', w, count(*) FROM (SELECT unnest(string_split(split_part(text, chr(10), 1), ' ')) AS w FROM documents) WHERE trim(w) <> '' GROUP BY 2""")
+       UNION ALL SELECT 'word', w, count(*) FROM (SELECT unnest(string_split(replace(text, chr(10), ' '), ' ')) AS w FROM documents) WHERE trim(w) <> '' GROUP BY 2""")
 def distributions(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return A.distribution(docs, {"lang": F.col("lang"), "source": F.col("source"),
-                                 "word": F.split(F.split("text", "\n")[0], " ")})
-
-
-@query("distributions_all", "D6 D7 D29", SQL["distributions"].replace("string_split(split_part(text, chr(10), 1), ' ')", "string_split(replace(text, chr(10), ' '), ' ')"))
-def distributions_all(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return A.distribution(docs, {"lang": F.col("lang"), "source": F.col("source"), "word": F.split("text", "[\n ]")})
+                                 "word": F.split("text", "[\n ]")})
 
 
 @query("missing_counts", "D6", "SELECT 'lang' AS field, count(*) FILTER (lang = 'xx') AS missing FROM documents UNION ALL SELECT 'blank_source', count(*) FILTER (source = 'src1') FROM documents")
@@ -193,7 +187,7 @@ def pathway_risk_summary(spark, sf_dir):
     return A.pathway_risk(pairs, paths, ["3", "5"])
 
 
-@query("dataset_diversity", "D27 D33",
+@query("dataset_diversity", "D27",
        f"""SELECT count(*) AS row_count, count(*) FILTER (split = 'train') AS train_count, count(DISTINCT source) AS family_diversity, count(DISTINCT lang) AS organism_diversity, count(DISTINCT hard_key) FILTER (hard_key <> '') AS group_diversity FROM ({ITEMS_SQL})""")
 def dataset_diversity(spark, sf_dir):
     items = split_items(spark, sf_dir)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from affinityloom.operators import similarity as J
-from affinityloom.plans.registry import SQL, query, table
+from affinityloom.plans.registry import query, table
 
 WORDS = r"[A-Za-zÀ-ÿ]+"
 
@@ -69,12 +69,12 @@ def leader_clusters(spark, sf_dir):
 
 CROSS_SQL = f"""qt AS (SELECT DISTINCT item_id AS q, unnest(regexp_extract_all(text, '{WORDS}')) AS t FROM benchmark), dt AS (SELECT DISTINCT doc_id AS d, unnest(regexp_extract_all(text, '{WORDS}')) AS t FROM documents),
 qn AS (SELECT q, count(*) AS n FROM qt GROUP BY 1), dn AS (SELECT d, count(*) AS n FROM dt GROUP BY 1),
-sim AS (SELECT q AS item_id, d AS doc_id, count(*) / (any_value(qn.n) + any_value(dn.n) - count(*))::DOUBLE AS s FROM qt JOIN dt USING (t) JOIN qn USING (q) JOIN dn USING (d) GROUP BY q, d HAVING count(*) / (any_value(qn.n) + any_value(dn.n) - count(*))::DOUBLE >= 0.2)"""
+sim AS (SELECT q AS item_id, d AS doc_id, count(*) / (any_value(qn.n) + any_value(dn.n) - count(*))::DOUBLE AS s FROM qt JOIN dt USING (t) JOIN qn USING (q) JOIN dn USING (d) GROUP BY q, d HAVING count(*) / (any_value(qn.n) + any_value(dn.n) - count(*))::DOUBLE > 0)"""
 
 
 def query_matches(spark, sf_dir):
     q = table(spark, sf_dir, "benchmark").select("item_id", J.pattern_tokens("text", WORDS).alias("tokens"))
-    return J.similarity_join(q, document_sets(spark, sf_dir), "item_id", "doc_id", 0.2)
+    return J.all_matches(q, document_sets(spark, sf_dir), "item_id", "doc_id")
 
 
 @query("query_similarity_join", "C12", f"WITH {CROSS_SQL} SELECT item_id, doc_id, round(s, 6) AS similarity FROM sim")
@@ -124,32 +124,3 @@ def rates_of(ranking, spark, sf_dir):
     from affinityloom.operators.models import hit_rates as rates
     truth = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("target"))
     return rates(ranking, truth, "item_id", "target")
-
-
-# The queries above keep their SQL's cut at 0.2; these take every match > 0, as the reference does.
-ALL_SQL = CROSS_SQL.replace(">= 0.2", "> 0")
-
-
-def every_match(spark, sf_dir):
-    q = table(spark, sf_dir, "benchmark").select("item_id", J.pattern_tokens("text", WORDS).alias("tokens"))
-    return J.all_matches(q, document_sets(spark, sf_dir), "item_id", "doc_id")
-
-
-@query("query_similarity_join_all", "C12", SQL["query_similarity_join"].replace(CROSS_SQL, ALL_SQL))
-def query_similarity_join_all(spark, sf_dir):
-    return every_match(spark, sf_dir).withColumn("similarity", F.round("similarity", 6))
-
-
-@query("target_ranking_all", "E13 G24", SQL["target_ranking"].replace(CROSS_SQL, ALL_SQL))
-def target_ranking_all(spark, sf_dir):
-    return ranking_of(every_match(spark, sf_dir), spark, sf_dir)
-
-
-@query("supporting_examples_all", "E13", SQL["supporting_examples"].replace(CROSS_SQL, ALL_SQL))
-def supporting_examples_all(spark, sf_dir):
-    return support_of(every_match(spark, sf_dir), spark, sf_dir)
-
-
-@query("hit_rates_all", "D31", SQL["hit_rates"].replace(CROSS_SQL, ALL_SQL))
-def hit_rates_all(spark, sf_dir):
-    return rates_of(target_ranking_all(spark, sf_dir), spark, sf_dir)

@@ -24,9 +24,10 @@ def test_every_match_above_zero(spark):
 
 
 def test_pairs_below_the_cut_are_kept(spark, sf_dir):
-    every = PS.every_match(spark, sf_dir)
+    every = PS.query_matches(spark, sf_dir)
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", J.pattern_tokens("text", PS.WORDS).alias("tokens"))
     assert every.where("similarity < 0.2").count() > 0
-    assert every.where("similarity >= 0.2").count() == PS.query_matches(spark, sf_dir).count()
+    assert every.where("similarity >= 0.2").count() == J.similarity_join(items, PS.document_sets(spark, sf_dir), "item_id", "doc_id", 0.2).count()
 
 
 def test_whole_tables_keep_every_row(spark, sf_dir):
@@ -39,11 +40,11 @@ def test_whole_tables_keep_every_row(spark, sf_dir):
 
     plans = entry.queries()
     lines = rows("lineitem").count()
-    assert plans["bulk_measurement_join_all"](spark, sf_dir).count() == lines
+    assert plans["bulk_measurement_join"](spark, sf_dir).count() == lines
     samples = plans["bulk_row_samples_all"](spark, sf_dir)
     assert samples.count() == lines and samples.where("accessions = 'U1'").count() == rows("lineitem").where("l_suppkey = 1").count() > 0
     assert plans["activity_samples_all"](spark, sf_dir).count() == rows("events").where("event_type <> 'error'").count()
-    words = plans["distributions_all"](spark, sf_dir).where("dimension = 'word'").agg(F.sum("n")).first()[0]
+    words = plans["distributions"](spark, sf_dir).where("dimension = 'word'").agg(F.sum("n")).first()[0]
     assert words == sum(len([w for w in r[0].replace("\n", " ").split(" ") if w.strip(" ")]) for r in rows("documents").select("text").collect())
 
 
