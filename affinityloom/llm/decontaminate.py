@@ -14,6 +14,8 @@ from affinityloom.llm.common import ALNUM, stored, words
 WINDOW = 13
 SHARD_WORDS = 1 << 20
 BLOCK_WORDS = 4 << 20
+#: Windows that one binary search moves at the same time: bounds a task's memory, changes no result.
+QUERIES_AT_ONCE = 1 << 16
 
 
 def suffix_array(ids: np.ndarray, stops: np.ndarray, depth: int) -> np.ndarray:
@@ -50,36 +52,53 @@ def _common(ids: np.ndarray, at: int, query: np.ndarray) -> int:
     return int(differ[0]) if len(differ) else len(part)
 
 
-def _bounds(ids: np.ndarray, suffixes: np.ndarray, query: np.ndarray) -> tuple[int, int]:
-    """The run of suffixes that begin with ``query``, by two binary searches."""
+def _bounds(ids: np.ndarray, suffixes: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of ``queries`` the run of suffixes that begin with it; all rows are searched at once.
+
+    ``ids`` ends with a row's length of 0s. A query holds no 0, so a suffix that ends early sorts before it.
+    """
+    rows, reach = np.arange(len(queries)), np.arange(queries.shape[1])
     found = []
     for upper in (False, True):
-        low, high = 0, len(suffixes)
-        while low < high:
-            mid = (low + high) // 2
-            part = ids[suffixes[mid]:suffixes[mid] + len(query)]
-            n = _common(ids, suffixes[mid], query)
-            if n == len(query):
-                less = upper
-            else:
-                less = n >= len(part) or part[n] < query[n]
-            low, high = (mid + 1, high) if less else (low, mid)
+        low, high = np.zeros(len(queries), np.int64), np.full(len(queries), len(suffixes), np.int64)
+        while (going := low < high).any():
+            mid = np.minimum((low + high) // 2, len(suffixes) - 1)
+            part = ids[suffixes[mid][:, None] + reach]
+            first = (part != queries).argmax(1)
+            mine, theirs = queries[rows, first], part[rows, first]
+            less = (theirs < mine) | (upper & (theirs == mine))
+            low, high = np.where(going & less, mid + 1, low), np.where(going & ~less, mid, high)
         found.append(low)
     return found[0], found[1]
 
 
-def search(ids: np.ndarray, suffixes: np.ndarray, item: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(start, end, length of the longest verbatim match there) for each occurrence of an item's windows.
+def search(ids: np.ndarray, suffixes: np.ndarray, flat: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(item, start, end, length of the longest verbatim match there) for each occurrence of the items' windows.
 
-    Every suffix of the item is searched; occurrences of its first 13 words (all words of a
-    shorter item) are extended word by word to the longest match.
+    ``flat`` holds all items' words, ``ends`` where each item ends. Every suffix of an item with a
+    whole window (13 words, or all of a shorter item) is searched unless one of the window's words is
+    missing from ``ids``; occurrences are extended word by word to the longest match.
     """
-    size = min(WINDOW, len(item))
-    for j in range(len(item) - size + 1):
-        low, high = _bounds(ids, suffixes, item[j:j + size])
-        for k in range(low, high):
-            at = int(suffixes[k])
-            yield at, at + size, size + _common(ids, at + size, item[j + size:])
+    begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    sizes = np.minimum(ends - begins, WINDOW)
+    counts = ends - begins - sizes + 1
+    item = np.repeat(np.arange(len(ends)), counts)
+    start = np.arange(len(item)) - np.repeat(np.cumsum(counts) - counts, counts) + begins[item]
+    size = sizes[item]
+    held = np.zeros(max(int(flat.max(initial=0)), int(ids.max(initial=0))) + 1, bool)
+    held[ids] = True
+    missing = np.concatenate([[0], np.cumsum(~held[flat])])
+    whole = (missing[start + size] == missing[start]) & (size > 0)
+    item, start, size = item[whole], start[whole], size[whole]
+    padded = np.concatenate([ids, np.zeros(WINDOW, ids.dtype)])
+    for n in np.unique(size):
+        of_size = np.flatnonzero(size == n)
+        for part in np.split(of_size, range(QUERIES_AT_ONCE, len(of_size), QUERIES_AT_ONCE)):
+            low, high = _bounds(padded, suffixes, flat[start[part][:, None] + np.arange(n)])
+            for k in np.flatnonzero(low < high):
+                i, after = int(item[part[k]]), int(start[part[k]] + n)
+                for at in suffixes[low[k]:high[k]].tolist():
+                    yield i, at, at + int(n), int(n) + _common(ids, at + int(n), flat[after:ends[i]])
 
 
 def _items(benchmark: DataFrame) -> Iterator[list[tuple[str, np.ndarray]]]:
@@ -100,11 +119,13 @@ def _items(benchmark: DataFrame) -> Iterator[list[tuple[str, np.ndarray]]]:
 def _hits(docs: DataFrame, items: list[tuple[str, np.ndarray]], payload: bool) -> DataFrame:
     """docs' id and n_words, the hit word ranges and items of one block of the query set."""
     vocabulary = np.unique(np.concatenate([h for _, h in items])) if items else np.zeros(0, np.uint64)
-    numbered = [(i, np.searchsorted(vocabulary, h) + 1) for i, h in items]
-    sent = docs.sparkSession.sparkContext.broadcast((vocabulary, numbered))
+    names = [i for i, _ in items]
+    flat = np.searchsorted(vocabulary, np.concatenate([h for _, h in items])) + 1 if items else np.zeros(0, np.int64)
+    item_ends = np.cumsum([len(h) for _, h in items], dtype=np.int64)
+    sent = docs.sparkSession.sparkContext.broadcast((vocabulary, names, flat, item_ends))
 
     def shard(texts: list[str | None]) -> Iterator[tuple]:
-        vocabulary, numbered = sent.value
+        vocabulary, names, flat, item_ends = sent.value
         hashes, bounds = words([(t or "").encode() for t in texts], ALNUM)
         n = len(hashes)
         # one 0 after each text, so that no suffix runs on into the next
@@ -120,12 +141,11 @@ def _hits(docs: DataFrame, items: list[tuple[str, np.ndarray]], payload: bool) -
         ranges: list[list] = [[] for _ in texts]
         found: list[set] = [set() for _ in texts]
         longest = [0] * len(texts)
-        for name, item in numbered:
-            for start, end, match in search(ids, suffixes, item):
-                d = int(np.searchsorted(begins, start, "right")) - 1
-                ranges[d].append((start - int(begins[d]), end - int(begins[d])))
-                found[d].add(name)
-                longest[d] = max(longest[d], match)
+        for item, start, end, match in search(ids, suffixes, flat, item_ends) if len(suffixes) else ():
+            d = int(np.searchsorted(begins, start, "right")) - 1
+            ranges[d].append((start - int(begins[d]), end - int(begins[d])))
+            found[d].add(names[item])
+            longest[d] = max(longest[d], match)
         for d in range(len(texts)):
             merged: list[list[int]] = []
             for a, b in sorted(ranges[d]):

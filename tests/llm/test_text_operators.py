@@ -115,3 +115,13 @@ def test_decontamination(spark, frame, request, sf_dir, which):
         pairs = [*pairs, (100, long), (101, "z " * 300 + long), (102, long + " " + long), (103, "one two " * 20)]
     got = decontaminate.decontamination_digest(frame(pairs), spark.createDataFrame(items, "item_id long, text string"))
     assert {k: v[:5] for k, v in by_id(got).items()} == brute.contamination(pairs, items)
+
+
+def test_decontamination_in_blocks(spark, frame, odd, monkeypatch):
+    from affinityloom.llm import decontaminate
+
+    items = spark.createDataFrame([(1, "one two"), (2, None), (4, odd[8][1]), (10, "One"), (11, "nowhere to be found")], "item_id long, text string")
+    whole = {k: v[:5] for k, v in by_id(decontaminate.decontamination_digest(frame(odd), items)).items()}
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 2)
+    monkeypatch.setattr(decontaminate, "QUERIES_AT_ONCE", 3)
+    assert {k: v[:5] for k, v in by_id(decontaminate.decontamination_digest(frame(odd), items)).items()} == whole
