@@ -20,7 +20,7 @@ def paths(spark, name):
     return f"{root}/rows", f"{root}/state"
 
 
-@query("stream_latest_upsert", "I3 I1 I5",
+@query("stream_latest_upsert", "I3",
        "SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
 def stream_latest_upsert(spark, sf_dir):
     target, state = paths(spark, "upsert")

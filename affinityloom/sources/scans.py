@@ -98,6 +98,16 @@ def pending_inputs(inputs: DataFrame, done: DataFrame, keys: Sequence[str]) -> D
     return inputs.join(done.select(*keys).distinct(), list(keys), "left_anti")
 
 
+def stale_inputs(inputs: DataFrame, outputs: DataFrame, keys: Sequence[str], modified: str, valid: str) -> DataFrame:
+    """Inputs to be built (again): those without a valid output at least as new as they are.
+
+    An input without a time, or whose outputs have none, is built. Rows with a null key are always built.
+    """
+    done = outputs.filter(F.col(valid)).groupBy(*keys).agg(F.max(modified).alias("_built"))
+    return inputs.join(done.withColumnsRenamed({k: f"_{k}" for k in keys}), [
+        *[F.col(k) == F.col(f"_{k}") for k in keys], F.col("_built") >= F.col(modified)], "left_anti")
+
+
 def union_sources(frames: dict[str, DataFrame]) -> DataFrame:
     """Source tables in priority order under one schema, with the source's position."""
     out = None
