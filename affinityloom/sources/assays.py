@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -132,9 +132,9 @@ def nested_affinities(df: DataFrame, entry: str, payload: str) -> DataFrame:
         parsed["log10"].alias("log10"))
 
 
-def bulk_samples(rows: DataFrame) -> DataFrame:
+def bulk_samples(rows: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """Joined bulk rows to samples: nM value, relation from the display text, mutation from the target
-    name, accession union, sample id."""
+    name, accession union, sample id; columns named in ``carry`` stay."""
     shown = first_text("affinity_display", F.col("affinity_nm").cast("string"))
     number = F.coalesce(A.numeric_text(shown), F.col("affinity_nm").cast("double"))
     found = F.sort_array(F.array_distinct(F.regexp_extract_all(F.coalesce("target_name", F.lit("")), F.lit(A.MUTATION_TOKEN), F.lit(0))))
@@ -146,7 +146,7 @@ def bulk_samples(rows: DataFrame) -> DataFrame:
         number.alias("value"), A.relation_prefix(shown).alias("relation"),
         F.when(number > 0, F.round(F.log10(number), 6)).alias("log10"),
         F.when(F.size(found) > 0, F.array_join(found, ",")).alias("mutation"),
-        F.when(F.size(found) > 0, "mutant").otherwise("wildtype").alias("state"), F.array_join(ids, ";").alias("accessions"))
+        F.when(F.size(found) > 0, "mutant").otherwise("wildtype").alias("state"), F.array_join(ids, ";").alias("accessions"), *carry)
 
 
 def activity_samples(rows: DataFrame) -> DataFrame:
@@ -165,11 +165,12 @@ def activity_samples(rows: DataFrame) -> DataFrame:
         F.when(unknown, F.concat(F.lit("protein_ligand|-|-|"), F.col("inchikey"), F.lit("|mutation_unknown:"), F.col("activity_id"))).alias("grouping_override"))
 
 
-TUPLE = r"\((?:[^()']|'(?:[^'\\]|\\.)*')*\)"
-FIELD = r"[(,]\s*('(?:[^'\\]|\\.)*'|[^,')]*)"
+# Possessive repeats: a match neither backtracks nor recurses, however long a quoted text is.
+TUPLE = r"\((?:[^()']++|'(?:[^'\\]++|\\.)*+')*+\)"
+FIELD = r"[(,]\s*('(?:[^'\\]++|\\.)*+'|[^,')]*)"
 
 
-def _unescaped(field: Column) -> Column:
+def unescaped(field: Column) -> Column:
     """Quoted text without quotes and escapes; bare NULL becomes null."""
     mark = "\u0001"
     inner = F.substr(field, F.lit(2), F.length(field) - 2)
@@ -186,7 +187,7 @@ def dump_rows(lines: DataFrame, name: str, ordinals: dict[str, int], value: str
     kept = lines.filter(F.col(value).startswith(opening))
     tuples = kept.select(F.explode(F.regexp_extract_all(value, F.lit(TUPLE), F.lit(0))).alias("_t"))
     fields = tuples.select(F.regexp_extract_all("_t", F.lit(FIELD), F.lit(1)).alias("_f"))
-    return fields.select(*[_unescaped(F.try_element_at("_f", F.lit(i + 1))).alias(c) for c, i in ordinals.items()])
+    return fields.select(*[unescaped(F.try_element_at("_f", F.lit(i + 1))).alias(c) for c, i in ordinals.items()])
 
 
 def int_tokens(c: Column | str) -> Column:
