@@ -55,11 +55,14 @@ def csv_sink_and_scan(spark, sf_dir):
        """SELECT 'P' || event_id AS entry_id, 'A' || user_id || 'V' AS mutation, round(1.987e-3 * 298.15 * ln(value / k), 6) AS ddg FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events)
        WHERE event_id % 5 > 0 AND event_id % 7 > 0 AND value > 0 AND k > 0 UNION ALL SELECT 'P' || event_id, 'A' || user_id || 'V', NULL FROM events WHERE event_id % 5 > 0 AND event_id % 7 > 0 AND NOT (value > 0 AND CAST(json_extract_string(props, '$.k') AS DOUBLE) > 0)""")
 def mutation_table_rows(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select(
+    return AS.mutation_rows(mutation_table(spark, sf_dir)).select("entry_id", "mutation", "ddg")
+
+
+def mutation_table(spark, sf_dir):
+    return table(spark, sf_dir, "events").select(
         F.when(F.col("event_id") % 5 == 0, "").otherwise(F.concat(F.lit("p"), s("event_id"), F.lit("_A_B"))).alias("#Pdb"),
         F.when(F.col("event_id") % 7 == 0, " ").otherwise(F.concat(F.lit("A"), s("user_id"), F.lit("V"))).alias("Mutation(s)_cleaned"),
         s("value").alias("affinity_mut (M)"), F.concat(F.lit(">"), F.get_json_object("props", "$.k")).alias("affinity_wt (M)"), F.lit("298.15").alias("Temperature"))
-    return AS.mutation_rows(rows).select("entry_id", "mutation", "ddg")
 
 
 @query("affinity_index_lines", "A6 G4",
@@ -67,13 +70,17 @@ def mutation_table_rows(spark, sf_dir):
          {sql_pick(['=', '<', '>='], 'o_custkey')} AS relation, (o_custkey % 900 + 0.5)::DOUBLE AS value, {sql_pick(['nM', 'uM', 'pM'], 'o_custkey')} AS unit,
          round((o_custkey % 900 + 0.5)::DOUBLE * {sql_pick(['1', '1000', '0.001'], 'o_custkey')}::DOUBLE, 6) AS standardized, 'ref ' || o_orderkey AS reference FROM orders WHERE o_orderkey % 11 > 0 AND o_orderkey % 13 > 0""")
 def affinity_index_lines(spark, sf_dir):
+    return AS.index_lines(index_text(spark, sf_dir)).select(
+        "entry_id", "resolution", "release_year", "kind", "relation", "value", "unit", "standardized", "reference")
+
+
+def index_text(spark, sf_dir):
     value = F.concat(pick(["Kd", "Ki", "IC50"], F.col("o_orderkey")), pick(["=", "<", ">="], F.col("o_custkey")),
                      (F.col("o_custkey") % 900 + 0.5).cast("string"), pick(["nM", "uM", "pM"], F.col("o_custkey")))
     line = F.concat(F.when(F.col("o_orderkey") % 11 == 0, "# ").otherwise(""), F.lit("e"), s("o_orderkey"), F.lit("  "),
                     F.format_string("%.2f", F.col("o_totalprice") / 100000.0), F.lit(" "), (1990 + F.col("o_orderkey") % 30).cast("string"), F.lit(" 7.3 "),
                     F.when(F.col("o_orderkey") % 13 > 0, value).otherwise("none"), F.lit(" // ref "), s("o_orderkey"))
-    return AS.index_lines(table(spark, sf_dir, "orders").select(line.alias("value"))).select(
-        "entry_id", "resolution", "release_year", "kind", "relation", "value", "unit", "standardized", "reference")
+    return table(spark, sf_dir, "orders").select(line.alias("value"))
 
 
 @query("binding_site_rows", "A7 G4 G5",
@@ -82,6 +89,13 @@ def affinity_index_lines(spark, sf_dir):
          'p' || l_suppkey AS pubmed_id, CASE WHEN k <> 'none ' THEN regexp_extract(k, '[A-Za-z0-9]+') END AS kind, CASE WHEN k <> 'none ' THEN l_quantity END AS value, CASE WHEN k <> 'none ' AND u <> '' THEN trim(u) END AS unit,
          CASE WHEN k <> 'none ' AND (u = ' nM' OR (u = ' kcal/mol' AND k = 'dG ')) THEN l_quantity END AS standardized FROM t""")
 def binding_site_rows(spark, sf_dir):
+    lines = site_text(spark, sf_dir)
+    return AS.site_lines(lines, header=AS.has_site_header(lines)).select(
+        "entry_id", "chain_id", "resolution", "ligand_id", "ligand_chain", F.size("residues").alias("n_residues"),
+        F.size("catalytic_residues").alias("n_catalytic"), "ec_number", "pubmed_id", "kind", "value", "unit", "standardized")
+
+
+def site_text(spark, sf_dir):
     affinity = F.concat(pick(["Kd=", "EC50: ", "dG ", "none "], F.col("l_linenumber")), s("l_quantity"), pick([" nM", " kcal/mol", ""], F.col("l_suppkey")))
     given = F.col("l_partkey") % 2 == 0
     line = F.concat_ws(
@@ -89,21 +103,21 @@ def binding_site_rows(spark, sf_dir):
         F.concat(F.lit("TYR"), s("l_linenumber"), F.lit(" ASP34")), F.lit("B"), F.concat(F.lit("L"), s("l_partkey")), F.lit("1"),
         F.when(given, affinity).otherwise(""), F.when(given, "Kd=1 M").otherwise(affinity), F.lit("HIS57"), F.concat(F.lit("3.4.21."), s("l_linenumber")), F.lit(""),
         F.concat(F.lit("p"), s("l_suppkey")))
-    lines = table(spark, sf_dir, "lineitem").select(line.alias("value"))
-    return AS.site_lines(lines, header=AS.has_site_header(lines)).select(
-        "entry_id", "chain_id", "resolution", "ligand_id", "ligand_chain", F.size("residues").alias("n_residues"),
-        F.size("catalytic_residues").alias("n_catalytic"), "ec_number", "pubmed_id", "kind", "value", "unit", "standardized")
+    return table(spark, sf_dir, "lineitem").select(line.alias("value"))
 
 
 @query("nested_affinity_rows", "A8",
        f"""SELECT 'E' || event_id AS entry_id, 'M' || event_id AS ligand_id, 'Kd' AS kind, value, '>' AS relation, round(value * 1000, 6) AS standardized FROM events
        UNION ALL SELECT 'E' || event_id, 'M' || event_id, 'Ki', CAST(json_extract_string(props, '$.k') AS DOUBLE), NULL, CAST(json_extract_string(props, '$.k') AS DOUBLE) FROM events""")
 def nested_affinity_rows(spark, sf_dir):
+    return AS.nested_affinities(nested_text(spark, sf_dir), "entry_id", "payload").select("entry_id", "ligand_id", "kind", "value", "relation", "standardized")
+
+
+def nested_text(spark, sf_dir):
     aff = F.array(F.struct(F.concat(F.lit("> "), s("value")).alias("affinity"), F.lit("uM").alias("affinityUnit"), F.lit("Kd").alias("affinityType")),
                   F.struct(F.get_json_object("props", "$.k").alias("affinity"), F.lit("nM").alias("affinityUnit"), F.lit("Ki").alias("affinityType")))
     mono = F.to_json(F.array(F.struct(F.concat(F.lit("M"), s("event_id")).alias("monomerID"), F.lit("CCO").alias("smiles"), aff.alias("affinities"))))
-    rows = table(spark, sf_dir, "events").select(F.concat(F.lit("E"), s("event_id")).alias("entry_id"), mono.alias("payload"))
-    return AS.nested_affinities(rows, "entry_id", "payload").select("entry_id", "ligand_id", "kind", "value", "relation", "standardized")
+    return table(spark, sf_dir, "events").select(F.concat(F.lit("E"), s("event_id")).alias("entry_id"), mono.alias("payload"))
 
 
 @query("sql_dump_rows", "A9 U5",
@@ -134,12 +148,15 @@ def bulk_row_samples_all(spark, sf_dir):
 
 
 def line_samples(lines):
+    return AS.bulk_samples(bulk_lines(lines)).select("sample_id", "value", "relation", "log10", "mutation", "state", "accessions")
+
+
+def bulk_lines(lines):
     target = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("kinase [A"), s("l_suppkey"), F.lit("V]"))).otherwise("kinase")
-    rows = lines.select(
+    return lines.select(
         F.concat(F.lit("E"), s("l_orderkey")).alias("entry_id"), F.col("l_suppkey").alias("set_id"), F.col("l_partkey").alias("monomer_id"),
         F.col("l_returnflag").alias("kind"), F.concat(F.lit("<"), s("l_quantity")).alias("affinity_display"), F.col("l_quantity").alias("affinity_nm"),
         target.alias("target_name"), F.lit("U1; null").alias("accession_1"), F.concat(F.lit("U"), s("l_suppkey"), F.lit(",U1")).alias("accession_2"))
-    return AS.bulk_samples(rows).select("sample_id", "value", "relation", "log10", "mutation", "state", "accessions")
 
 
 @query("activity_samples", "A11",
@@ -157,13 +174,16 @@ def activity_samples_all(spark, sf_dir):
 
 
 def event_samples(events):
+    return AS.activity_samples(activity_rows(events)).select("sample_id", "kind", "log10", "mutation", "state", "grouping_override")
+
+
+def activity_rows(events):
     n = F.col("event_id")
-    rows = events.select(
+    return events.select(
         F.concat(F.lit("A"), s("event_id")).alias("activity_id"), F.lit("U1").alias("accession"), F.concat(F.lit("IK"), s("user_id")).alias("inchikey"),
         F.when(F.col("event_type") == "view", "ΔG").when(F.col("event_type") == "error", "Potency").otherwise("Kd").alias("standard_type"),
         s("value").alias("standard_value"), F.when(n % 2 == 0, "uM").otherwise("%").alias("standard_units"), F.lit("7.5").alias("pchembl_value"),
         pick(["K3R and A12V and K3R", "wild-type enzyme", "enzyme"], n).alias("assay_description"), F.lit("").alias("activity_comment"), F.lit("kinase").alias("target_name"))
-    return AS.activity_samples(rows).select("sample_id", "kind", "log10", "mutation", "state", "grouping_override")
 
 
 def raw_entries(spark, sf_dir):
