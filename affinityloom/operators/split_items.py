@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from affinityloom.functions.keys import parse_pair_key
@@ -13,31 +13,31 @@ KEYS = ["receptor_identity", "representation_key", "hard_group_key", "scaffold_k
         "fold_group_key", "mutation_group_key", "source_group_key", "release_date"]
 
 
-def _last(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """Last non-blank value of a column per key."""
-    return first_rows(rows.filter(text(column) != "").select(*keys, column, "ord"), keys, [F.col("ord").desc()]).drop("ord")
+def _lasting(value: Column, *order: Column | str) -> Column:
+    """``value`` of the last row in ``order``: an aggregate."""
+    return F.max(F.struct(*order, value.alias("v")))["v"]
 
 
-def receptors(pairs: DataFrame, chains: DataFrame) -> DataFrame:
-    """Sequence and accessions of each pair's receptor chains, and its identity: accessions, else sequence, else entry and chains.
+def _chain_facts(chains: DataFrame) -> DataFrame:
+    """Per upper-case entry: the last non-blank sequence and accession of each (entry, chain), as a map."""
+    known = chains.select("entry_id", "chain_id", "ord", *[F.when(text(c) != "", F.col(c)).alias(c) for c in ("sequence", "accession")])
+    known = known.where("entry_id IS NOT NULL AND chain_id IS NOT NULL AND (sequence IS NOT NULL OR accession IS NOT NULL)")
+    last = known.groupBy("entry_id", "chain_id").agg(*[
+        _lasting(F.col(c), F.col(c).isNotNull().alias("known"), "ord").alias(c) for c in ("sequence", "accession")])
+    named = F.struct(F.struct("entry_id", "chain_id").alias("k"), F.struct("sequence", "accession").alias("v"))
+    return last.groupBy(F.upper("entry_id").alias("_upper")).agg(F.map_from_entries(F.collect_list(named)).alias("_chains"))
 
-    Lists hold at most the chains that the pair's own key names.
-    """
-    key = ["pair_key", "_entry"]
-    named = chains.select(F.col("entry_id").alias("_entry"), "chain_id", "ord", "sequence", "accession")
-    wanted = pairs.select(*key, F.explode("_p.receptor").alias("chain_id"))
-    for column in ("sequence", "accession"):
-        wanted = wanted.join(_last(named, ["_entry", "chain_id"], column), ["_entry", "chain_id"], "left")
-    found = wanted.groupBy(*key).agg(
-        blank_to_null(F.array_join(F.sort_array(F.collect_list("sequence")), "|")).alias("receptor_sequence"),
-        F.array_join(F.sort_array(F.collect_set("accession")), ",").alias("_acc"))
-    own = F.concat(F.coalesce("_entry", F.lit("")), F.lit(":"), F.coalesce(blank_to_null(F.array_join("_p.receptor", ",")), F.lit("-")))
-    return pairs.join(found, key, "left").withColumn(
-        "receptor_identity", F.coalesce(blank_to_null("_acc"), F.col("receptor_sequence"), own)).drop("_acc")
-
-
-def described(pairs: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Families, pathway and fold of each pair: from the first metadata row of the pair, else of its entry."""
+
+def _dates(entries: DataFrame) -> DataFrame:
+    """Per upper-case entry: the last non-blank release day of each entry, as a map."""
+    last = entries.where((text("release_date") != "") & F.col("entry_id").isNotNull()).groupBy("entry_id").agg(
+        _lasting(F.left("release_date", F.lit(10)), "ord").alias("day"))
+    return last.groupBy(F.upper("entry_id").alias("_upper")).agg(
+        F.map_from_entries(F.collect_list(F.struct("entry_id", "day"))).alias("_days"))
+
+
+def _metadata_facts(metadata: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Families, pathway and fold of the first metadata row per pair (``_own``) and per upper-case entry (``_shared``)."""
     facts = F.struct(
         F.array_join(F.when(F.size(distinct_parts("interpro_ids")) > 0, distinct_parts("interpro_ids")).otherwise(distinct_parts("pfam_ids")), ",").alias("family"),
         F.try_element_at(distinct_parts("pathway_ids"), F.lit(1)).alias("pathway"),
@@ -45,8 +45,24 @@ def described(pairs: DataFrame, metadata: DataFrame) -> DataFrame:
     rows = metadata.select(F.trim("pair_key").alias("pair_key"), F.upper(F.trim("entry_id")).alias("_upper"), "ord", facts.alias("facts"))
     by_pair = first_rows(rows.filter(text("pair_key") != ""), ["pair_key"], ["ord"]).select("pair_key", F.col("facts").alias("_own"))
     by_entry = first_rows(rows.filter(text("_upper") != ""), ["_upper"], ["ord"]).select("_upper", F.col("facts").alias("_shared"))
-    return pairs.withColumn("_upper", F.upper("_entry")).join(by_pair, "pair_key", "left").join(by_entry, "_upper", "left").withColumn(
-        "_m", F.coalesce("_own", "_shared")).drop("_upper", "_own", "_shared")
+    return by_pair, by_entry
+
+
+def _examples(examples: DataFrame) -> DataFrame:
+    """Per pair: its examples with kind, and the ligand and label source that the last row of each example id names.
+
+    An item without an example is named ``pair|kind``; an example of that very id lends it its facts. Such ids are listed
+    under the pairs they can name (``lends``), as a known key has four or five parts. A list holds one pair's examples.
+    """
+    known = examples.filter((text("pair_key") != "") & (text("example_id") != ""))
+    facts = F.struct(F.col("ord"), first_text("inchikey", "smiles", "ligand_id").alias("ligand"), first_text("label_source", "experiment_source").alias("label"))
+    rows = known.select("pair_key", F.coalesce("kind", F.lit("")).alias("kind"), "example_id", F.max(facts).over(Window.partitionBy("example_id")).alias("f"))
+    listed = rows.select("pair_key", F.struct(F.lit(False).alias("lends"), "kind", "example_id", "f.ligand", "f.label").alias("e"))
+    lent = rows.where(F.col("example_id").contains("|")).select("example_id", "f").distinct().select(
+        F.explode(F.array(*[F.substring_index("example_id", "|", n) for n in (4, 5)])).alias("pair_key"), "example_id", "f")
+    lent = lent.where(F.length("example_id") > F.length("pair_key")).select("pair_key", F.struct(
+        F.lit(True).alias("lends"), F.expr("substring(example_id, length(pair_key) + 2)").alias("kind"), "example_id", "f.ligand", "f.label").alias("e"))
+    return listed.unionByName(lent).groupBy("pair_key").agg(F.collect_list("e").alias("_examples"))
 
 
 def joined_key(task: Column, *parts: Column) -> Column:
@@ -61,26 +77,38 @@ def pair_split_items(assays: DataFrame, chains: DataFrame, entries: DataFrame, e
     sequence, accession; ``entries`` entry_id, ord, release_date; ``examples`` example_id, pair_key, kind, ord, inchikey,
     smiles, ligand_id, label_source, experiment_source; ``metadata`` pair_key, entry_id, ord, interpro_ids, pfam_ids,
     pathway_ids, structural_fold, oligomeric_state. Others are ignored. Assays whose key is blank or of no known shape
-    give no item. Pair facts are found once per distinct pair, then joined to the rows by its key.
+    give no item. The rows are moved twice, while narrow: by pair key to the facts of the pair, then by entry to those of
+    the entry; the receptor's chains are looked up in the entry's own map, and the long keys are built after the last join.
     """
-    rows = assays.select(
-        "pair_key", F.coalesce("kind", F.lit("")).alias("_kind"), "entry_id", "source", "selected_source", parse_pair_key("pair_key").alias("_p")).filter(
-        (text("pair_key") != "") & F.col("_p").isNotNull())
-    rows = rows.withColumn("_entry", F.coalesce("_p.entry", "entry_id", F.lit("")))
-    facts = described(receptors(rows.select("pair_key", "_entry", "_p").distinct(), chains), metadata)
-    dates = _last(entries, ["entry_id"], "release_date").select(F.col("entry_id").alias("_entry"), F.left("release_date", F.lit(10)).alias("release_date"))
-    known = examples.filter((text("pair_key") != "") & (text("example_id") != ""))
-    listed = known.select("pair_key", F.coalesce("kind", F.lit("")).alias("_kind"), "example_id")
-    detail = first_rows(known.select(
-        F.col("example_id").alias("item_id"), "ord", "inchikey", "smiles", "ligand_id", "label_source", "experiment_source"), ["item_id"], [F.col("ord").desc()])
+    by_pair, by_entry = _metadata_facts(metadata)
+    parsed = parse_pair_key("pair_key")
+    rows = assays.where((text("pair_key") != "") & parsed.isNotNull()).select(
+        "pair_key", F.coalesce("kind", F.lit("")).alias("_kind"), F.coalesce(parsed["entry"], "entry_id", F.lit("")).alias("_entry"),
+        first_text("selected_source", "source").alias("_source"))
     assay_kind = F.coalesce(F.nullif("_kind", F.lit("")), F.lit("assay_unknown"))
-    wide = (rows.drop("_p").join(facts, ["pair_key", "_entry"]).join(dates, "_entry", "left").join(listed, ["pair_key", "_kind"], "left")
-            .withColumn("item_id", F.coalesce("example_id", F.concat_ws("|", "pair_key", assay_kind))).join(detail, "item_id", "left"))
+    of_kind = F.filter("_examples", lambda e: ~e["lends"] & (e["kind"] == F.col("_kind")))
+    lent = F.try_element_at(F.filter("_examples", lambda e: e["lends"] & (e["kind"] == assay_kind)), F.lit(1))
+    bare = F.array(F.struct(F.concat_ws("|", "pair_key", assay_kind).alias("item_id"), lent["ligand"].alias("ligand"), lent["label"].alias("label")))
+    mine = F.when(F.size(of_kind) > 0, F.transform(of_kind, lambda e: F.struct(
+        e["example_id"].alias("item_id"), e["ligand"].alias("ligand"), e["label"].alias("label")))).otherwise(bare)
+    named = rows.join(by_pair, "pair_key", "left").join(_examples(examples), "pair_key", "left").select(
+        "pair_key", "_kind", "_entry", "_own", "_source", F.inline(mine)).select(
+        "pair_key", "_kind", "_entry", "_own", "item_id", "ligand", F.coalesce("label", "_source").alias("_source"))
+    wide = named.withColumn("_upper", F.upper("_entry"))
+    for facts in (_chain_facts(chains), _dates(entries), by_entry):
+        wide = wide.join(facts, "_upper", "left")
+    found = F.transform(F.col("_p.receptor"), lambda c: F.try_element_at("_chains", F.struct(F.col("_entry").alias("entry_id"), c.alias("chain_id"))))
+    listed = lambda name: F.array_compact(F.transform("_found", lambda x: x[name]))
+    own = F.concat("_entry", F.lit(":"), F.coalesce(blank_to_null(F.array_join("_p.receptor", ",")), F.lit("-")))
+    wide = wide.withColumn("_p", parsed).withColumn("_found", found).withColumn(
+        "receptor_sequence", blank_to_null(F.array_join(F.sort_array(listed("sequence")), "|"))).withColumn(
+        "receptor_identity", F.coalesce(blank_to_null(F.array_join(F.sort_array(F.array_distinct(listed("accession"))), ",")), F.col("receptor_sequence"), own)).withColumn(
+        "_m", F.coalesce("_own", "_shared")).withColumn("release_date", F.try_element_at("_days", F.col("_entry")))
     task, partner = F.col("_p.task"), F.array_join("_p.partner", ",")
     mutation = F.lower(F.coalesce(F.col("_p.mutation"), F.lit("wt_or_unspecified")))
     state = F.when(mutation.isin("wt", "wildtype", "wt_or_unspecified"), "wildtype").when(mutation.startswith("mutation_unknown"), "unknown").otherwise("mutant")
-    ligand = F.coalesce(first_text("inchikey", "smiles", "ligand_id", "_p.ligand", partner), F.lit("-"))
-    source = F.coalesce(first_text("label_source", "experiment_source", "selected_source", "source"), F.lit("source_unknown"))
+    ligand = F.coalesce(first_text("ligand", "_p.ligand", partner), F.lit("-"))
+    source = F.coalesce("_source", F.lit("source_unknown"))
     family, identity = F.coalesce(F.col("_m.family"), F.lit("")), F.col("receptor_identity")
     family_or_receptor = F.when(family != "", family).otherwise(identity)
     return wide.select(

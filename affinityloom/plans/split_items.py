@@ -37,11 +37,12 @@ ITEMS_SQL = f"""WITH {D.DOMAIN_SQL},
 
 def items(spark, sf_dir):
     none = F.lit(None).cast("string")
-    o, base = table(spark, sf_dir, "orders"), D.base(spark, sf_dir)
+    o = table(spark, sf_dir, "orders")
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     chains = D.chains(spark, sf_dir).withColumn("sequence", F.when(F.col("organism") != "O0", F.concat(F.lit("SEQ"), F.col("organism"))).otherwise(""))
     entries = o.select(D.numbered("E", key).alias("entry_id"), key.alias("ord"), F.when(key % 9 > 0, F.date_format("o_orderdate", "yyyy-MM-dd HH:mm")).otherwise("").alias("release_date"))
-    numbered = D.assays(spark, sf_dir).join(base.select("entry_id", "ord", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct(), ["entry_id", "ord"])
+    # An assay's order and entry hold the numbers of its line.
+    numbered = D.assays(spark, sf_dir).where("entry_id IS NOT NULL").select("*", F.substring("entry_id", 2, 20).alias("l_orderkey"), "ord.l_linenumber", "ord.l_partkey", "ord.l_suppkey")
     per_entry = o.select(
         F.lit("").alias("pair_key"), D.numbered("e", key).alias("entry_id"), key.alias("ord"),
         F.when(key % 3 == 0, F.concat(F.lit("IPR"), (cust % 20).cast("string"), F.lit("; IPR1,IPR1"))).alias("interpro_ids"),

@@ -49,3 +49,27 @@ def test_fallbacks(spark):
 def test_repeated_rows_stay_and_empty_tables_give_none(spark):
     assert len(build(spark, [(BARE, "Kd", "9", "S", "S")] * 3)) == 3
     assert build(spark, []) == []
+
+
+def test_example_named_like_an_item_lends_its_facts(spark):
+    rows = build(
+        spark, [(LIGAND, "Kd", "1ABC", "S", None), (BARE, None, "3QQQ", "S", None), (BARE, "a|b", "3QQQ", "S", None)],
+        examples=[(LIGAND + "|Kd", PROTEIN, "Ki", 2, "KEY", "", "", "Lab", ""), (BARE + "|assay_unknown", PROTEIN, "Ki", 1, "", "CC", "", "", ""), (BARE + "|a|b", PROTEIN, "Ki", 1, "", "NN", "", "", "")])
+    found = {r["item_id"]: (r["scaffold_key"], r["source_group_key"]) for r in rows}
+    assert found == {LIGAND + "|Kd": ("protein_ligand|KEY", "protein_ligand|Lab"), BARE + "|assay_unknown": ("protein_ligand|CC", "protein_ligand|S"),
+                     BARE + "|a|b": ("protein_ligand|NN", "protein_ligand|S")}
+
+
+def test_entries_that_differ_in_case_keep_their_own_chains_and_days(spark):
+    rows = build(spark, [("protein_ligand|1ABC|A,A|X|wt", "Kd", None, "S", None), ("protein_ligand|1abc|A|X|wt", "Kd", None, "S", None)],
+                 [("1ABC", "A", 1, "MM", "P1"), ("1abc", "A", 1, "AA", "")], [("1abc", 1, "2002-02-02"), ("1ABC", 1, "2001-01-01")], metadata=[("", "1Abc", 1, "IPR7", "", "", "", "")])
+    assert [(r["receptor_sequence"], r["receptor_identity"], r["release_date"], r["domain_group_key"]) for r in rows] == [
+        ("MM|MM", "P1", "2001-01-01", "protein_ligand|IPR7"), ("AA", "AA", "2002-02-02", "protein_ligand|IPR7")]
+
+
+def test_rows_are_moved_twice(spark, sf_dir):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["pair_split_items"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") <= 12
+    assert "receptor_identity" not in "".join(line for line in plan.splitlines() if "Exchange hashpartitioning(" in line)
