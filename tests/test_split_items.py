@@ -73,3 +73,10 @@ def test_rows_are_moved_twice(spark, sf_dir):
     plan = entry.queries()["pair_split_items"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(") <= 12
     assert "receptor_identity" not in "".join(line for line in plan.splitlines() if "Exchange hashpartitioning(" in line)
+
+
+def test_breakdown_rests_on_the_same_moves(spark, sf_dir):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["split_key_breakdown"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") <= 14
