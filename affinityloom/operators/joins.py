@@ -78,25 +78,53 @@ def chain_sets(pairs: DataFrame, chains: DataFrame, entry: str, receptor: str, c
         *[F.array_join(F.sort_array(F.collect_set(blank_to_null(c))), "; ").alias(c) for c in columns])
 
 
+def _entry_lists(chains: DataFrame, objects: DataFrame, interfaces: DataFrame) -> tuple[DataFrame, ...]:
+    """Per entry: its distinct chains, objects and counted interface signatures, each as a list.
+
+    Lists hold what differs within one entry; partial aggregates merge repeats before they move.
+    """
+    ids = F.array_distinct(F.array_compact(F.array(*[blank_to_null(k) for k in ("component_id", "component_name", "inchikey")])))
+    owned = chains.groupBy("entry_id").agg(F.collect_set(F.struct("chain_id", "accession", "organism")).alias("_chains"))
+    held = objects.groupBy("entry_id").agg(F.collect_set(F.struct(ids.alias("ids"), "component_type")).alias("_objects"))
+    faces = interfaces.groupBy("entry_id", F.sort_array("chains").alias("chains"), text("partner").alias("partner"), "interface_type").agg(
+        F.count(F.lit(1)).alias("n")).groupBy("entry_id").agg(F.collect_list(F.struct("chains", "partner", "interface_type", "n")).alias("_faces"))
+    return owned, held, faces
+
+
+def _names(listed: Column, name: str) -> Column:
+    return F.array_join(F.sort_array(F.array_distinct(F.array_compact(F.transform(listed, lambda x: blank_to_null(x[name]))))), "; ")
+
+
 def pair_master(assays: DataFrame, entries: DataFrame, chains: DataFrame, objects: DataFrame, interfaces: DataFrame,
                 features: DataFrame, splits: DataFrame) -> DataFrame:
-    """One row per assay with entry fields, receptor sets, ligand and interface matches, split and counts."""
-    keyed = assays.withColumn("receptor", F.filter(F.split(F.split("pair_key", r"\|")[2], ","), lambda x: ~x.isin("", "-"))
-                              ).withColumn("ligand_key", F.split("pair_key", r"\|")[3])
+    """One row per assay with entry fields, receptor sets, ligand and interface matches, split and counts.
+
+    The rows are moved twice: by pair key to split and feature count, then by entry to the lists of their entry, in which
+    each row looks up its receptor's chains, its ligand and its interfaces. A list of splits holds one pair's kinds.
+    """
+    assigned = [c for c in splits.columns if c not in ("pair_key", "kind")]
     counted = features.groupBy("pair_key").agg(F.count(F.lit(1)).alias("feature_count"))
-    return (
-        keyed.join(entries, "entry_id", "left")
-        .join(chain_sets(keyed, chains, "entry_id", "receptor", "chain_id", ["accession", "organism"]),
-              ["entry_id", "receptor"], "left")
-        .join(all_key_matches(keyed, objects, "entry_id", "ligand_key", ["component_id", "component_name", "inchikey"],
-                              ["component_type"]), ["entry_id", "ligand_key"], "left")
-        .join(interface_matches(keyed, interfaces, "entry_id", "receptor", "ligand_key", "chains", "partner",
-                                "interface_type"), ["entry_id", "receptor", "ligand_key"], "left")
-        .join(splits, ["pair_key", "kind"], "left")
-        .join(counted, "pair_key", "left")
-        .na.fill({"matching_interface_count": 0, "feature_count": 0, "matching_interface_types": "", "accession": "",
-                  "organism": "", "component_type": "", "split": ""})
-    )
+    listed = splits.groupBy("pair_key").agg(F.collect_list(F.struct("kind", F.struct(*assigned).alias("s"))).alias("_splits"))
+    mine = F.transform(F.filter("_splits", lambda x: x["kind"] == F.col("kind")), lambda x: x["s"])
+    rows = assays.join(counted, "pair_key", "left").join(listed, "pair_key", "left")
+    rows = rows.select(*[c for c in rows.columns if c != "_splits"], F.explode_outer(mine).alias("_s"))
+    rows = rows.select(*[c for c in rows.columns if c != "_s"], "_s.*")
+    wide = rows
+    for facts in (*_entry_lists(chains, objects, interfaces), entries):
+        wide = wide.join(facts, "entry_id", "left")
+    parts = F.split("pair_key", r"\|")
+    wide = wide.withColumn("receptor", F.filter(F.split(parts[2], ","), lambda x: ~x.isin("", "-"))).withColumn("ligand_key", parts[3])
+    receptor, ligand = F.col("receptor"), F.col("ligand_key")
+    own = F.filter("_chains", lambda c: F.array_contains(receptor, c["chain_id"]))
+    named = F.when(text("ligand_key") != "", F.filter("_objects", lambda o: F.array_contains(o["ids"], ligand)))
+    met = F.when(receptor.isNotNull() & ligand.isNotNull(), F.filter("_faces", lambda f: ((F.size(receptor) == 0) | F.arrays_overlap(receptor, f["chains"]) | (F.size(f["chains"]) == 0))
+                   & ((text("ligand_key") == "") | (f["partner"] == "") | (f["partner"] == ligand))))
+    return wide.withColumn("_met", met).withColumn("accession", _names(own, "accession")).withColumn("organism", _names(own, "organism")).withColumn(
+        "component_type", _names(named, "component_type")).withColumn(
+        "matching_interface_count", F.aggregate("_met", F.lit(0).cast("bigint"), lambda s, f: s + f["n"])).withColumn(
+        "matching_interface_types", F.array_join(F.sort_array(F.array_distinct(F.array_compact(F.transform("_met", lambda f: f["interface_type"])))), "; ")).drop(
+        "_chains", "_objects", "_faces", "_met").na.fill({
+            "matching_interface_count": 0, "feature_count": 0, "matching_interface_types": "", "accession": "", "organism": "", "component_type": "", "split": ""})
 
 
 def entry_master(entries: DataFrame, rollups: Sequence[tuple[DataFrame, Sequence[Column]]], key: str) -> DataFrame:

@@ -59,7 +59,8 @@ master AS (SELECT a.entry_id, a.pair_key, a.kind, a.source, a.value, a.log_value
 
 def pair_splits(spark, sf_dir):
     from affinityloom.functions.hashing import hash_split
-    keys = D.assays(spark, sf_dir).select("pair_key", "kind").distinct()
+    # Dealt by pair key, as the pair master joins them.
+    keys = D.assays(spark, sf_dir).select("pair_key", "kind").repartition("pair_key").distinct()
     return keys.withColumn("split", hash_split(F.concat_ws("|", "pair_key", "kind")))
 
 
