@@ -1,8 +1,8 @@
 """Weighted pair scores per (query, target) and evidence counts per target.
 
-A pair's score is a query-free part (strength, quality, agreement) plus a share of its similarity to the query. Only
-pairs that share a token with the query need the query; for all others the best query-free score per target is one
-aggregate over the pairs, whatever the number of queries. Inside a task the best score per (query, target) is kept, so
+A pair's score is a query-free part (strength, quality, agreement) plus a share of its similarity to the query. Pairs of
+equal token sets are first reduced, exactly, to those that can lead; only those that share a token with the query need
+the query; for all others the best query-free score per target is one aggregate, whatever the number of queries. Inside a task the best score per (query, target) is kept, so
 what leaves the task is one row per (query, target) it met, never a pair row.
 """
 
@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from affinityloom.functions import affinity as A
-from affinityloom.operators.ordering import with_position
+from affinityloom.operators.ordering import top_rows, with_position
+from affinityloom.session import pin
 
 # Weights of similarity, strength and quality in the pair score.
 SIMILARITY_WEIGHT, STRENGTH_WEIGHT, QUALITY_WEIGHT = 0.55, 0.25, 0.10
@@ -24,6 +25,8 @@ SIMILARITY_WEIGHT, STRENGTH_WEIGHT, QUALITY_WEIGHT = 0.55, 0.25, 0.10
 INTERFACE_SOURCES, INTERFACE_BONUS = ("BioLiP", "SKEMPI"), 0.2
 #: Queries that a task holds at a time, and (query, target) results after which it hands them on.
 QUERY_BLOCK, HELD_RESULTS = 512, 200_000
+#: Twice the width of a rounding step of scores, and the number of token sets up to which their limits are sent to all tasks.
+ROUNDING, SENT_SETS = 2e-9, 100_000
 
 
 def with_base_score(pairs: DataFrame, log_value: str, quality: str, band: str, conflict: str) -> DataFrame:
@@ -78,24 +81,44 @@ def _first_best(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(best).select(*keys, (-F.col("b.less")).alias("score"), "b.order", "b.similarity")
 
 
+def _leading_pairs(pairs: DataFrame, k: int) -> DataFrame:
+    """(tokens, targets, base, order): all pairs that can bring a target among the ``k`` best of any query.
+
+    Pairs of one token set have one similarity to a query, so their targets rank as their bases do: who is not among the
+    ``k`` best targets of its set has ``k`` better ones everywhere. Bases within ``ROUNDING`` of the k-th stay, as their
+    rounded scores may tie; of equal bases the first ``k`` by (order, target) stay.
+    """
+    sets = F.array_sort(F.array_distinct(F.coalesce("tokens", F.array().cast("array<string>"))))
+    flat = pairs.select(sets.alias("tokens"), F.explode("targets").alias("target"), "base", "order")
+    best = flat.groupBy("tokens", "target").agg(F.max("base").alias("base"))
+    last = pin(top_rows(best, ["tokens"], [F.desc("base"), "target"], k, rank="n").where(F.col("n") == k).select(
+        "tokens", (F.col("base") - ROUNDING).alias("least")))
+    near = flat.join(F.broadcast(last) if last.count() <= SENT_SETS else last, "tokens", "left").where("least IS NULL OR base >= least")
+    firsts = near.groupBy("tokens", "target", "base").agg(F.min("order").alias("order"))
+    return top_rows(firsts, ["tokens", "base"], ["order", "target"], k).select("tokens", F.array("target").alias("targets"), "base", "order")
+
+
 def best_targets(queries: DataFrame, pairs: DataFrame, payload: Sequence[str], k: int = 25, weight: float = SIMILARITY_WEIGHT) -> DataFrame:
     """The ``k`` best targets of every query: rank, score, similarity and the supporting pair's ``payload``.
 
     ``queries``: query, tokens; ``pairs``: order (unique), tokens, targets, base and the payload. A null or empty token
-    list has similarity 0; pairs without targets give none. Queries reach the tasks in blocks of ``QUERY_BLOCK``.
+    list has similarity 0; pairs without targets give none. Equal token sets are scored once, on both sides; the sets of
+    the queries reach the tasks in blocks of ``QUERY_BLOCK``.
     """
-    slim = pairs.select(F.col("order").cast("bigint").alias("order"), "tokens", "targets", "base")
+    slim = pin(_leading_pairs(pairs.select(F.col("order").cast("bigint").alias("order"), "tokens", "targets", "base"), k))
     free = _first_best(slim.select(F.explode("targets").alias("target"), F.round("base", 9).alias("score"), "order", F.lit(0.0).alias("similarity")), ["target"])
     # No target below the k best query-free scores can be among a query's k best unless it shares a token.
     leading = free.orderBy(F.desc("score"), "order", "target").limit(k).collect()
+    asked = queries.select(F.col("query").cast("bigint").alias("query"), F.array_sort(F.array_distinct(F.coalesce(
+        "tokens", F.array().cast("array<string>")))).alias("tokens"))
+    named = pin(asked.groupBy("tokens").agg(F.min("query").alias("first")))
     if leading:
         listed = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in ("target", "score", "order", "similarity")]) for r in leading])
-        found = queries.select(F.col("query").cast("bigint").alias("query"), F.inline(listed))
+        found = named.select(F.col("first").alias("query"), F.inline(listed))
     else:
         found = _block_best(slim, [], weight)
-    asked = queries.where(F.size("tokens") > 0).select(F.col("query").cast("bigint").alias("query"), "tokens")
     block: list = []
-    for row in asked.toLocalIterator():
+    for row in named.where(F.size("tokens") > 0).select(F.col("first").alias("query"), "tokens").toLocalIterator():
         block.append(row)
         if len(block) == QUERY_BLOCK:
             found, block = found.unionByName(_block_best(slim, block, weight)), []
@@ -104,7 +127,8 @@ def best_targets(queries: DataFrame, pairs: DataFrame, payload: Sequence[str], k
     place = Window.partitionBy("query").orderBy(F.desc("score"), "order", "target")
     ranked = _first_best(found, ["query", "target"]).withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
     support = pairs.select(F.col("order").cast("bigint").alias("order"), *payload)
-    return ranked.join(support, "order").select("query", "rank", "target", "score", "similarity", *payload)
+    of_sets = ranked.join(support, "order").withColumnRenamed("query", "first")
+    return of_sets.join(named, "first").drop("first").join(asked, "tokens").select("query", "rank", "target", "score", "similarity", *payload)
 
 
 def described(ranked: DataFrame, log_value: str) -> DataFrame:
