@@ -104,3 +104,9 @@ def test_best_targets_equal_a_loop(spark, monkeypatch, k, block, held):
 def test_pair_rows_stay_in_their_tasks(spark, sf_dir):
     plan = entry.queries()["pair_score_targets"](spark, sf_dir)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_narrow_keys_meet_lists_of_their_entry(spark, sf_dir):
+    plan = features.feature_frame(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    # Six lookups with keys of their own took 28 shuffles and a stored table of keys.
+    assert plan.count("Exchange hashpartitioning(") <= 16 and "Scan ExistingRDD" not in plan
