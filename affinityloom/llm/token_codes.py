@@ -9,6 +9,7 @@ byte is at level 1, at the rank of that bit, and so on.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -26,6 +27,8 @@ from affinityloom.operators.ordering import with_running_total
 HEAD = "<4sBBHQ"
 PER_BLOCK = 512
 BLOCK_TOKENS = 1 << 20
+#: Chunks of text whose ids a worker remembers.
+CACHE_CHUNKS = 400_000
 _SET_BITS = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -110,13 +113,86 @@ class Codes:
         return high
 
 
-@lru_cache(2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
+#: A blank after white space, where no chunk may begin.
+_RUN = re.compile("[\\s\u180e\u200b\ufeff] ")
+_CHUNK_START = re.compile("(?<![\\s\u180e\u200b\ufeff])(?= )")
+#: Chunks that neither hold a blank nor have white space at an end: before and after them a blank begins a chunk.
+_JOINS = re.compile("[^\\s\u180e\u200b\ufeff](?:[^ ]*[^\\s\u180e\u200b\ufeff])?")
+
+
+class ChunkIds:
+    """The library's ids of whole texts, from the ids of their chunks.
+
+    For byte-level tokenizers whose pieces never hold white space after other characters: there a blank that follows
+    such a character begins a piece, so the ids of a text are those of its chunks from blank to blank, one after the
+    other. Each chunk is encoded by the library once while it is remembered.
+    """
+
+    def __init__(self, path: str):
+        import os
+
+        from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # the special tokens' strings in a text are ordinary text
-    return t
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores run tasks already
+        self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = True  # the special tokens' strings in a text are ordinary text
+        vocabulary = self.library.get_vocab(with_added_tokens=False)
+        self.blank_first = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.blank_first[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
+        #: Ids by chunk, without its blank for those that begin with one.
+        self.after_blank: dict[str, bytes] = {}
+        self.other: dict[str, bytes] = {}
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        found = self.library.encode_batch_fast(texts, add_special_tokens=False) if texts else []
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+    def learn(self, chunks: list[str]) -> None:
+        """Remember chunks that begin with a blank (given without it); many go to the library as one text."""
+        together, alone = [], []
+        for c in chunks:
+            (together if c.isalnum() or _JOINS.fullmatch(c) else alone).append(c)
+        for first in range(0, len(together), 512):
+            part = together[first:first + 512]
+            ids = np.frombuffer(self._each([" " + " ".join(part)])[0], "<u4")
+            begins = np.flatnonzero(self.blank_first[ids])
+            if len(begins) != len(part):
+                alone += part
+                continue
+            data, cuts = ids.tobytes(), [*(4 * begins).tolist(), 4 * len(ids)]
+            for chunk, a, b in zip(part, cuts, cuts[1:]):
+                self.after_blank[chunk] = data[a:b]
+        for first in range(0, len(alone), 512):
+            part = alone[first:first + 512]
+            self.after_blank.update(zip(part, self._each([" " + c for c in part])))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        if len(self.other) > CACHE_CHUNKS // 10:
+            self.other.clear()
+        split = []
+        for t in texts:
+            if _RUN.search(t):
+                first, *rest = _CHUNK_START.split(t)
+                split.append([first, *[c[1:] for c in rest]])
+            else:
+                split.append(t.split(" "))
+        known, other = self.after_blank, self.other
+        heads = [chunks.pop(0) for chunks in split]
+        needed = set().union(*split)
+        if len(known) > CACHE_CHUNKS:  # most chunks occur once; the frequent ones are in these texts too
+            kept = {c: known[c] for c in needed if c in known}
+            known.clear()
+            known.update(kept)
+        self.learn(list(needed.difference(known)))
+        new = list(set(heads).difference(other))
+        other.update(zip(new, self._each(new)))
+        return [other[head] + b"".join(map(known.__getitem__, chunks)) for head, chunks in zip(heads, split)]
+
+
+@lru_cache(2)
+def _encoder(path: str) -> ChunkIds:
+    return ChunkIds(path)
 
 
 def write_codes(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, block_tokens: int = BLOCK_TOKENS) -> None:
@@ -129,8 +205,9 @@ def write_codes(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, b
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, part, block = _tokenizer(tokenizer), TaskContext.get().partitionId(), 0
+        t, part, block = _encoder(tokenizer), TaskContext.get().partitionId(), 0
         ids, sizes, held, total = [], [], [], 0
+        end = struct.pack("<I", end_id)
 
         def flush():
             data = pack(np.concatenate(held)) if held else pack(np.zeros(0, np.uint32))
@@ -140,10 +217,10 @@ def write_codes(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, b
                 "n_tokens": pa.array([total], pa.int64()), "codes": pa.array([data], pa.binary())})
 
         for batch in batches:
-            for piece in (batch.slice(i, 64) for i in range(0, batch.num_rows, 64)):
+            for piece in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 texts = [x or "" for x in piece.column("text").to_pylist()]
-                for doc_id, e in zip(piece.column("doc_id").to_pylist(), t.encode_batch(texts, add_special_tokens=False)):
-                    row = np.array([*e.ids, end_id], np.uint32)
+                for doc_id, data in zip(piece.column("doc_id").to_pylist(), t.encode(texts)):
+                    row = np.frombuffer(data + end, "<u4")
                     ids.append(doc_id)
                     sizes.append(len(row))
                     held.append(row)
@@ -163,7 +240,8 @@ def read_digests(spark, folder: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the stored blocks."""
     blocks = spark.read.parquet(folder)
     starts = with_running_total(blocks.select("part", "block", "n_tokens"), ["part", "block"], "n_tokens", "start")
-    placed = blocks.join(starts.select("part", "block", "start"), ["part", "block"]).select("doc_ids", "sizes", "codes", "start")
+    # One narrow row a block: sent to the blocks, so their codes are not moved.
+    placed = blocks.join(F.broadcast(starts.select("part", "block", "start")), ["part", "block"]).select("doc_ids", "sizes", "codes", "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
