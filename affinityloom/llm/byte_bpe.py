@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
@@ -16,83 +17,91 @@ from pyspark.sql import DataFrame
 CACHE_WORDS = 400_000
 
 
-class RankQueue:
-    """Positions by merge rank; bit levels of 64 find the least rank that has any."""
-
-    def __init__(self, ranks: int):
-        self.levels: list[dict[int, int]] = [{}]
-        while ranks > 64:
-            ranks = -(-ranks // 64)
-            self.levels.append({})
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            bucket = self.buckets[rank] = []
-            i = rank
-            for level in self.levels:
-                word = level.get(i >> 6, 0)
-                level[i >> 6] = word | 1 << (i & 63)
-                if word:
-                    break
-                i >>= 6
-        heappush(bucket, position)
-
-    def pop(self) -> tuple[int, int] | None:
-        """The leftmost position of the least rank."""
-        if not self.buckets:
-            return None
-        i = 0
-        for level in reversed(self.levels):
-            word = level[i]
-            i = i << 6 | (word & -word).bit_length() - 1
-        bucket = self.buckets[i]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[i]
-            j = i
-            for level in self.levels:
-                word = level[j >> 6] & ~(1 << (j & 63))
-                if word:
-                    level[j >> 6] = word
-                    break
-                del level[j >> 6]
-                j >>= 6
-        return i, position
-
-
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Token ids of one pre-token: merge the least rank, leftmost first, until no pair has a rank."""
+_BIT = [1 << i for i in range(256)]
+
+
+def merge(piece: bytes, ranks: dict[bytes, int], first: list[int] | None = None) -> list[int]:
+    """Token ids of one pre-token: merge the least rank, leftmost first, until no pair has a rank.
+
+    The queue holds positions by merge rank. Its bitmaps find the least rank that has any: bit ``rank & 255`` of the word
+    ``low[rank >> 8]``, and bit ``rank >> 8`` of ``top`` where that word has any. A rank's positions are one number or a
+    heap. It is written out in the loop, since calls would cost more than the steps themselves. ``first`` is ``byte_pairs``.
+    """
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
+    get, bit = ranks.get, _BIT
     n = len(piece)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    pair_rank = [-1] * n
-    queue = RankQueue(len(ranks))
-
-    def offer(i: int) -> None:
-        j = after[i]
-        rank = ranks.get(piece[i:after[j]]) if j < n else None
-        pair_rank[i] = -1 if rank is None else rank
-        if rank is not None:
-            queue.push(rank, i)
-
-    for i in range(n - 1):
-        offer(i)
-    while (top := queue.pop()) is not None:
-        rank, i = top
+    first = byte_pairs(ranks) if first is None else first
+    pair_rank = [first[a << 8 | b] for a, b in zip(piece, piece[1:])]
+    pair_rank.append(-1)
+    after, before = list(range(1, n + 2)), list(range(-1, n))
+    top, low, buckets = 0, {}, {}
+    for i, rank in enumerate(pair_rank):
+        if rank < 0:
+            continue
+        if rank in buckets:
+            held = buckets[rank]
+            if held.__class__ is int:
+                buckets[rank] = [held, i]
+            else:
+                held.append(i)  # places ascend, so the list is a heap
+            continue
+        buckets[rank] = i
+        high = rank >> 8
+        if high in low:
+            low[high] |= bit[rank & 255]
+        else:
+            low[high] = bit[rank & 255]
+            top |= bit[high] if high < 256 else 1 << high
+    while top:
+        high = (top & -top).bit_length() - 1
+        word = low[high]
+        least = word & -word
+        rank = high << 8 | least.bit_length() - 1
+        i = buckets[rank]
+        if i.__class__ is not int:
+            bucket = i
+            i = heappop(bucket)
+            if len(bucket) == 1:
+                buckets[rank] = bucket[0]
+        else:
+            del buckets[rank]
+            if word == least:
+                del low[high]
+                top &= top - 1
+            else:
+                low[high] = word ^ least
         if pair_rank[i] != rank:
             continue  # stale: the pair changed since
         j = after[i]
-        after[i] = after[j]
-        if after[j] < n:
-            before[after[j]] = i
+        after[i] = k = after[j]
+        before[k] = i
         pair_rank[j] = -1
-        offer(i)
-        if before[i] >= 0:
-            offer(before[i])
+        pair_rank[i] = -1
+        left = before[i]
+        for i, end in ((i, after[k] if k < n else 0), (left, k if left >= 0 else 0)):
+            if not end:
+                continue
+            rank = get(piece[i:end])
+            if rank is None:
+                pair_rank[i] = -1
+                continue
+            pair_rank[i] = rank
+            if rank in buckets:
+                held = buckets[rank]
+                if held.__class__ is int:
+                    buckets[rank] = [held, i] if held < i else [i, held]
+                else:
+                    heappush(held, i)
+                continue
+            buckets[rank] = i
+            high = rank >> 8
+            if high in low:
+                low[high] |= bit[rank & 255]
+            else:
+                low[high] = bit[rank & 255]
+                top |= bit[high] if high < 256 else 1 << high
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i:after[i]]])
@@ -100,18 +109,25 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+def byte_pairs(ranks: dict[bytes, int]) -> list[int]:
+    """The rank of each pair of bytes at ``first << 8 | second``, -1 where it has none."""
+    return [ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
+
+
 class Codec:
     """Encoder and decoder of one rank file; pre-tokens seen before come from a bounded cache."""
 
     def __init__(self, lines: list[bytes], pattern: str):
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.first = byte_pairs(self.ranks)
         self.vocab = {v: k for k, v in self.ranks.items()}
         # White space is the Unicode property, which leaves out the separators 1C to 1F.
         self.pattern = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}"))
         self.cache: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
-        got = np.array(merge(piece.encode(), self.ranks), "<u4").tobytes()
+        ids = merge(piece.encode(), self.ranks, self.first)
+        got = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= 64:
             if len(self.cache) >= CACHE_WORDS:
                 self.cache.clear()
