@@ -160,7 +160,8 @@ def train(docs: DataFrame) -> Model:
             yield pa.RecordBatch.from_pydict({"key": pair_key(b.column("v").to_numpy(), b.column("w").to_numpy()), "c": b.column("c")})
 
     folder = scratch_path(spark, "model")
-    bigrams = write_arrays(stored(grams.mapInArrow(keyed, "key bigint, c bigint"), "keys"), ["key", "c"], f"{folder}/bigrams")
+    # Keys are made twice, for the range bounds and for the arrays; a stored copy would be as large as the arrays.
+    bigrams = write_arrays(grams.mapInArrow(keyed, "key bigint, c bigint"), ["key", "c"], f"{folder}/bigrams")
     words_ = write_arrays(vocab, VOCAB, f"{folder}/vocabulary")
     return Model(words_, bigrams, v[0], v[1], g[0], _discounts(v[3:]), _discounts(g[1:]), (v[3], v[4], v[2]))
 

@@ -95,3 +95,11 @@ def test_small_ranges_and_broken_members(spark, frame, odd):
     rows = media.with_features(media.read_archives(spark, folder)).collect()
     assert len(rows) == len(odd) and sum(r["error"] is not None for r in rows) == 1
     assert all(json.loads(r["feature"]) for r in rows if r["error"] is None)
+
+
+def test_kneser_ney_stores_its_bigrams_once(frame, rows, monkeypatch):
+    names = []
+    plain = kneser_ney.stored
+    monkeypatch.setattr(kneser_ney, "stored", lambda df, name: names.append(name) or plain(df, name))
+    assert kneser_ney.lm_digest(frame(rows)).count() == len(rows)
+    assert names == ["bigrams", "vocabulary"]
