@@ -18,7 +18,7 @@ GRAMS = (3, 5, 6, 7, 8, 9)
 KEPT_GRAMS = 1 << 15
 SMOOTHING = 1.0
 #: N-grams of texts that a task holds before it counts and hands them on (8 bytes each).
-CHUNK = 1 << 24
+CHUNK = 1 << 22
 #: Partitions of the bounded samples: the fit makes some hundred passes over them.
 SAMPLE_PARTS = 8
 #: Labelled documents of each label that the toxicity model is fitted on, at most; scores cover all rows.

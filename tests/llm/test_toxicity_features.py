@@ -39,3 +39,8 @@ def test_unlike_grams_share_no_weight(spark):
     hashes, _ = classifiers.log_count_ratios(labelled)
     held = [set(classifiers.Grams(hashes).hashes[classifiers.Grams(hashes).places(t.encode())].tolist()) for t in ("bad awful", "0123456789")]
     assert held[0] and not held[1]
+
+
+def test_a_task_holds_few_grams_at_once():
+    """Several tasks share an executor: one's buffer of hashes, sorted, cut and packed, stays at tens of MB."""
+    assert classifiers.CHUNK * 8 <= 32 << 20
