@@ -15,6 +15,9 @@ BUCKET_BITS = 22
 HOT_BUCKETS = 1 << 16
 HOT_IN_TASK = 16
 SKETCH_WORDS = 16
+#: Sets above this size also have counts by hash, which rule out what parities of so many shingles don't.
+LONG = 1000
+SPOTS = 64 * SKETCH_WORDS
 
 
 def shingle_sets(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
@@ -71,8 +74,19 @@ def _sketch(shingles: np.ndarray) -> list[int]:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).tolist()
 
 
+def _spread(shingles: np.ndarray) -> bytes | None:
+    """Of a long set, the number of its shingles on each of SPOTS places, modulo 256.
+
+    Two sets differ in at least as many shingles as these numbers do, going round at 256.
+    """
+    if len(shingles) <= LONG:
+        return None
+    spots = (shingles.view(np.uint64) >> np.uint64(7)) % np.uint64(SPOTS)
+    return np.bincount(spots.astype(np.int64), minlength=SPOTS).astype(np.uint8).tobytes()
+
+
 def _signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """id, set size, a 128-bit key of the set, its sketch and its prefix: enough shingles that linked sets share one."""
+    """id, set size, a 128-bit key of the set, its sketch, its spread if long, and its prefix: enough shingles that linked sets share one."""
     hot = hot_buckets(docs, n)
     sent = docs.sparkSession.sparkContext.broadcast(
         (np.array(sorted(hot), np.int64), np.array([hot[k] for k in sorted(hot)], np.int64)))
@@ -80,7 +94,7 @@ def _signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, counts = sent.value
         for ids, sets in _parts(batches, n):
-            sizes, low, high, prefixes, sketches = [], [], [], [], []
+            sizes, low, high, prefixes, sketches, spreads = [], [], [], [], [], []
             for s in sets:
                 m = len(s)
                 sizes.append(m)
@@ -96,12 +110,13 @@ def _signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 keep = m - -(-m * percent // 100) + 1 if m else 0
                 prefixes.append(s[np.lexsort((s, weight))[:keep]].tolist())
                 sketches.append(_sketch(s))
+                spreads.append(_spread(s))
             yield pa.RecordBatch.from_pydict({
                 "id": pa.array(ids, pa.int64()), "n": pa.array(sizes, pa.int64()), "low": pa.array(low, pa.int64()),
                 "high": pa.array(high, pa.int64()), "prefix": pa.array(prefixes, pa.list_(pa.int64())),
-                "sketch": pa.array(sketches, pa.list_(pa.int64()))})
+                "sketch": pa.array(sketches, pa.list_(pa.int64())), "spread": pa.array(spreads, pa.binary())})
 
-    return docs.mapInArrow(run, "id bigint, n bigint, low bigint, high bigint, prefix array<bigint>, sketch array<bigint>")
+    return docs.mapInArrow(run, "id bigint, n bigint, low bigint, high bigint, prefix array<bigint>, sketch array<bigint>, spread binary")
 
 
 def _near_by_sketch(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -109,11 +124,31 @@ def _near_by_sketch(pairs: DataFrame, sketches: DataFrame, percent: int) -> Data
     own = lambda c: sketches.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
     both = pairs.select("a", "b").join(own("b"), "b").join(own("a"), "a")
     gap = sum(F.bit_count(F.col("s_a")[i].bitwiseXOR(F.col("s_b")[i])) for i in range(SKETCH_WORDS))
-    return (
+    near = stored(
         both.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b", "n_a", "n_b", gap.alias("gap"))
-        .where((100 + percent) * F.col("gap") <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
-        .groupBy("a", "b").agg(F.min("gap").alias("gap"))
-    )
+        .where((100 + percent) * F.col("gap") <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).distinct(), "near_rows")
+    both_long = (F.col("n_a") > LONG) & (F.col("n_b") > LONG)
+    return near.where(~both_long).select("a", "b", "gap").union(_near_by_spread(near.where(both_long), sketches, percent)).groupBy(
+        "a", "b").agg(F.min("gap").alias("gap"))
+
+
+def _near_by_spread(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """(a, b, gap) of the pairs of long sets that their spreads don't rule out; ``gap`` is the spreads' where that is more."""
+    own = lambda c: sketches.where(F.col("n") > LONG).select(
+        F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("spread").alias(f"s_{c}"))
+    both = pairs.join(own("b"), ["b", "n_b"]).join(own("a"), ["a", "n_a"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
+                x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(-1, SPOTS) for c in ("s_a", "s_b"))
+                apart = np.minimum(x - y, y - x).sum(axis=1, dtype=np.int64)
+                gap = np.maximum(apart, part.column("gap").to_numpy())
+                kept = (100 + percent) * gap <= (100 - percent) * (part.column("n_a").to_numpy() + part.column("n_b").to_numpy())
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(gap.astype(np.int32))], ["a", "b", "gap"]).filter(
+                    pa.array(kept))
+
+    return both.select("a", "b", "n_a", "n_b", "gap", "s_a", "s_b").mapInArrow(run, "a bigint, b bigint, gap int")
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -160,7 +195,7 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str =
     pivot it is nearest to, then each pair of components against its nearest (member, pivot).
     What is left is joined exactly: in each region, members outside its largest component meet
     members of other components inside size windows, which are the triangle inequality's for
-    distances to the empty set, and pairs that positions and sketches don't rule out are
+    distances to the empty set, and pairs that positions, sketches and spreads don't rule out are
     verified. Members of one component never meet, so a group of copies costs no pairs.
 
     Empty sets link with nothing. Rows with a null id are left out; an id with several texts
@@ -173,7 +208,7 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str =
     same = held.groupBy("low", "high", "n").agg(F.min("id").alias("rep"))
     folded = stored(held.select("id", "low", "high", "n").join(same, ["low", "high", "n"]).select("id", "rep"), "folded")
     reps = held.join(folded.where(F.col("id") == F.col("rep")).select("id").distinct(), "id", "left_semi")
-    sketches = stored(reps.select("id", "n", "sketch").distinct(), "sketches")
+    sketches = stored(reps.select("id", "n", "sketch", "spread").distinct(), "sketches")
     tokens = reps.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
     by_hash = F.struct(F.xxhash64("id").alias("h"), "id")
     regions = tokens.groupBy("token").agg(F.min("id").alias("pivot"), F.max("id").alias("last"), F.min(by_hash)["id"].alias("other")).where(

@@ -37,3 +37,15 @@ def test_pipeline_threshold(frame, near):
     brute_groups = {i: c for i, (_, c) in brute.jaccard(near, 5, 80).items()}
     kept = {r[0] for r in jaccard_join.keep_one_per_group(frame(near)).collect()}
     assert kept == set(brute_groups.values())
+
+
+def test_long_unlike_texts_are_ruled_out_unread(frame):
+    """Of long texts with half their words in common no pair is left for reading; linked ones stay."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(6000)]
+    pairs = [(1, " ".join(base)), (2, " ".join(base[:3000] + [f"y{i}" for i in range(3000)])), (3, " ".join(base[:5990]))]
+    docs = frame(pairs).selectExpr("doc_id AS id", "text")
+    sketches = jaccard_join._signatures(docs, 3, 90).select("id", "n", "sketch", "spread")
+    met = docs.sparkSession.createDataFrame([(1, 2), (1, 3), (2, 3)], "a bigint, b bigint")
+    assert [(r["a"], r["b"]) for r in jaccard_join._near_by_sketch(met, sketches, 90).collect()] == [(1, 3)]
+    assert by_id(jaccard_join.jaccard_digest(frame(pairs))) == brute.jaccard(pairs)
