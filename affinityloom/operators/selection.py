@@ -7,16 +7,20 @@ Both are sequential by definition. Spark scores or assigns every row; only a bou
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affinityloom.functions.structure import descriptor_distance
 from affinityloom.operators.ordering import top_rows
 from affinityloom.session import pin
 
 NOVEL, SPREAD, FRESH = 1.0, 0.45, 0.50
 CLUSTER_COST, FAMILY_COST, IDENTITY_COST = 0.55, 0.45, 0.20
+#: Undecided vectors that a round of archetype clustering fetches at most, and pairs of vectors compared at a time.
+HEAD_ROWS, PAIRS_AT_ONCE = 8192, 1 << 18
 
 
 def token_weights(pool: DataFrame) -> DataFrame:
@@ -138,43 +142,117 @@ def archetype_clusters(rows: DataFrame, motif: str, order: str, vector: str, lim
     ``limit`` of normalised distance takes the row.
 
     Equal vectors collapse first. A leader always settles itself, so vectors with NaN and empty
-    ones are clusters of their own. Orders are distinct within a motif. Each round fetches the first ``batch`` undecided vectors per motif,
-    finds the leaders among them, and lets Spark assign every undecided vector to its first leader.
+    ones are clusters of their own. Orders are distinct within a motif. Each round fetches the first
+    undecided vectors per motif, finds the leaders among them, and lets Spark assign every undecided
+    vector to its first leader. A round fetches ``batch`` vectors a motif at first, then twice as many
+    as the last, up to HEAD_ROWS in all motifs together: vectors that are all far apart need as many leaders as rows.
     """
     keyed = rows.select(motif, order, F.col(vector).cast("array<double>").alias("_v"))
-    distinct = pin(keyed.groupBy(motif, "_v").agg(F.min(order).alias("_o")))
-    open_ = distinct
+    open_ = pin(keyed.groupBy(motif, "_v").agg(F.min(order).alias("_o")))
+    fields = f"`{motif}` {rows.schema[motif].dataType.simpleString()}, _v array<double>, _o {rows.schema[order].dataType.simpleString()}"
     done: DataFrame | None = None
     count: Counter = Counter()
     while True:
-        head = top_rows(open_, [motif], [F.col("_o")], batch).orderBy(motif, "_o").collect()
-        if not head:
+        heads: dict[object, list] = {}
+        for r in top_rows(open_, [motif], [F.col("_o")], batch).orderBy(motif, "_o").collect():
+            heads.setdefault(r[motif], []).append((r["_o"], r["_v"]))
+        if not heads:
             break
-        leaders: dict[object, list[tuple[object, list[float], int]]] = {}
-        for r in head:
-            mine = leaders.setdefault(r[motif], [])
-            if not any(_distance(r["_v"], v) <= limit for _, v, _ in mine):
-                mine.append((r["_o"], list(r["_v"]), count[r[motif]]))
-                count[r[motif]] += 1
-        flat = [(m, o, v, i) for m, found in leaders.items() for o, v, i in found]
-        schema = f"`{motif}` {rows.schema[motif].dataType.simpleString()}, _lo {rows.schema[order].dataType.simpleString()}, _lv array<double>, _i int"
-        # At most ``batch`` leaders per motif and round: a bounded broadcast.
-        heads = rows.sparkSession.createDataFrame(flat, schema).groupBy(motif).agg(
-            F.sort_array(F.collect_list(F.struct("_i", "_lo", "_lv"))).alias("_leaders"))
-        tried = open_.join(F.broadcast(heads), motif).withColumn(
-            "_hit", F.try_element_at(F.filter("_leaders", lambda x: (x["_lo"] == F.col("_o")) | ((x["_lo"] < F.col("_o")) & (
-                descriptor_distance(F.col("_v"), x["_lv"]) <= limit))), F.lit(1)))
-        settled = pin(tried.filter(F.col("_hit").isNotNull()).select(
-            motif, "_v", "_o", F.col("_hit._i").alias("cluster_index"), F.col("_hit._lo").alias("leader")))
+        leaders = {}
+        for m, head in heads.items():
+            mine = _leading([v for _, v in head], limit)
+            leaders[m] = [(head[i][0], head[i][1], count[m] + n) for n, i in enumerate(mine)]
+            count[m] += len(mine)
+        tried = pin(open_.mapInArrow(_assigned(rows.sparkSession, leaders, motif, limit), f"{fields}, cluster_index int, leader {fields.rsplit(' ', 1)[1]}"))
+        settled = tried.where("cluster_index IS NOT NULL")
         done = settled if done is None else done.unionByName(settled)
-        open_ = pin(open_.join(settled.select(motif, "_o"), [motif, "_o"], "left_anti"))
-    return keyed.join(done.drop("_o"), [motif, "_v"]).select(motif, order, "cluster_index", "leader")
+        open_ = tried.where("cluster_index IS NULL").select(motif, "_v", "_o")
+        batch = max(batch, min(2 * batch, HEAD_ROWS // len(heads)))
+    if done is None:
+        return keyed.select(motif, order, F.lit(None).cast("int").alias("cluster_index"), F.col(order).alias("leader"))
+    found = done.select(F.col(motif).alias("_m"), F.col("_v").alias("_w"), "cluster_index", "leader")
+    return keyed.join(found, F.col(motif).eqNullSafe(F.col("_m")) & F.col("_v").eqNullSafe(F.col("_w"))).select(motif, order, "cluster_index", "leader")
+
 
+def _near(rows: np.ndarray, others: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (row, other) of the pairs of vectors, all of one length, within ``limit``.
 
-def _distance(a, b) -> float:
-    if not a or len(a) != len(b):
-        return 1.0
-    return sum(abs(x - y) / max(abs(x), abs(y), 1.0) for x, y in zip(a, b)) / len(a)
+    Terms are added in the order of the vector, as ``descriptor_distance`` does. They can't be negative, so a
+    pair whose sum is past the limit is dropped before the rest of its terms.
+    """
+    size = rows.shape[1]
+    i, j = (x.ravel() for x in np.indices((len(rows), len(others)), np.int32))
+    total = np.zeros(len(i))
+    for k in range(size):
+        x, y = rows[i, k], others[j, k]
+        total = total + np.abs(x - y) / np.maximum(np.maximum(np.abs(x), np.abs(y)), 1.0)
+        if k % 4 == 3 and len(i):
+            left = ~(total / size > limit)
+            i, j, total = i[left], j[left], total[left]
+    kept = total / size <= limit
+    return i[kept], j[kept]
+
+
+def _near_pairs(rows: list, others: list, limit: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``_near`` of vectors of any lengths, in blocks of a bounded number of pairs; empty ones and unequal lengths are 1.0 apart."""
+    by_size: list[dict[int, list[int]]] = []
+    for side in (rows, others):
+        by_size.append({})
+        for place, v in enumerate(side):
+            by_size[-1].setdefault(len(v or ()), []).append(place)
+    for size, places in by_size[0].items():
+        for other_size, other_places in by_size[1].items():
+            there, alike = np.array(other_places), size == other_size and size > 0
+            if not alike and limit < 1.0:
+                continue
+            held = np.array([others[p] for p in other_places], float) if alike else None
+            step = max(1, PAIRS_AT_ONCE // len(there))
+            for part in (np.array(places[a:a + step]) for a in range(0, len(places), step)):
+                i, j = _near(np.array([rows[p] for p in part], float), held, limit) if alike else (
+                    x.ravel() for x in np.indices((len(part), len(there))))
+                yield part[i], there[j]
+
+
+def _leading(vectors: list, limit: float) -> list[int]:
+    """Places of the vectors without an earlier leader within ``limit``."""
+    earlier: list[list[int]] = [[] for _ in vectors]
+    for i, j in _near_pairs(vectors, vectors, limit):
+        for a, b in zip(i[j < i].tolist(), j[j < i].tolist()):
+            earlier[a].append(b)
+    leads: list[bool] = []
+    for mine in earlier:
+        leads.append(not any(leads[b] for b in mine))
+    return [i for i, own in enumerate(leads) if own]
+
+
+def _assigned(spark: SparkSession, leaders: dict, motif: str, limit: float):
+    """A function over Arrow batches that adds each vector's first leader; there are at most HEAD_ROWS leaders or those of one first batch."""
+    sent = spark.sparkContext.broadcast(leaders)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            orders, vectors = batch.column("_o").to_pylist(), batch.column("_v").to_pylist()
+            best: list = [None] * len(orders)
+            places: dict[object, list[int]] = {}
+            for place, m in enumerate(batch.column(motif).to_pylist()):
+                places.setdefault(m, []).append(place)
+            for m, mine in places.items():
+                heads = sent.value.get(m, [])
+                own = {o: n for n, (o, _, _) in enumerate(heads)}
+                for place in mine:
+                    best[place] = own.get(orders[place])
+                for i, j in _near_pairs([vectors[p] for p in mine], [v for _, v, _ in heads], limit):
+                    for place, n in zip((mine[x] for x in i.tolist()), j.tolist()):
+                        if heads[n][0] < orders[place] and (best[place] is None or n < best[place]):
+                            best[place] = n
+                for place in mine:
+                    best[place] = None if best[place] is None else heads[best[place]]
+            columns = [batch.column(c) for c in (motif, "_v", "_o")]
+            index = pa.array([None if b is None else b[2] for b in best], pa.int32())
+            leader = pa.array([None if b is None else b[0] for b in best], columns[2].type)
+            yield pa.RecordBatch.from_arrays([*columns, index, leader], [motif, "_v", "_o", "cluster_index", "leader"])
+
+    return run
 
 
 def cluster_representatives(members: DataFrame, keys: list[str], archetype: str, site: str) -> DataFrame:
