@@ -58,12 +58,31 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: Bytes of text that ``words`` hashes at a time (a longer text goes alone): its arrays take some 40 times as much.
+BYTES_AT_ONCE = 1 << 19
+
+
 def words(texts: list[bytes], kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all lower-cased words of the texts, in order, and each text's first word.
 
-    The second array has one entry more than ``texts``. Texts are joined by a separator, so one
-    pass over the bytes serves a whole batch. A word's hash is a random code per byte times an
-    odd power of its place, summed over the word, then mixed with the word's length.
+    The second array has one entry more than ``texts``. Texts are taken in runs of BYTES_AT_ONCE, so
+    what is held beside the result is bounded by the longest text, not by the batch.
+    """
+    ends = np.cumsum(np.fromiter((len(t) for t in texts), np.int64, len(texts)))
+    cuts = [0, *(np.flatnonzero(np.diff(ends // BYTES_AT_ONCE)) + 1).tolist(), len(texts)]
+    parts = [_words(texts[a:b], kind) for a, b in zip(cuts, cuts[1:])]
+    if len(parts) == 1:
+        return parts[0]
+    before = np.cumsum([0, *(len(h) for h, _ in parts)])
+    return np.concatenate([h for h, _ in parts]), np.append(np.concatenate([b[:-1] + n for (_, b), n in zip(parts, before)]), before[-1])
+
+
+def _words(texts: list[bytes], kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``words`` of one run of texts.
+
+    Texts are joined by a separator, so one pass over the bytes serves a whole run. A word's hash is
+    a random code per byte times an odd power of its place, summed over the word, then mixed with the
+    word's length.
     """
     sep = b"\n"
     data = np.frombuffer(sep.join(texts) + sep, np.uint8)

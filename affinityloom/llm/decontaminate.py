@@ -6,13 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from affinityloom.llm.common import ALNUM, stored, words
 
 WINDOW = 13
-SHARD_WORDS = 1 << 20
+#: Words of a shard, about: its suffix array takes some 100 bytes a word.
+SHARD_WORDS = 1 << 19
 BLOCK_WORDS = 4 << 20
 #: Windows that one binary search moves at the same time: bounds a task's memory, changes no result.
 QUERIES_AT_ONCE = 1 << 16
@@ -159,7 +161,7 @@ def _hits(docs: DataFrame, items: list[tuple[str, np.ndarray]], payload: bool) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = np.array([len(t or "") for t in batch.column("text").to_pylist()])
+            sizes = pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             shards = np.cumsum(sizes) // (6 * SHARD_WORDS)
             edges = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), batch.num_rows]
             for a, b in zip(edges, edges[1:]):

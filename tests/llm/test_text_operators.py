@@ -74,6 +74,20 @@ def test_word_hashes(odd):
     assert bounds[-1] == len(flat)
 
 
+def test_word_hashes_of_many_texts_hold_little(odd):
+    """What hashing holds beside its result doesn't grow with the batch, and runs of texts give what each text gives."""
+    import tracemalloc
+
+    texts = [(t or "").encode() for _, t in odd] * 3 + [b"one Two  three " * 400] * 1500
+    tracemalloc.start()
+    hashes, bounds = words(texts, SPACED)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * sum(len(t) for t in texts)
+    for k in (0, 5, len(odd) + 3, len(texts) - 1):
+        assert hashes[bounds[k]:bounds[k + 1]].tolist() == words([texts[k]], SPACED)[0].tolist()
+
+
 @pytest.mark.parametrize("which", ["rows", "odd"])
 def test_token_codes(frame, request, which):
     import zlib
