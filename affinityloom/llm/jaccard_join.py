@@ -14,6 +14,8 @@ from affinityloom.llm.common import SPACED, stored, words
 BUCKET_BITS = 22
 HOT_BUCKETS = 1 << 16
 HOT_IN_TASK = 16
+#: Shingles of a set's prefix whose regions' pivots it meets. Fewer leave more to the exact join, which takes all.
+PIVOT_SHINGLES = 8
 SKETCH_WORDS = 16
 #: Sets above this size also have counts by hash, which rule out what parities of so many shingles don't.
 LONG = 1000
@@ -191,8 +193,8 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str =
     """(id, n_shingles, component): sets linked when 100 * intersection >= ``percent`` * union.
 
     Equal sets fold into their smallest id. A shingle's holders (by prefix) are its region, with
-    two pivots: its smallest id and a member by hash. First each member is verified against the
-    pivot it is nearest to, then each pair of components against its nearest (member, pivot).
+    two pivots: its smallest and its greatest id. First each member is verified against the pivot it
+    is nearest to (of the regions of its first PIVOT_SHINGLES shingles), then each pair of components against its nearest (member, pivot).
     What is left is joined exactly: in each region, members outside its largest component meet
     members of other components inside size windows, which are the triangle inequality's for
     distances to the empty set, and pairs that positions, sketches and spreads don't rule out are
@@ -210,12 +212,10 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str =
     reps = held.join(folded.where(F.col("id") == F.col("rep")).select("id").distinct(), "id", "left_semi")
     sketches = stored(reps.select("id", "n", "sketch", "spread").distinct(), "sketches")
     tokens = reps.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
-    by_hash = F.struct(F.xxhash64("id").alias("h"), "id")
-    regions = tokens.groupBy("token").agg(F.min("id").alias("pivot"), F.max("id").alias("last"), F.min(by_hash)["id"].alias("other")).where(
-        F.col("pivot") != F.col("last")).select("token", "pivot", "other")
+    regions = tokens.groupBy("token").agg(F.min("id").alias("pivot"), F.max("id").alias("other")).where("pivot != other")
     members = stored(tokens.join(regions, "token"), "members")
 
-    met = members.select("id", F.explode(F.array("pivot", "other")).alias("a")).where("id != a").distinct()
+    met = members.where(F.col("pos") < PIVOT_SHINGLES).select("id", F.explode(F.array("pivot", "other")).alias("a")).where("id != a").distinct()
     near = stored(_near_by_sketch(met.withColumnRenamed("id", "b"), sketches, percent), "near")
     nearest = near.groupBy("b").agg(F.min(F.struct("gap", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
     first = stored(_linked(stored(nearest, "nearest"), docs, n, percent), "links")

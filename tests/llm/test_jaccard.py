@@ -49,3 +49,14 @@ def test_long_unlike_texts_are_ruled_out_unread(frame):
     met = docs.sparkSession.createDataFrame([(1, 2), (1, 3), (2, 3)], "a bigint, b bigint")
     assert [(r["a"], r["b"]) for r in jaccard_join._near_by_sketch(met, sketches, 90).collect()] == [(1, 3)]
     assert by_id(jaccard_join.jaccard_digest(frame(pairs))) == brute.jaccard(pairs)
+
+
+def test_sets_meet_few_pivots(frame, near, monkeypatch):
+    """A long prefix doesn't multiply the rows that meet pivots; with hardly any met the exact join finds the same links."""
+    met = []
+    sketched = jaccard_join._near_by_sketch
+    monkeypatch.setattr(jaccard_join, "_near_by_sketch", lambda pairs, *rest: met.append(pairs.count()) or sketched(pairs, *rest))
+    whole = by_id(jaccard_join.jaccard_digest(frame(near)))
+    assert whole == brute.jaccard(near) and met[0] < 60 * 2 * jaccard_join.PIVOT_SHINGLES
+    monkeypatch.setattr(jaccard_join, "PIVOT_SHINGLES", 1)
+    assert by_id(jaccard_join.jaccard_digest(frame(near))) == whole
