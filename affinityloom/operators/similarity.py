@@ -8,10 +8,11 @@ Equal sets are collapsed to one representative first: a group of copies costs on
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -127,24 +128,33 @@ def similarity_join(queries: DataFrame, targets: DataFrame, query: str, target:
         "similarity", jaccard(F.col("_ta"), F.col("_tb"))).filter(F.col("similarity") >= threshold).drop("_ta", "_tb")
 
 
-def all_matches(queries: DataFrame, targets: DataFrame, query: str, target: str, block: int = 4096) -> DataFrame:
+#: Matches that a task holds before it drops those that can't be among the best.
+MATCHES_AT_ONCE = 1 << 20
+
+
+def all_matches(queries: DataFrame, targets: DataFrame, query: str, target: str, block: int = 4096, carry: Sequence[str] = (),
+                best: tuple[int, str] | None = None) -> DataFrame:
     """(query, target, similarity) of every pair of sets with a common token, without a threshold.
 
     Queries are sent to the tasks in blocks of ``block`` sets, so neither side is shuffled; each target
     counts its common tokens with all queries of a block at once. Query ids are taken as they are; equal
-    ids are different sets.
+    ids are different sets. ``carry`` names columns of the targets that matches keep, so that no match is moved to
+    look them up. ``best`` is a number k and a carried column: for a caller that wants the k most similar targets
+    (ties: the smallest) of each query and value of that column, a task leaves out those that k others of its batch beat.
     """
     found: DataFrame | None = None
     rows = queries.select(query, "tokens").filter(F.size("tokens") > 0).toLocalIterator()
     kind = queries.schema[query].dataType
     fields = f"`{query}` {kind.simpleString()}, `{target}` {targets.schema[target].dataType.simpleString()}, similarity double"
+    fields = ", ".join([fields, *(f"`{c}` {targets.schema[c].dataType.simpleString()}" for c in carry)])
     while held := [r for _, r in zip(range(block), rows)]:
-        part = targets.select(target, "tokens").mapInArrow(_common_counts(targets, [tuple(r) for r in held], query, target), fields)
+        part = targets.select(target, "tokens", *carry).mapInArrow(
+            _common_counts(targets, [tuple(r) for r in held], query, target, carry, best), fields)
         found = part if found is None else found.unionByName(part)
     return targets.sparkSession.createDataFrame([], fields) if found is None else found
 
 
-def _common_counts(targets: DataFrame, held: list[tuple], query: str, target: str):
+def _common_counts(targets: DataFrame, held: list[tuple], query: str, target: str, carry: Sequence[str], best: tuple[int, str] | None):
     places: dict[str, list[int]] = {}
     for i, (_, tokens) in enumerate(held):
         for t in tokens:
@@ -153,23 +163,52 @@ def _common_counts(targets: DataFrame, held: list[tuple], query: str, target: st
     sent = targets.sparkSession.sparkContext.broadcast(
         ([q for q, _ in held], sizes, {t: np.array(at, np.int64) for t, at in places.items()}))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sizes, places = sent.value
-        ids = pa.array(ids)
-        for batch in batches:
-            for k, tokens in enumerate(batch.column("tokens").to_pylist()):
-                lists = [places[t] for t in tokens or () if t in places]
-                if not lists:
-                    continue
+    def matches(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        _, sizes, places = sent.value
+        for k, tokens in enumerate(batch.column("tokens").to_pylist()):
+            lists = [places[t] for t in tokens or () if t in places]
+            if lists:
                 common = np.bincount(np.concatenate(lists), minlength=len(sizes))
                 at = np.flatnonzero(common)
-                owner = batch.column(target).take(pa.array(np.full(len(at), k)))
-                similarity = common[at] / (sizes[at] + len(tokens) - common[at])
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), owner, pa.array(similarity)], [query, target, "similarity"])
+                yield at, np.full(len(at), k), common[at] / (sizes[at] + len(tokens) - common[at])
+
+    def leading(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Those of a batch's matches that fewer than k of their query and value beat."""
+        place = np.empty(batch.num_rows, np.int64)
+        place[pc.sort_indices(batch.column(target), null_placement="at_start").to_numpy()] = np.arange(batch.num_rows)
+        value = batch.column(best[1]).dictionary_encode(null_encoding="encode").indices.to_numpy().astype(np.int64)
+        kept, size = [], 0
+        for found in matches(batch):
+            kept.append(found)
+            size += len(found[0])
+            if size >= MATCHES_AT_ONCE:
+                kept = [_first_of_groups(kept, value, place, best[0])]
+                size = 0
+        if kept:
+            yield _first_of_groups(kept, value, place, best[0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = pa.array(sent.value[0])
+        for batch in batches:
+            for at, owner, similarity in (leading if best else matches)(batch):
+                taken = [batch.column(c).take(pa.array(owner)) for c in (target, *carry)]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), taken[0], pa.array(similarity), *taken[1:]], [query, target, "similarity", *carry])
 
     return run
 
 
+def _first_of_groups(found: list[tuple], value: np.ndarray, place: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` matches of most similarity (ties: the first target by ``place``) of each query and value of the targets."""
+    at, owner, similarity = (np.concatenate(c) for c in zip(*found))
+    group = at * (int(value.max(initial=0)) + 1) + value[owner]
+    order = np.lexsort((place[owner], -similarity, group))
+    group = group[order]
+    begins = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else order
+    rank = np.arange(len(group)) - np.repeat(begins, np.diff(begins, append=len(group)))
+    order = order[rank < k]
+    return at[order], owner[order], similarity[order]
+
+
 def leader_clusters(sets: DataFrame, record: str, threshold: float = 0.30, peel_rounds: int = 6) -> DataFrame:
     """Leader of every record: in record order, an unassigned record leads and takes every later
     unassigned record with Jaccard >= threshold. Records without tokens lead themselves.

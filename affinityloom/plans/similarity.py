@@ -28,8 +28,8 @@ def kmer_sql(col: str, k: int) -> str:
 DOC_WORDS = SETS_SQL.format(id="doc_id", tokens=f"regexp_extract_all(text, '{WORDS}')", table="documents", th=0.5)
 
 
-def document_sets(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", J.pattern_tokens("text", WORDS).alias("tokens"))
+def document_sets(spark, sf_dir, *facts):
+    return table(spark, sf_dir, "documents").select("doc_id", J.pattern_tokens("text", WORDS).alias("tokens"), *facts)
 
 
 @query("similar_set_pairs", "C18 C12", f"WITH {DOC_WORDS} SELECT a, b, round(s, 6) AS similarity FROM prs")
@@ -72,9 +72,11 @@ qn AS (SELECT q, count(*) AS n FROM qt GROUP BY 1), dn AS (SELECT d, count(*) AS
 sim AS (SELECT q AS item_id, d AS doc_id, count(*) / (any_value(qn.n) + any_value(dn.n) - count(*))::DOUBLE AS s FROM qt JOIN dt USING (t) JOIN qn USING (q) JOIN dn USING (d) GROUP BY q, d HAVING count(*) / (any_value(qn.n) + any_value(dn.n) - count(*))::DOUBLE > 0)"""
 
 
-def query_matches(spark, sf_dir):
+def query_matches(spark, sf_dir, *facts, best=None):
+    """Matches with the named facts of their documents."""
     q = table(spark, sf_dir, "benchmark").select("item_id", J.pattern_tokens("text", WORDS).alias("tokens"))
-    return J.all_matches(q, document_sets(spark, sf_dir), "item_id", "doc_id")
+    docs = document_sets(spark, sf_dir, *facts)
+    return J.all_matches(q, docs, "item_id", "doc_id", carry=docs.columns[2:], best=best)
 
 
 @query("query_similarity_join", "C12", f"WITH {CROSS_SQL} SELECT item_id, doc_id, round(s, 6) AS similarity FROM sim")
@@ -89,29 +91,20 @@ ag AS (SELECT item_id, target, sum(s * w * greatest(greatest(0.0, least(1.0, 1 -
 @query("target_ranking", "E13 G24",
        f"WITH {CROSS_SQL}{TARGETS_SQL} SELECT item_id, target, CAST(row_number() OVER (PARTITION BY item_id ORDER BY round(raw, 9) DESC, target) AS INT) AS rank, round(1 / (1 + exp(-raw)), 4) AS confidence, round(best, 4) AS similarity, round(-1.364 * mean_log, 3) AS free_energy, n AS support FROM ag")
 def target_ranking(spark, sf_dir):
-    return ranking_of(query_matches(spark, sf_dir), spark, sf_dir)
-
-
-def ranking_of(matches, spark, sf_dir):
     from affinityloom.operators.models import rank_targets
-    docs = table(spark, sf_dir, "documents").select(
-        "doc_id", F.col("source").alias("target"), (1 + (F.col("doc_id") % 5) * 0.05).alias("weight"),
+    matches = query_matches(
+        spark, sf_dir, F.col("source").alias("target"), (1 + (F.col("doc_id") % 5) * 0.05).alias("weight"),
         F.when(F.col("n_chars") > 0, F.log10("n_chars")).alias("log_value"))
-    return rank_targets(matches.join(docs, "doc_id"), "item_id", "target", "doc_id").select(
+    return rank_targets(matches, "item_id", "target", "doc_id").select(
         "item_id", "target", "rank", "confidence", "similarity", "free_energy", "support")
 
 
 @query("supporting_examples", "E13",
        f"WITH {CROSS_SQL}{TARGETS_SQL} SELECT item_id, target, doc_id, CAST(row_number() OVER (PARTITION BY item_id, target ORDER BY s DESC, doc_id) AS INT) AS position FROM sc QUALIFY row_number() OVER (PARTITION BY item_id, target ORDER BY s DESC, doc_id) <= 5")
 def supporting_examples(spark, sf_dir):
-    return support_of(query_matches(spark, sf_dir), spark, sf_dir)
-
-
-def support_of(matches, spark, sf_dir):
     from affinityloom.operators.models import top_support
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("target"))
-    return top_support(matches.join(docs, "doc_id"), "item_id", "target", "doc_id").select(
-        "item_id", "target", "doc_id", "position")
+    matches = query_matches(spark, sf_dir, F.col("source").alias("target"), best=(5, "target"))
+    return top_support(matches, "item_id", "target", "doc_id").select("item_id", "target", "doc_id", "position")
 
 
 @query("hit_rates", "D31",

@@ -23,6 +23,27 @@ def test_every_match_above_zero(spark):
         assert {(r["q"], r["d"]): r["similarity"] for r in rows} == brute(queries, docs) and len(rows) == 5
 
 
+def test_best_matches_are_chosen_before_they_move(spark, monkeypatch):
+    """The k best per query and value are all there, with ties and nulls, and little else leaves the tasks."""
+    import random
+
+    rng = random.Random(3)
+    queries = [(i, rng.sample("abcdefgh", 3)) for i in range(6)]
+    docs = [(i, rng.sample("abcdefghijkl", rng.randrange(1, 6)), rng.choice(["s", "t", None])) for i in range(400)]
+    q = spark.createDataFrame(queries, "q long, tokens array<string>")
+    d = spark.createDataFrame(docs, "d long, tokens array<string>, v string").coalesce(1)
+    monkeypatch.setattr(J, "MATCHES_AT_ONCE", 50)
+    value, groups = {i: v for i, _, v in docs}, {}
+    for (a, b), s in brute(queries, [r[:2] for r in docs]).items():
+        groups.setdefault((a, value[b]), []).append((-s, b))
+    rows = J.all_matches(q, d, "q", "d", 4, carry=["v"], best=(5, "v")).collect()
+    got = {}
+    for r in rows:
+        got.setdefault((r["q"], r["v"]), []).append((-r["similarity"], r["d"]))
+    assert {k: sorted(v)[:5] for k, v in got.items()} == {k: sorted(v)[:5] for k, v in groups.items()}
+    assert len(rows) <= 6 * 3 * 5
+
+
 def test_pairs_below_the_cut_are_kept(spark, sf_dir):
     every = PS.query_matches(spark, sf_dir)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", J.pattern_tokens("text", PS.WORDS).alias("tokens"))
