@@ -62,10 +62,14 @@ def interaction_network(rows: DataFrame, a: str, b: str, score: str, threshold:
     nodes = kept.select(F.explode(F.array(a, b)).alias("name")).distinct().select(
         F.concat(F.lit("protein:"), F.col("name")).alias("node_id"), F.lit("Protein").alias("node_type"))
     lo, hi = F.least(F.col(a), F.col(b)), F.greatest(F.col(a), F.col(b))
-    edges = first_rows(kept.select(
-        F.concat_ws(":", F.lit("network"), lo, hi).alias("edge_id"), F.concat(F.lit("protein:"), lo).alias("source"),
-        F.concat(F.lit("protein:"), hi).alias("target"), F.round(F.col(score) / 1000.0, 4).alias("evidence"),
-        F.when(F.col(score) >= 900, "high").otherwise("medium").alias("confidence"), "ord"), ["edge_id"], ["ord"]).drop("ord")
+    # The id holds both ends, so rows are sorted with nothing beside it but their score, order and where the first end stops.
+    first = first_rows(kept.select(F.concat_ws(":", F.lit("network"), lo, hi).alias("edge_id"), F.length(lo).alias("_size"), F.col(score).alias("_score"), "ord"),
+                       ["edge_id"], ["ord"])
+    begin = len("network:") + 1
+    edges = first.select(
+        "edge_id", F.concat(F.lit("protein:"), F.substr("edge_id", F.lit(begin), F.col("_size"))).alias("source"),
+        F.concat(F.lit("protein:"), F.substr("edge_id", F.col("_size") + begin + 1)).alias("target"),
+        F.round(F.col("_score") / 1000.0, 4).alias("evidence"), F.when(F.col("_score") >= 900, "high").otherwise("medium").alias("confidence"))
     return nodes, edges
 
 
@@ -73,10 +77,9 @@ def pathway_edges(memberships: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pathway nodes and protein-pathway edges from (accession, pathways array of (id, name))."""
     flat = memberships.select("accession", F.explode("pathways").alias("p"))
     nodes = flat.groupBy(F.concat(F.lit("pathway:"), F.col("p.id")).alias("node_id")).agg(F.min("p.name").alias("display_name"))
-    edges = flat.select(
-        F.concat_ws(":", F.lit("member"), "accession", F.col("p.id")).alias("edge_id"), F.lit(PATHWAY).alias("edge_type"),
-        F.concat(F.lit("protein:"), F.col("accession")).alias("source"),
-        F.concat(F.lit("pathway:"), F.col("p.id")).alias("target")).distinct()
+    edges = flat.select("accession", F.col("p.id").alias("id")).distinct().select(
+        F.concat_ws(":", F.lit("member"), "accession", "id").alias("edge_id"), F.lit(PATHWAY).alias("edge_type"),
+        F.concat(F.lit("protein:"), F.col("accession")).alias("source"), F.concat(F.lit("pathway:"), F.col("id")).alias("target"))
     return nodes, edges
 
 

@@ -33,3 +33,16 @@ def test_what_does_not_fit_is_refused(spark, registry):
         C.connected_graph({"typed": rows})
     with pytest.raises(ValueError, match="no connectors"):
         C.connected_graph({"unheard": rows})
+
+
+def test_network_edges_are_sorted_by_narrow_rows(spark):
+    """Ends with separators and other letters come back whole, and no text but the id is sorted."""
+    from affinityloom.operators import graph as G
+
+    rows = [("é:b", "a", 950, 2), ("a", "é:b", 500, 1), ("x", "b:é", 400, 3), ("z", "y", 399, 4), ("b:", "ab", 900, 5)]
+    edges = G.interaction_network(spark.createDataFrame(rows, "a string, b string, s int, ord int"), "a", "b", "s", 400)[1]
+    got = {r["edge_id"]: (r["source"], r["target"], r["evidence"], r["confidence"]) for r in edges.collect()}
+    assert got == {"network:a:é:b": ("protein:a", "protein:é:b", 0.5, "medium"), "network:b:é:x": ("protein:b:é", "protein:x", 0.4, "medium"),
+                   "network:ab:b:": ("protein:ab", "protein:b:", 0.9, "high")}
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("protein:") < plan.index("Window")
