@@ -1,8 +1,8 @@
 """Set-similarity joins and leader clustering on token sets, exact and without all-pairs work.
 
 Two sets with Jaccard >= t must share a token among their rarest ``n - ceil(t*n) + 1`` tokens, so
-only those prefixes are joined; length bounds and the number of shared prefix tokens cut candidates
-further and the full sets verify what is left.
+only those prefixes are compared; length bounds, the number of shared prefix tokens and parity sketches
+cut candidates further and the full sets verify what is left.
 Equal sets are collapsed to one representative first: a group of copies costs one set, not a square.
 """
 
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from affinityloom.functions.hashing import char_ngrams
+from affinityloom.operators.compact_sets import all_possible_pairs, chosen, compact, exact_pairs, hashed
 from affinityloom.session import pin
 
 SEP = "\u0001"
@@ -42,18 +43,16 @@ def jaccard(a: Column, b: Column) -> Column:
 def collapse_copies(sets: DataFrame, record: str, ordinal: str) -> tuple[DataFrame, DataFrame]:
     """(representatives with tokens, record -> representative map) over records with a non-empty set.
 
-    The sets are materialised once: tokenising whole texts is the dearest step and every later join
-    reads them again.
-
-    The representative is the copy with the smallest ordinal; both steps are partial aggregates or
-    joins on a digest of the set.
+    The representative is the copy with the smallest ordinal, found by digests of the sets. Only ids and digests are
+    materialised: the sets take several times the room of their texts and are read from their source again.
     """
-    keyed = pin(sets.filter(F.size("tokens") > 0).withColumn("_sig", F.sha2(F.array_join("tokens", SEP), 256)))
+    names = list(dict.fromkeys([record, ordinal]))
+    keyed = pin(sets.filter(F.size("tokens") > 0).select(*names, F.sha2(F.array_join("tokens", SEP), 256).alias("_sig")))
     best = keyed.groupBy("_sig").agg(F.min(F.struct(F.col(ordinal).alias("o"), F.col(record).alias("r"))).alias("_b"))
-    best = best.select("_sig", F.col("_b.r").alias("representative"))
-    mapping = keyed.select(record, ordinal, "_sig").join(best, "_sig").drop("_sig")
-    reps = keyed.join(best.select(F.col("representative").alias(record)), record, "left_semi").drop("_sig")
-    return reps, mapping
+    best = pin(best.select("_sig", F.col("_b.r").alias("representative")))
+    mapping = keyed.join(best, "_sig").drop("_sig")
+    # no filter here: it would need the tokens of every record, also where few are asked for
+    return chosen(sets, best.select(F.col("representative").alias(record)), record), mapping
 
 
 def prefixes(sets: DataFrame, record: str, threshold: float, frequency: DataFrame | None = None) -> DataFrame:
@@ -110,10 +109,14 @@ def _verified(candidates: DataFrame, left: DataFrame, right: DataFrame, a: str,
 
 
 def similar_pairs(reps: DataFrame, record: str, threshold: float) -> DataFrame:
-    """Pairs (a < b) of representative sets with Jaccard >= threshold."""
-    post = pin(prefixes(reps, record, threshold))
-    found = _candidates(_named(post, record, "a"), _named(post, record, "b"), "a", "b", threshold, ordered=True)
-    return _verified(found, reps, reps, "a", "b", record, threshold)
+    """Pairs (a < b) of representative sets with Jaccard >= threshold.
+
+    Sets are compared inside the tasks, block by block (``compact_sets``): only pairs that their sketches can't rule out
+    are written, and those are counted on the whole sets. Tokens are told apart by 64-bit hashes.
+    """
+    hashes = hashed(reps, record)
+    compacted = compact(hashes, record, threshold)
+    return exact_pairs(hashes, compacted, all_possible_pairs(compacted, record, threshold), record, threshold)
 
 
 def similarity_join(queries: DataFrame, targets: DataFrame, query: str, target: str, threshold: float) -> DataFrame:
