@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from affinityloom.functions.hashing import char_ngrams
-from affinityloom.operators.compact_sets import all_possible_pairs, chosen, compact, exact_pairs, hashed
+from affinityloom.operators.compact_sets import HEAD_TOKENS, all_possible_pairs, chosen, compact, exact_pairs, hashed, possible_pairs
 from affinityloom.session import pin
 
 SEP = "\u0001"
@@ -100,14 +100,6 @@ def _candidates(left: DataFrame, right: DataFrame, a: str, b: str, threshold: fl
     return shared.filter(F.col("_c") + F.greatest(f"_rest_{a}", f"_rest_{b}") >= needed).select(a, b)
 
 
-def _verified(candidates: DataFrame, left: DataFrame, right: DataFrame, a: str, b: str, record: str,
-              threshold: float) -> DataFrame:
-    one = left.select(F.col(record).alias(a), F.col("tokens").alias("_ta"))
-    two = right.select(F.col(record).alias(b), F.col("tokens").alias("_tb"))
-    return candidates.join(one, a).join(two, b).withColumn("similarity", jaccard(F.col("_ta"), F.col("_tb"))).filter(
-        F.col("similarity") >= threshold).drop("_ta", "_tb")
-
-
 def similar_pairs(reps: DataFrame, record: str, threshold: float) -> DataFrame:
     """Pairs (a < b) of representative sets with Jaccard >= threshold.
 
@@ -212,56 +204,51 @@ def _first_of_groups(found: list[tuple], value: np.ndarray, place: np.ndarray, k
     return at[order], owner[order], similarity[order]
 
 
-def leader_clusters(sets: DataFrame, record: str, threshold: float = 0.30, peel_rounds: int = 6) -> DataFrame:
+#: Records of the first block of leader clustering, and of any.
+FIRST_BLOCK = 1 << 10
+MOST_RECORDS = 1 << 15
+
+
+def leader_clusters(sets: DataFrame, record: str, threshold: float = 0.30) -> DataFrame:
     """Leader of every record: in record order, an unassigned record leads and takes every later
     unassigned record with Jaccard >= threshold. Records without tokens lead themselves.
 
-    Equal to the sequential pass, in parallel rounds:
+    Equal to the sequential pass, block by block:
 
     1. copies collapse to their first record;
-    2. peeling: a record that is first in every one of its prefix tokens among the undecided has no
-       earlier possible neighbour, so it leads; records similar to it leave. Each token has one
-       first record, so a round costs (record, token) rows and a group of near copies goes at once;
-    3. what is left gets its similarity edges, and a record leads once no earlier undecided
-       neighbour remains;
-    4. members take their smallest earlier similar leader.
+    2. the first undecided records make a block, which meets itself and all later records inside the tasks;
+    3. among the block a record leads once no earlier undecided neighbour remains;
+    4. undecided records join their smallest earlier similar leader of the block and are decided, too.
+
+    Blocks double in size up to a bound, so few members of a large group are in the block that meets it first, and the
+    rest of the group leaves with them. All edges of a block are written: one that is mostly near copies of each other
+    has as many as their square.
     """
     reps, mapping = collapse_copies(sets, record, record)
-    reps = pin(reps.select(record, "tokens"))
-    post = pin(prefixes(reps, record, threshold))
-    undecided = reps.select(record)
-    leaders: DataFrame | None = None
-    left = undecided.count()
-    for _ in range(peel_rounds):
-        if not left:
-            break
-        live = post.join(undecided, record, "left_semi")
-        first = live.groupBy("token").agg(F.min(record).alias("_first"))
-        tagged = live.join(first, "token")
-        new = pin(tagged.groupBy(record).agg(F.bool_and(F.col(record) == F.col("_first")).alias("_ok"))
-                  .filter("_ok").select(record))
-        near = _candidates(_named(live.join(new, record, "left_semi"), record, "a"),
-                           _named(live.join(new, record, "left_anti"), record, "b"), "a", "b", threshold, ordered=True)
-        taken = _verified(near, reps, reps, "a", "b", record, threshold).select(F.col("b").alias(record)).distinct()
-        undecided = pin(undecided.join(new.unionByName(taken), record, "left_anti"))
-        leaders = new if leaders is None else leaders.unionByName(new)
-        remaining = undecided.count()
-        stalled = remaining > 0.9 * left
-        left = remaining
-        if stalled:
-            break
-    if left:
-        rest = _edge_rounds(similar_pairs(reps.join(undecided, record, "left_semi"), record, threshold), undecided, record)
-        leaders = rest if leaders is None else leaders.unionByName(rest)
-    if leaders is None:
-        leaders = undecided
-    leaders = pin(leaders)
-    heads = _named(post.join(leaders, record, "left_semi"), record, "a")
-    tails = _named(post.join(leaders, record, "left_anti"), record, "b")
-    found = _candidates(heads, tails, "a", "b", threshold, ordered=True)
-    joined = _verified(found, reps, reps, "a", "b", record, threshold).groupBy("b").agg(F.min("a").alias("leader"))
-    lead_of = joined.select(F.col("b").alias("representative"), "leader").unionByName(
-        leaders.select(F.col(record).alias("representative"), F.col(record).alias("leader")))
+    hashes = hashed(reps, record)
+    compacted = compact(hashes, record, threshold)
+    undecided = compacted.select(record, "kept")
+    lead_of: DataFrame | None = None
+    size = FIRST_BLOCK
+    while first := undecided.orderBy(record).limit(size).collect():
+        size = min(2 * size, MOST_RECORDS)
+        room = np.cumsum([r["kept"] for r in first])
+        first = [r[record] for r in first[:max(int(np.searchsorted(room, HEAD_TOKENS, "right")), 1)]]
+        heads = sets.sparkSession.createDataFrame([(r,) for r in first], compacted.select(record).schema)
+        later = compacted.filter(F.col(record) >= first[0]).withColumn("own", F.lit(True))
+        near = possible_pairs(compacted.join(F.broadcast(heads), record, "left_semi"), later, record, threshold)
+        if lead_of is not None:
+            near = pin(near.join(undecided.select(F.col(record).alias("b")), "b", "left_semi"))
+        edges = exact_pairs(hashes, compacted, near, record, threshold)
+        inside = edges.join(F.broadcast(heads.withColumnRenamed(record, "b")), "b", "left_semi")
+        leaders = _edge_rounds(inside, heads, record)
+        taken = edges.join(leaders.select(F.col(record).alias("a")), "a", "left_semi").groupBy("b").agg(F.min("a").alias("leader"))
+        found = pin(taken.withColumnRenamed("b", "representative").unionByName(
+            leaders.select(F.col(record).alias("representative"), F.col(record).alias("leader"))))
+        lead_of = found if lead_of is None else lead_of.unionByName(found)
+        undecided = pin(undecided.join(found.select(F.col("representative").alias(record)), record, "left_anti"))
+    if lead_of is None:
+        return sets.select(record, F.col(record).alias("leader"))
     with_tokens = mapping.join(lead_of, "representative").select(record, "leader")
     alone = sets.filter(F.size("tokens") <= 0).select(record, F.col(record).alias("leader"))
     return with_tokens.unionByName(alone)

@@ -60,14 +60,40 @@ def test_sketches_differ_by_no_more_than_sets(spark):
     assert all(d <= len(set(sets[i]) ^ set(sets[j])) for d, (i, j) in zip(least, at))
 
 
-def test_nothing_met_is_shuffled(spark, sf_dir):
+def test_leaders_in_blocks(spark, monkeypatch):
+    from tests.test_sequential_equivalence import leaders_by_loop
+    monkeypatch.setattr(J, "FIRST_BLOCK", 8)
+    monkeypatch.setattr(J, "MOST_RECORDS", 32)
+    sets = {i: set(s) for i, s in random_sets(11, 90).items()}
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id bigint, tokens array<string>")
+    assert {r["id"]: r["leader"] for r in J.leader_clusters(df, "id", 0.4).collect()} == leaders_by_loop(sets, 0.4)
+
+
+def shuffled(spark):
+    jvm, store = spark.sparkContext._jvm, spark.sparkContext._jsc.sc().statusStore()
+    none = spark.sparkContext._gateway.new_array(jvm.double, 0)
+    return sum(s.shuffleWriteBytes() for s in jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, none, None)))
+
+
+@pytest.mark.parametrize("name", ["similar_set_pairs", "leader_clusters"])
+def test_nothing_met_is_shuffled(spark, sf_dir, name):
     """What was met on prefix tokens, and the sets themselves, were shuffled."""
     from affinityloom.plans import similarity as PS
-    written = lambda: sum(
-        s.shuffleWriteBytes() for s in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(
-            spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(
-                spark.sparkContext._jvm.double, 0), None)))
-    before = written()
-    PS.similar_set_pairs(spark, sf_dir).count()
+    before = shuffled(spark)
+    getattr(PS, name)(spark, sf_dir).count()
     texts = spark.read.parquet(f"{sf_dir}/documents.parquet").agg(F.sum(F.octet_length("text"))).first()[0]
-    assert written() - before < texts
+    assert shuffled(spark) - before < texts
+
+
+def test_kmer_pairs_of_texts(spark, sf_dir):
+    from affinityloom.plans import similarity as PS
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    first = {}
+    for i in sorted(texts):
+        if kmers := frozenset(texts[i][k:k + 8] for k in range(len(texts[i]) - 7)):
+            first.setdefault(kmers, i)
+    before = shuffled(spark)
+    got = {(r["a"], r["b"]): r["similarity"] for r in PS.similar_kmer_pairs(spark, sf_dir).collect()}
+    assert shuffled(spark) - before < 4 * sum(map(len, texts.values()))
+    expected = by_loop({i: s for s, i in first.items()}, 0.6)
+    assert got == {k: round(v, 6) for k, v in expected.items()} and got
