@@ -142,12 +142,24 @@ def enriched_edges(edges: DataFrame, refined: DataFrame, structure: str, site: s
                               F.col("motif").alias(f"m_{tag}"))
 
     e = edges.join(end("a"), [structure, f"{site}_a"], "left").join(end("b"), [structure, f"{site}_b"], "left")
+    return _scored(e, edges.columns)
+
+
+def enriched_site_edges(sites: DataFrame, refined: DataFrame, structure: str, site: str, radius: float = 8.0) -> DataFrame:
+    """``enriched_edges`` of ``site_edges``: sites bring their charge and motif, so no edge is moved to look them up."""
+    own = refined.select(structure, site, F.col("refined_charge").alias("q"), F.col("motif").alias("m"))
+    known = sites.select(structure, site, *XYZ).join(own, [structure, site], "left")
+    edges = near_pairs(known, structure, site, radius, ["q", "m"]).withColumn("distance", F.round("distance", 6))
+    return _scored(edges, [structure, f"{site}_a", f"{site}_b", "distance"])
+
+
+def _scored(e: DataFrame, kept: Sequence[str]) -> DataFrame:
     d = F.col("distance")
     qq = F.coalesce("q_a", F.lit(0.0)) * F.coalesce("q_b", F.lit(0.0))
     ring = F.coalesce("m_a", F.lit("")).contains("aromatic_centroid") & F.coalesce("m_b", F.lit("")).contains("aromatic_centroid")
     metal = (F.coalesce("m_a", F.lit("")) == "metal_ion") | (F.coalesce("m_b", F.lit("")) == "metal_ion")
     return e.select(
-        *edges.columns, F.round(qq / F.greatest(d, F.lit(0.1)), 6).alias("coulombic"),
+        *kept, F.round(qq / F.greatest(d, F.lit(0.1)), 6).alias("coulombic"),
         F.round(F.greatest(F.lit(0.0), 1.0 - F.abs(d - 3.0) / 3.0), 6).alias("hbond_geometry"),
         F.when((qq < 0) & (d < 4.5), 1.0).otherwise(0.0).alias("salt_bridge"),
         F.round(F.greatest(F.lit(0.0), 1.0 - d / 8.0), 6).alias("overlap"),

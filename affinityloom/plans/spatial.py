@@ -79,8 +79,9 @@ def refined_sites(spark, sf_dir):
          CASE WHEN a.refined_charge * b.refined_charge < 0 AND distance < 4.5 THEN 1.0 ELSE 0.0 END::DOUBLE AS salt_bridge, CASE WHEN distance < 2 THEN 1.0 ELSE 0.0 END::DOUBLE AS clash FROM e JOIN rf a ON a.vec_id = vec_id_a JOIN rf b ON b.vec_id = vec_id_b""")
 def enriched_site_edges(spark, sf_dir):
     sites, shells = sites_and_shells(spark, sf_dir)
-    refined = P.refined_sites(shells, "structure", "vec_id").join(sites.select("vec_id", F.lower("element").alias("motif")), "vec_id")
-    return P.enriched_edges(P.site_edges(sites, "structure", "vec_id"), refined, "structure", "vec_id").select(
+    refined = P.refined_sites(shells, "structure", "vec_id").join(
+        sites.select("structure", "vec_id", F.lower("element").alias("motif")), ["structure", "vec_id"])
+    return P.enriched_site_edges(sites, refined, "structure", "vec_id").select(
         "vec_id_a", "vec_id_b", "coulombic", "hbond_geometry", "salt_bridge", "clash")
 
 
