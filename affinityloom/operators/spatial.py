@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,34 +82,75 @@ def both_ends(pairs: DataFrame, point: str, payload: Sequence[str] = ()) -> Data
     return pairs.select(*keep, F.inline(F.array(*ends)))
 
 
+#: Distances that a task holds at once.
+DISTANCES_AT_ONCE = 1 << 16
+
+
 def shell_descriptors(sites: DataFrame, atoms: DataFrame, structure: str, site: str, atom_flags: Sequence[str],
                       charge: str, shells: Sequence[tuple[str, float, float]] = tuple(SHELLS)) -> DataFrame:
     """Counts and charge sums per (site, shell); empty shells give zero rows.
 
     Both shell ends are inclusive, so an atom on a boundary counts in two shells; distance 0 is the
-    site itself and is skipped.
+    site itself and is skipped. ``site`` is unique within a structure.
+
+    Atoms are copied to the 27 cells around their own where there are sites, so a cell's sites see all their atoms in one
+    task and are done with. Time grows with the pairs of a site and its atoms, which are never made as rows; memory grows
+    with the atoms of 27 cells.
     """
     reach = max(end for _, _, end in shells)
-    bands = F.array(*[F.struct(F.lit(n).alias("shell"), F.lit(float(s)).alias("lo"), F.lit(float(e)).alias("hi"))
-                      for n, s, e in shells])
-    met = near_join(sites, atoms, structure, reach, [site], [*atom_flags, charge]).filter("distance > 0")
-    hits = met.withColumn("_b", F.explode(F.filter(
-        bands, lambda b: (F.col("distance") >= b["lo"]) & (F.col("distance") <= b["hi"]))))
-    q = F.col(charge)
-    stats = hits.groupBy(structure, site, F.col("_b.shell").alias("shell")).agg(
-        F.count(F.lit(1)).alias("neighbor_count"),
-        *[F.count_if(F.col(f)).alias(f"{f}_count") for f in atom_flags],
-        F.min("distance").alias("nearest"), F.sum(q).alias("charge_sum"),
-        F.sum(F.when(q > 0, q)).alias("positive_sum"), F.sum(F.when(q < 0, q)).alias("negative_sum"),
-        F.sum(q / F.greatest(F.col("distance"), F.lit(0.1))).alias("inverse_sum"),
-        F.sum(q / F.greatest(F.col("distance") * F.col("distance"), F.lit(0.1))).alias("inverse_square_sum"))
-    grid = sites.select(structure, site, F.explode(bands).alias("_b")).select(structure, site, F.col("_b.shell").alias("shell"))
+    cell = ["_structure", "_cx", "_cy", "_cz"]
+    own = sites.select(F.col(structure).alias("_structure"), F.col(site), *[F.col(c).cast("double").alias(c) for c in XYZ], *_cells(reach))
+    taken = own.select(*cell).distinct()
+    near = _spread(atoms.select(
+        F.col(structure).alias("_structure"), *[F.col(c).cast("double").alias(c) for c in XYZ], F.col(charge).cast("double").alias("_q"),
+        *[F.coalesce(F.col(f).cast("boolean"), F.lit(False)).alias(f"_f{i}") for i, f in enumerate(atom_flags)], *_cells(reach)),
+        OFFSETS).drop("_home").join(taken, cell, "left_semi")
     sums = ["charge_sum", "positive_sum", "negative_sum", "inverse_sum", "inverse_square_sum"]
-    return grid.join(stats, [structure, site, "shell"], "left").select(
-        structure, site, "shell", F.coalesce("neighbor_count", F.lit(0)).alias("neighbor_count"),
-        *[F.coalesce(f"{f}_count", F.lit(0)).alias(f"{f}_count") for f in atom_flags], "nearest",
-        *[F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c) for c in sums],
-        F.round(F.abs(F.coalesce("charge_sum", F.lit(0.0))), 6).alias("field_magnitude"))
+    counts = ["neighbor_count", *[f"{f}_count" for f in atom_flags]]
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    fields = ", ".join([f"`{structure}` {kind(sites, structure)}", f"`{site}` {kind(sites, site)}", "shell string",
+                        *[f"`{c}` bigint" for c in counts], "nearest double", *[f"{c} double" for c in sums]])
+    names = [structure, site, "shell", *counts, "nearest", *sums]
+
+    def run(mine: pa.Table, others: pa.Table) -> pa.Table:
+        number = lambda t, c: t.column(c).cast(pa.float64()).fill_null(np.nan).to_numpy()
+        if mine.num_rows and mine.column("_structure")[0].as_py() is None:
+            others = others.slice(0, 0)
+        s, a = (np.stack([number(t, c) for c in XYZ]) for t in (mine, others))
+        q = np.nan_to_num(number(others, "_q"))
+        flags = [others.column(f"_f{i}").to_numpy().astype(np.float64) for i in range(len(atom_flags))]
+        facts = np.stack([np.ones(len(q)), *flags, q, np.maximum(q, 0), np.minimum(q, 0)], 1)
+        step = max(DISTANCES_AT_ONCE // max(len(q), 1), 1)
+        found = np.zeros((mine.num_rows, len(shells), facts.shape[1] + 2))
+        least = np.full((mine.num_rows, len(shells)), np.inf)
+        for at in range(0, mine.num_rows if len(q) else 0, step):
+            rows = slice(at, at + step)
+            square = (s[0, rows, None] - a[0]) ** 2
+            for k in (1, 2):
+                square += (s[k, rows, None] - a[k]) ** 2
+            d = np.sqrt(square)
+            inverse, inverse_square = 1 / np.fmax(d, 0.1), 1 / np.fmax(d * d, 0.1)
+            for k, (_, low, high) in enumerate(shells):
+                inside = (d >= low) & (d <= high) & (d > 0)
+                weight = inside.astype(np.float64)
+                found[rows, k, :-2] = weight @ facts
+                found[rows, k, -2] = (weight * inverse) @ q
+                found[rows, k, -1] = (weight * inverse_square) @ q
+                least[rows, k] = np.where(inside, d, np.inf).min(1)
+        whole = 1 + len(flags)
+        out = []
+        for k, (name, _, _) in enumerate(shells):
+            out.append(pa.Table.from_arrays([
+                mine.column("_structure"), mine.column(site), pa.array([name] * mine.num_rows, pa.string()),
+                *[pa.array(np.rint(found[:, k, i]).astype(np.int64)) for i in range(whole)],
+                pa.array(least[:, k], mask=np.isinf(least[:, k])),
+                *[pa.array(found[:, k, i]) for i in range(whole, whole + len(sums))]], names))
+        return pa.concat_tables(out)
+
+    stats = own.groupBy(*cell).cogroup(near.groupBy(*cell)).applyInArrow(run, fields)
+    return stats.select(
+        structure, site, "shell", *counts, "nearest", *[F.round(c, 6).alias(c) for c in sums],
+        F.round(F.abs("charge_sum"), 6).alias("field_magnitude"))
 
 
 def refined_sites(shells: DataFrame, structure: str, site: str) -> DataFrame:
