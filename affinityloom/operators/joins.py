@@ -222,33 +222,41 @@ def refresh_plan(selected: DataFrame, key: str, assets: dict[str, DataFrame]) ->
 def identity_crosswalk(pairs: DataFrame, chains: DataFrame, ligands: DataFrame) -> DataFrame:
     """Pair to protein and ligand identities; status exact, partial or unresolved.
 
-    ``pairs`` has pair_key, entry_id, receptor (array) and ligand_key.
+    ``pairs`` has pair_key, entry_id, receptor (array) and ligand_key. Pairs are moved once by entry, to the lists of its
+    chains and ligands in which they look theirs up, and what they found once by pair key. A list holds the rows of one
+    entry, or what one pair key found in its entries.
     """
-    wanted = pairs.select("pair_key", "entry_id", F.explode("receptor").alias("chain_id")).distinct()
-    known = first_rows(chains.select("entry_id", "chain_id", "accession", "ord"), ["entry_id", "chain_id"],
-                       [F.col("ord").desc()])
-    linked = wanted.join(known, ["entry_id", "chain_id"], "left")
-    found = F.col("ord").isNotNull()
-    status = F.when(~found, "missing_chain").when(text("accession") != "", "exact_uniprot").otherwise("pdb_chain_fallback")
-    protein_id = F.when(text("accession") != "", F.concat(F.lit("protein:"), F.col("accession"))).otherwise(
-        F.concat(F.lit("protein:"), F.col("entry_id"), F.lit(":"), F.col("chain_id")))
-    proteins = linked.groupBy("pair_key").agg(
-        F.array_join(F.sort_array(F.collect_set(protein_id)), "; ").alias("protein_ids"),
-        F.bool_and(status == "exact_uniprot").alias("_proteins_exact"), F.bool_or(found).alias("_any_protein"))
-    matched = match_any_key(
-        pairs.filter(text("ligand_key") != "").select("pair_key", "entry_id", "ligand_key").distinct(), ligands,
-        "entry_id", "ligand_key", ["inchikey", "component_id", "component_name"], "ord",
-        ["inchikey", "component_id"], ["pair_key", "ligand_key"])
+    asked = pairs.select("pair_key", "entry_id", "receptor", "ligand_key").repartition("entry_id").distinct()
+    owned = chains.groupBy("entry_id").agg(F.collect_list(F.struct("ord", "chain_id", "accession")).alias("_chains"))
+    keys = F.array_distinct(F.array_compact(F.array(*[blank_to_null(k) for k in ("inchikey", "component_id", "component_name")])))
+    held = ligands.groupBy("entry_id").agg(F.collect_list(F.struct("ord", keys.alias("keys"), "inchikey", "component_id")).alias("_ligands"))
+    rows = asked.join(owned, "entry_id", "left").join(held, "entry_id", "left")
+    last = lambda r: F.array_max(F.filter("_chains", lambda c: c["chain_id"] == r))
+    found = F.transform(F.array_distinct("receptor"), lambda r: F.struct(r.alias("chain_id"), last(r).alias("last")))
+    named = lambda c: text(c["last"]["accession"]) != ""
+    protein_id = lambda c: F.when(named(c), F.concat(F.lit("protein:"), c["last"]["accession"])).otherwise(
+        F.concat(F.lit("protein:"), F.col("entry_id"), F.lit(":"), c["chain_id"]))
+    first = F.array_min(F.filter("_ligands", lambda o: F.array_contains(o["keys"], F.col("ligand_key"))))
+    rows = rows.select("pair_key", "entry_id", "ligand_key", found.alias("_found"), F.coalesce(first, F.array_min("_ligands")).alias("_l"), first.isNotNull().alias("_by_key"))
     ligand_id = (
-        F.when(~F.col("matched_by_key"), F.concat(F.lit("ligand:"), F.col("ligand_key")))
-        .when(text("inchikey") != "", F.concat(F.lit("ligand:"), F.col("inchikey")))
-        .otherwise(F.concat(F.lit("ligand:"), F.col("component_id"))))
-    named = matched.select("pair_key", ligand_id.alias("ligand_id"),
-                           (F.col("matched_by_key") & (text("inchikey") != "")).alias("_ligand_exact"))
-    joined = pairs.select("pair_key").distinct().join(proteins, "pair_key", "left").join(named, "pair_key", "left")
-    exact = F.coalesce("_proteins_exact", F.lit(False)) & F.coalesce("_ligand_exact", F.lit(True))
-    any_side = F.coalesce("_any_protein", F.lit(False)) | F.col("ligand_id").isNotNull()
-    return joined.select("pair_key", "protein_ids", "ligand_id",
+        F.when(~F.col("_by_key"), F.concat(F.lit("ligand:"), F.col("ligand_key")))
+        .when(text("_l.inchikey") != "", F.concat(F.lit("ligand:"), F.col("_l.inchikey")))
+        .otherwise(F.concat(F.lit("ligand:"), F.col("_l.component_id"))))
+    asks = text("ligand_key") != ""
+    rows = rows.select(
+        "pair_key", F.transform("_found", protein_id).alias("_ids"), F.forall("_found", named).alias("_all"),
+        F.exists("_found", lambda c: c["last"].isNotNull()).alias("_any"), (F.size("_found") > 0).alias("_listed"),
+        F.when(asks, F.struct(ligand_id.alias("ligand_id"), (F.col("_by_key") & (text("_l.inchikey") != "")).alias("exact"), "entry_id", "ligand_key")).alias("_ligand")
+    )
+    per_pair = rows.groupBy("pair_key").agg(
+        F.array_join(F.sort_array(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("_listed"), F.col("_ids")))))), "; ").alias("protein_ids"),
+        F.bool_and(F.when(F.col("_listed"), F.col("_all"))).alias("_proteins_exact"), F.bool_or("_any").alias("_any_protein"),
+        F.bool_or("_listed").alias("_listed"), F.collect_set("_ligand").alias("_ligands"))
+    joined = per_pair.select("pair_key", F.when(F.col("_listed"), F.col("protein_ids")).alias("protein_ids"), "_proteins_exact", "_any_protein",
+                             F.explode_outer("_ligands").alias("_ligand"))
+    exact = F.coalesce("_proteins_exact", F.lit(False)) & F.coalesce("_ligand.exact", F.lit(True))
+    any_side = F.coalesce("_any_protein", F.lit(False)) | F.col("_ligand.ligand_id").isNotNull()
+    return joined.select("pair_key", "protein_ids", F.col("_ligand.ligand_id").alias("ligand_id"),
                          F.when(exact, "exact").when(any_side, "partial").otherwise("unresolved").alias("status"))
 
 
