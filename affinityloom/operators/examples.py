@@ -7,30 +7,33 @@ from pyspark.sql import functions as F
 
 from affinityloom.functions.keys import mutation_family, pair_family_key, parse_pair_key
 from affinityloom.functions.text import text
-from affinityloom.operators.ordering import first_rows, top_rows
+from affinityloom.operators.ordering import first_rows
 
 
-def primary_chain(pairs: DataFrame, chains: DataFrame, pair_id: list[str]) -> DataFrame:
-    """First receptor chain that exists, else the entry's first chain by id."""
-    named = first_rows(chains, ["entry_id", "chain_id"], ["ord"])
-    wanted = pairs.select(*pair_id, "entry_id", F.posexplode("receptor").alias("_pos", "chain_id"))
-    hit = top_rows(wanted.join(named.select("entry_id", "chain_id", "accession", "organism"), ["entry_id", "chain_id"]),
-                   pair_id, ["_pos"]).select(*pair_id, F.struct("chain_id", "accession", "organism").alias("_hit"))
-    spare = top_rows(named, ["entry_id"], ["chain_id"]).select(
-        "entry_id", F.struct("chain_id", "accession", "organism").alias("_spare"))
-    chosen = F.coalesce("_hit", "_spare")
-    return pairs.join(hit, pair_id, "left").join(spare, "entry_id", "left").select(
-        *pairs.columns, *[chosen[c].alias(c) for c in ("chain_id", "accession", "organism")])
+def primary_chain(pairs: DataFrame, chains: DataFrame) -> DataFrame:
+    """First receptor chain that exists, else the entry's first chain by id, looked up in the chains of the entry.
+
+    Of several rows of a chain the first counts. A list holds the chain rows of one entry.
+    """
+    listed = chains.groupBy("entry_id").agg(F.collect_list(F.struct("chain_id", "ord", "accession", "organism")).alias("_chains"))
+    first = lambda r: F.array_min(F.filter("_chains", lambda c: c["chain_id"] == r))
+    hits = F.filter(F.transform("receptor", first), lambda c: c.isNotNull())
+    chosen = F.coalesce(F.try_element_at(hits, F.lit(1)), F.array_min("_chains"))
+    return pairs.join(listed, "entry_id", "left").withColumn("_chain", chosen).select(
+        *pairs.columns, *[F.col(f"_chain.{c}").alias(c) for c in ("chain_id", "accession", "organism")])
 
 
 def assemble_examples(assays: DataFrame, entries: DataFrame, chains: DataFrame) -> DataFrame:
     """One example per (pair, type): the first assay row, its entry and primary chain, and a label
-    that falls back to the group mean."""
+    that falls back to the group mean.
+
+    First row and mean come from one aggregate, so assays are moved once and examples once, by entry.
+    """
     key = ["pair_key", "kind"]
-    first = first_rows(assays, key, ["entry_id", "ord"])
-    means = assays.groupBy(*key).agg(F.round(F.avg("log_value"), 6).alias("_mean"))
-    placed = primary_chain(first, chains, key)
-    return placed.join(means, key, "left").join(entries, "entry_id", "left").select(
+    facts = ["receptor", "ligand_key", "source", "log_value"]
+    grouped = assays.groupBy(*key).agg(F.min(F.struct("entry_id", "ord", *facts)).alias("_first"), F.round(F.avg("log_value"), 6).alias("_mean"))
+    first = grouped.select(*key, "_mean", *[F.col(f"_first.{c}").alias(c) for c in ("entry_id", *facts)])
+    return primary_chain(first, chains).join(entries, "entry_id", "left").select(
         *key, "entry_id", "chain_id", "accession", "organism", "ligand_key", "source", "method", "resolution",
         F.coalesce(F.round("log_value", 6), "_mean").alias("label"),
         F.when(F.col("log_value").isNotNull(), "assay").when(F.col("_mean").isNotNull(), "group_mean").otherwise("none")
