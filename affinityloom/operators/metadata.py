@@ -42,41 +42,26 @@ def pairs_from_assays(assays: DataFrame, entries: DataFrame) -> DataFrame:
         text("mutations").alias("mutations"), F.lit("").alias("release_split"))
 
 
-def _receptor_chains(pairs: DataFrame, chains: DataFrame) -> DataFrame:
-    """(entry_id, receptor_chains, sequence, sequence_count, accessions): what the listed chains say, in list order.
+def _receptor_chains(tokens: Column) -> Column:
+    """(sequence, accession) of the listed chains that exist, in list order, from the entry's list ``_chains``.
 
-    Only distinct (entry, chain list) keys are looked up; the last row of a chain counts. A chain that is listed twice
-    is counted twice.
+    The last row of a chain counts. A chain that is listed twice is counted twice.
     """
-    asked = pairs.select("entry_id", "receptor_chains").distinct()
-    last = chains.where(text("chain_id") != "").groupBy("entry_id", "chain_id").agg(
-        F.max_by(F.struct(text("sequence").alias("sequence"), F.trim(text("accession")).alias("accession")), "ord").alias("chain"))
-    listed = asked.select("entry_id", "receptor_chains", F.posexplode(_tokens("receptor_chains")).alias("at", "chain_id")).join(
-        last, ["entry_id", "chain_id"])
-    has = F.col("chain.sequence") != ""
-    named = F.col("chain.accession") != ""
-    # the list is one row's chain names, so what is collected is as short as that text
-    return listed.groupBy("entry_id", "receptor_chains").agg(
-        F.min_by(F.when(has, F.col("chain.sequence")), F.when(has, F.col("at"))).alias("sequence"), F.count_if(has).alias("sequence_count"),
-        F.transform(F.sort_array(F.collect_list(F.when(named, F.struct("at", F.col("chain.accession").alias("a"))))), lambda s: s["a"]).alias("accessions"))
-
-
-def _domain_ids(annotation: DataFrame, asked: DataFrame, name: str) -> DataFrame:
-    """(entry_id, receptor_chains, ``name``): ids of the listed chains in list order, else those of the whole entry.
-
-    ``annotation`` has entry_id, chain_id (null or empty: of the whole entry), id and ord.
-    """
-    listed = asked.select("entry_id", "receptor_chains", F.posexplode(_tokens("receptor_chains")).alias("at", "chain_id"))
-    mine = annotation.where(text("id") != "")
-    of_chain = mine.join(listed, ["entry_id", "chain_id"]).groupBy("entry_id", "receptor_chains", "id").agg(F.min(F.struct("at", "ord")).alias("at"))
-    of_entry = mine.where(text("chain_id") == "").groupBy("entry_id", "id").agg(F.min("ord").alias("at"))
+    last = lambda t: F.array_max(F.filter("_chains", lambda c: c["chain_id"] == t))
+    return F.filter(F.transform(tokens, last), lambda c: c.isNotNull())
+
 
-    def ids(rows: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
-        return rows.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "id"))), lambda s: s["id"]).alias(out))
+def _domain_ids(tokens: Column, listed: str) -> Column:
+    """Ids of the listed chains in list order, else those of the whole entry, from the entry's list ``listed``.
 
-    both = asked.join(ids(of_chain, ["entry_id", "receptor_chains"], "_chain"), ["entry_id", "receptor_chains"], "left").join(
-        ids(of_entry, ["entry_id"], "_entry"), "entry_id", "left")
-    return both.select("entry_id", "receptor_chains", F.coalesce("_chain", "_entry", F.array().cast("array<string>")).alias(name))
+    Its items have chain_id (null or empty: of the whole entry), id and ord.
+    """
+    of_chain = F.flatten(F.transform(tokens, lambda t, i: F.transform(F.filter(listed, lambda d: d["chain_id"] == t), lambda d: F.struct(
+        i.alias("at"), d["ord"].alias("ord"), d["id"].alias("id")))))
+    of_entry = F.transform(F.filter(listed, lambda d: text(d["chain_id"]) == ""), lambda d: F.struct(F.lit(0).alias("at"), d["ord"].alias("ord"), d["id"].alias("id")))
+    chosen = F.when(F.size(of_chain) > 0, of_chain).otherwise(of_entry)
+    # sorted by place, so the first of equal ids stays
+    return F.coalesce(F.array_distinct(F.transform(F.sort_array(chosen), lambda d: d["id"])), F.array().cast("array<string>"))
 
 
 def unified_metadata(pairs: DataFrame, entries: DataFrame, chains: DataFrame, proteins: DataFrame, cath: DataFrame, scop: DataFrame) -> DataFrame:
@@ -85,19 +70,24 @@ def unified_metadata(pairs: DataFrame, entries: DataFrame, chains: DataFrame, pr
     ``pairs`` as of ``pairs_from_assays``; ``entries`` has entry_id, ord, organisms, method, resolution and oligomer
     (the last row of an id counts); ``proteins`` accession, protein_name, genes (array), reviewed and length; ``cath``
     and ``scop`` as of ``_domain_ids``. The fold is the CATH ids, else the SCOP ids, else the oligomeric state. Fields
-    without a value are ''; ``reviewed`` is '' where the protein isn't known. Null lists count as empty. All look-ups
-    run over distinct (entry, chain list) keys, so the pair rows themselves meet two joined tables.
+    without a value are ''; ``reviewed`` is '' where the protein isn't known. Null lists count as empty. Pair rows are moved
+    once, by entry, to the lists of its chains and domains, in which they look theirs up; a list holds the rows of one entry.
     """
     pairs = pairs.where(text("entry_id") != "").withColumn("receptor_chains", text("receptor_chains"))
-    asked = pairs.select("entry_id", "receptor_chains").distinct()
-    folds = asked
-    for annotation, name in ((cath, "cath_ids"), (scop, "scop_ids")):
-        folds = folds.join(_domain_ids(annotation, asked, name), ["entry_id", "receptor_chains"])
-    per_list = folds.join(_receptor_chains(pairs, chains), ["entry_id", "receptor_chains"], "left")
     last = entries.groupBy("entry_id").agg(F.max_by(F.struct(
         F.col("organisms").alias("e_organisms"), F.col("method").alias("e_method"), F.col("resolution").alias("e_resolution"), "oligomer"), "ord").alias("e"))
-    per_list = per_list.join(last, "entry_id", "left").select("*", "e.*").drop("e")
-    joined = pairs.join(per_list, ["entry_id", "receptor_chains"], "left")
+    owned = chains.where(text("chain_id") != "").groupBy("entry_id").agg(F.collect_list(F.struct(
+        "ord", "chain_id", text("sequence").alias("sequence"), F.trim(text("accession")).alias("accession"))).alias("_chains"))
+    joined = pairs.join(last, "entry_id", "left").select(*pairs.columns, "e.*").join(owned, "entry_id", "left")
+    for annotation, name in ((cath, "_cath"), (scop, "_scop")):
+        listed = annotation.where(text("id") != "").groupBy("entry_id").agg(F.collect_list(F.struct("chain_id", "ord", "id")).alias(name))
+        joined = joined.join(listed, "entry_id", "left")
+    tokens = _tokens("receptor_chains")
+    joined = joined.withColumn("_listed", _receptor_chains(tokens)).withColumns({"cath_ids": _domain_ids(tokens, "_cath"), "scop_ids": _domain_ids(tokens, "_scop")})
+    with_sequence = F.filter("_listed", lambda c: c["sequence"] != "")
+    joined = joined.withColumns({
+        "sequence": F.try_element_at(with_sequence, F.lit(1))["sequence"], "sequence_count": F.coalesce(F.size(with_sequence), F.lit(0)).cast("bigint"),
+        "accessions": F.filter(F.transform("_listed", lambda c: c["accession"]), lambda a: a != "")}).drop("_chains", "_cath", "_scop", "_listed")
     accessions = F.array_join(F.array_distinct("accessions"), "; ")
     row = joined.select(
         "entry_id", "ord", text("pair_key").alias("pair_key"), _pick(F.col("receptor_accessions"), accessions).alias("accessions"),
