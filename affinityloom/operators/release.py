@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from affinityloom.functions.quality import named
@@ -153,11 +153,15 @@ def entry_issues(entries: DataFrame, assay_counts: DataFrame, missing_descriptor
 def pair_issues(pairs: DataFrame) -> DataFrame:
     """Pair-scope issues. Needs matching_interface_count, confidence map, override_used, is_mutant,
     conflict_flag and conflict_summary."""
+    return pairs.select(F.inline(_pair_issue_list()))
+
+
+def _pair_issue_list() -> Column:
     low = non_high_fields("confidence")
     critical = F.filter(low, lambda f: f.isin(CRITICAL_FIELDS))
     advisory = F.filter(low, lambda f: ~f.isin(CRITICAL_FIELDS))
     excused = F.coalesce("override_used", F.lit(False)) & (F.col("is_mutant") == F.lit(False))
-    return pairs.select(F.inline(_issues("pair", "entry_id", F.col("pair_key"), [
+    return _issues("pair", "entry_id", F.col("pair_key"), [
         (F.coalesce("matching_interface_count", F.lit(0)) == 0, "no_matched_interface", F.lit("no interface matched")),
         (F.col("pair_key").contains("mutation_unknown") & ~F.coalesce(excused, F.lit(False)),
          "ambiguous_mutation_context", F.lit("mutation unknown")),
@@ -165,7 +169,7 @@ def pair_issues(pairs: DataFrame) -> DataFrame:
          F.coalesce("conflict_summary", F.lit("conflicting source values"))),
         (F.size(critical) > 0, "non_high_confidence_assay_fields", F.array_join(critical, "; ")),
         (F.size(advisory) > 0, "advisory_non_high_confidence_assay_fields", F.array_join(advisory, "; ")),
-    ])))
+    ])
 
 
 def gate_pairs(pairs: DataFrame, issues: DataFrame) -> DataFrame:
@@ -175,9 +179,27 @@ def gate_pairs(pairs: DataFrame, issues: DataFrame) -> DataFrame:
     """
     by_pair = issues.filter("scope = 'pair'").groupBy("entry_id", "pair_key").agg(
         F.collect_set("issue_type").alias("_pair"))
-    by_entry = issues.filter("scope = 'entry'").groupBy("entry_id").agg(F.collect_set("issue_type").alias("_entry"))
+    return _gated(pairs.join(by_pair, ["entry_id", "pair_key"], "left"), issues.filter("scope = 'entry'"))
+
+
+def gate_own_pairs(pairs: DataFrame, entry_issues: DataFrame) -> DataFrame:
+    """``gate_pairs`` of the pairs' own ``pair_issues`` and issues of scope entry.
+
+    Pairs are neither made twice nor moved to meet their issues: rows that are dealt by entry stay where they are, and the
+    issues of an (entry, pair) are gathered over its rows, which are sorted in their task.
+    """
+    own = F.transform(_pair_issue_list(), lambda i: i["issue_type"])
+    known = F.col("entry_id").isNotNull() & F.col("pair_key").isNotNull()
+    rows = pairs.withColumn("_own", F.when(known, own)).withColumn(
+        "_pair", F.flatten(F.collect_set("_own").over(Window.partitionBy("entry_id", "pair_key"))))
+    return _gated(rows.drop("_own"), entry_issues.filter("scope = 'entry'"))
+
+
+def _gated(rows: DataFrame, entry_issues: DataFrame) -> DataFrame:
+    """``rows`` with the pair's issue types in ``_pair``."""
+    by_entry = entry_issues.groupBy("entry_id").agg(F.collect_set("issue_type").alias("_entry"))
     none = F.array().cast("array<string>")
-    joined = pairs.join(by_pair, ["entry_id", "pair_key"], "left").join(by_entry, "entry_id", "left")
+    joined = rows.join(by_entry, "entry_id", "left")
     kinds = F.sort_array(F.array_union(F.coalesce("_pair", none), F.coalesce("_entry", none)))
     extra = named([(text("preferred_source") == "", "missing_preferred_source"),
                    (F.col("log_value").isNull(), "missing_standardized_affinity")])

@@ -64,10 +64,10 @@ def pair_splits(spark, sf_dir):
     return keys.withColumn("split", hash_split(F.concat_ws("|", "pair_key", "kind")))
 
 
-def pair_master_frame(spark, sf_dir):
+def pair_master_frame(spark, sf_dir, splits=None):
     a = D.assays(spark, sf_dir)
     return J.pair_master(a, D.entries(spark, sf_dir), D.chains(spark, sf_dir), D.objects(spark, sf_dir),
-                         D.interfaces(spark, sf_dir), a.filter("kind = 'A'"), pair_splits(spark, sf_dir))
+                         D.interfaces(spark, sf_dir), a.filter("kind = 'A'"), pair_splits(spark, sf_dir) if splits is None else splits)
 
 
 @query("pair_master", "C2 C4 C5",

@@ -62,14 +62,17 @@ SUMM_SQL = """summ AS (SELECT pair_key, kind, count(*) AS n, count(log_value) AS
 
 
 def release_pairs(spark, sf_dir):
-    a = D.assays(spark, sf_dir)
+    from affinityloom.functions.hashing import hash_split
+    # Dealt by pair key and given to the pair master with the splits, so that its rows aren't moved for the summary.
+    a = D.assays(spark, sf_dir).select("pair_key", "kind", "source", "log_value").repartition("pair_key")
     summary = M.group_summary(a, ["pair_key", "kind"], "source", "log_value").drop("sources", "preferred_rationale")
+    facts = summary.withColumn("split", hash_split(F.concat_ws("|", "pair_key", "kind")))
     level = lambda c, n: F.when(c, n).otherwise("high")
     conf = F.create_map(
         F.lit("binding_affinity_type"), level(F.col("kind") == "N", "medium"),
         F.lit("binding_affinity_log10_standardized"), level(F.col("log_value").isNull(), "unknown"),
         F.lit("pair_identity_key"), level(F.col("pair_key").endswith("wt"), "medium"))
-    return pair_master_frame(spark, sf_dir).join(summary, ["pair_key", "kind"]).withColumn("confidence", conf).withColumn(
+    return pair_master_frame(spark, sf_dir, facts).withColumn("confidence", conf).withColumn(
         "override_used", F.lit(False)).withColumn("is_mutant", F.col("pair_key").endswith("A12V"))
 
 
@@ -113,9 +116,7 @@ def pair_issues(spark, sf_dir):
            CASE WHEN p.log_value IS NULL THEN ['missing_standardized_affinity'] ELSE [] END)), '; '), '') AS exclusion_reasons
        FROM pairs p LEFT JOIN g USING (entry_id, pair_key)""")
 def model_ready_gate(spark, sf_dir):
-    pairs = release_pairs(spark, sf_dir)
-    issues = R.pair_issues(pairs).unionByName(entry_issue_frame(spark, sf_dir))
-    return R.gate_pairs(pairs, issues).select("pair_key", "kind", "value", "issue_types", "exclusion_reasons")
+    return R.gate_own_pairs(release_pairs(spark, sf_dir), entry_issue_frame(spark, sf_dir)).select("pair_key", "kind", "value", "issue_types", "exclusion_reasons")
 
 
 @query("conflict_extract", "B8",

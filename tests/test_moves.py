@@ -7,7 +7,7 @@ from affinityloom.operators import examples as E
 from affinityloom.operators import joins as J
 
 
-@pytest.mark.parametrize("name,most", [("identity_crosswalk", 4), ("training_examples", 4), ("unified_metadata", 9)])
+@pytest.mark.parametrize("name,most", [("identity_crosswalk", 4), ("training_examples", 4), ("unified_metadata", 9), ("model_ready_gate", 12)])
 def test_moves(spark, sf_dir, name, most):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
@@ -42,3 +42,13 @@ def test_first_assay_and_primary_chain(spark):
     got = {r["pair_key"]: r for r in E.assemble_examples(assays, entries, chains).collect()}
     assert [(r["entry_id"], r["chain_id"], r["accession"], r["source"], r["label"], r["label_source"]) for r in (got["p"], got["q"])] == [
         ("E1", "B", "U1", "t", 1.0, "group_mean"), ("E1", "A", "U0", "s", None, "none")]
+
+
+def test_gate_of_own_issues(spark, sf_dir):
+    from affinityloom.operators import release as R
+    from affinityloom.plans import release as PR
+    pairs, issues = PR.release_pairs(spark, sf_dir), PR.entry_issue_frame(spark, sf_dir)
+    names = ["entry_id", "pair_key", "kind", "value", "issue_types", "exclusion_reasons"]
+    got = R.gate_own_pairs(pairs, issues).select(names).collect()
+    expected = R.gate_pairs(pairs, R.pair_issues(pairs).unionByName(issues)).select(names).collect()
+    assert sorted(map(str, got)) == sorted(map(str, expected)) and len({r["issue_types"] for r in got}) > 3
