@@ -7,7 +7,7 @@ from affinityloom.operators import examples as E
 from affinityloom.operators import joins as J
 
 
-@pytest.mark.parametrize("name,most", [("identity_crosswalk", 4), ("training_examples", 4), ("unified_metadata", 9), ("model_ready_gate", 12)])
+@pytest.mark.parametrize("name,most", [("identity_crosswalk", 4), ("training_examples", 4), ("unified_metadata", 9), ("model_ready_gate", 12), ("feature_rows", 14)])
 def test_moves(spark, sf_dir, name, most):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
